@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, sharding
+from . import exact_dedup, packing, quality_rules, sharding
 from .common import documents
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
@@ -26,7 +30,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op8_quality_rules, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op8_quality_rules, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {

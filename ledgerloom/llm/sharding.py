@@ -105,10 +105,10 @@ WITH steps AS (
             / (2 * count(*) OVER (PARTITION BY stratum)) AS place
   FROM drawn
 ), cut AS (
-  SELECT *, row_number() OVER (ORDER BY place, stratum, draw, doc_id NULLS FIRST, size) - 1 AS at, count(*) OVER () AS n
+  SELECT *, row_number() OVER (ORDER BY place, stratum, draw, doc_id NULLS FIRST, size) - 1 AS pos, count(*) OVER () AS n
   FROM placed
 )
-SELECT doc_id, source, size, text_crc32, 'rows' AS law, divide(at * {SHARDS}, n)::INTEGER AS shard,
-       at - divide(divide(at * {SHARDS}, n) * n + {SHARDS - 1}, {SHARDS}) AS slot, NULL::INTEGER AS grown_shard
+SELECT doc_id, source, size, text_crc32, 'rows' AS law, divide(pos * {SHARDS}, n)::INTEGER AS shard,
+       pos - divide(divide(pos * {SHARDS}, n) * n + {SHARDS - 1}, {SHARDS}) AS slot, NULL::INTEGER AS grown_shard
 FROM cut
 """
