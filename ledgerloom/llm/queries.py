@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality_rules, sharding
+from . import exact_dedup, packing, quality_rules, sharding, token_files
 from .common import documents
 
 
@@ -25,12 +25,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op8_quality_rules, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op8_quality_rules, op9_token_files, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
