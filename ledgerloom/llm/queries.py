@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality_rules, sharding, token_files
-from .common import documents
+from . import exact_dedup, packing, quality_classifier, quality_rules, sharding, token_files, toxicity
+from .common import documents, labels
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(documents(spark, sf_dir))
     return rows.select(
@@ -34,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op8_quality_rules, op9_token_files, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_files, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
