@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality_classifier, quality_rules, sharding, token_files, toxicity
+from . import exact_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_files, toxicity
 from .common import documents, labels
 
 
@@ -18,6 +18,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(documents(spark, sf_dir))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_files, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op4_jaccard_join, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_files, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
