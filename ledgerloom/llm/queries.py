@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_files, toxicity
+from . import exact_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_files, toxicity
 from .common import documents, labels
 
 
@@ -22,6 +22,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup_substrings(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -46,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op4_jaccard_join, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_files, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_files, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -57,13 +57,22 @@ class TextBlock:
         start, end = change[::2], change[1::2]
         return start, end, np.searchsorted(self.starts, start, "right") - 1
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the bytes from start to end: equal bytes have equal hashes wherever they stand."""
-        up, down = powers(len(self.data) + 1)
+    def _summed(self) -> np.ndarray:
+        up = powers(len(self.data) + 1)[0]
         if self._sums is None:
             self._sums = np.zeros(len(self.data) + 1, U64)
             np.cumsum((self.data.astype(U64) + U64(1)) * up[: len(self.data)], out=self._sums[1:])
-        return mixed((self._sums[end] - self._sums[start]) * down[start])
+        return self._sums
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the bytes from start to end: equal bytes have equal hashes wherever they stand."""
+        sums, down = self._summed(), powers(len(self.data) + 1)[1]
+        return mixed((sums[end] - sums[start]) * down[start])
+
+    def grams(self, n: int) -> np.ndarray:
+        """The hashes of the n bytes from each place on."""
+        sums, count = self._summed(), max(len(self.data) - n + 1, 0)
+        return mixed((sums[n:] - sums[:count]) * powers(len(self.data) + 1)[1][:count])
 
 
 def sequences(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
