@@ -61,9 +61,14 @@ def exact_groups(
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows that repeat id and text stay once."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi").dropDuplicates([id_col])
+    """The rows of docs that stay, with all their columns; of rows that repeat id and text one stays."""
+    groups = exact_groups(docs, id_col, text_col)
+    kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    digest = F.sha2(F.regexp_replace(text_or_empty(text_col), f"{WHITE}+", " "), 256)
+    rows = docs.withColumn("__own", digest)
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__own"] == kept["__digest"]), "left_semi")
+    again = docs.groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1")
+    return (rows if again.isEmpty() else rows.dropDuplicates([id_col, "__own"])).drop("__own")
 
 
 ORACLE_SQL = r"""

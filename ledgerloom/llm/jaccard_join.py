@@ -355,3 +355,10 @@ def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, shingles
     # Only classes have a component; a hot class is split by the skew join.
     out = rows.join(named, ["fp1", "fp2"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def dedup_similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, but of each group of linked documents only those with its smallest doc_id."""
+    groups = similar(docs, n, num, den)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -191,3 +191,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, texts in text_blocks(batch.column(batch.num_columns - 1)):
+                rows = batch.slice(first, last - first).filter(pa.array(shared.value.scores(texts) >= threshold))
+                yield pa.RecordBatch.from_arrays(rows.columns[:-1], rows.schema.names[:-1])
+
+    return docs.withColumn("__utf8", utf8()).mapInArrow(kept, docs.schema)

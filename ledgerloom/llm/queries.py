@@ -23,7 +23,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix_dedup.dedup_substrings(documents(spark, sf_dir))
+    rows = suffix_dedup.dedup_substrings(documents(spark, sf_dir), texts=False)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -203,38 +203,58 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([windows, pa.array(np.full(len(starts), row)), pa.array(starts)], ["window", "row", "start"])
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    types.append(pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-    for batch in batches:
-        made = []
-        for row, doc_id, text, whole, spans in zip(*(batch[c] for c in ("row", "doc_id", "utf8", "copy", "spans")), strict=True):
-            text, joined = text.as_py(), []
-            if whole.as_py():
-                joined = [(0, len(text))] if len(text) >= LENGTH else []
-            elif spans.is_valid:
-                found = spans.values
-                for a, b in sorted(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True)):
-                    if joined and a <= joined[-1][1]:
-                        joined[-1] = joined[-1][0], max(b, joined[-1][1])
-                    else:
-                        joined.append((a, b))
-            ends = [0, *(x for s in joined for x in s), len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if joined else text
-            made.append((row.as_py(), doc_id.as_py(), len(text), len(text) - len(kept), len(joined), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in joined]))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), types, strict=True)], names) if made else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
-
-
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and spans of each row of docs (doc_id, text).
+def _joined(text: bytes, copy: bool, spans: pa.ListScalar) -> list[tuple[int, int]]:
+    """The maximal runs of covered bytes of a text."""
+    if copy:
+        return [(0, len(text))] if len(text) >= LENGTH else []
+    runs: list[tuple[int, int]] = []
+    if spans.is_valid:
+        for a, b in sorted(zip(spans.values.field(0).to_pylist(), spans.values.field(1).to_pylist(), strict=True)):
+            if runs and a <= runs[-1][1]:
+                runs[-1] = runs[-1][0], max(b, runs[-1][1])
+            else:
+                runs.append((a, b))
+    return runs
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, text string"
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(_SPAN), pa.string()]
+
+
+def _kept(texts: bool):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, copy, spans in zip(batch["utf8"], batch["copy"], batch["spans"], strict=True):
+                text = text.as_py()
+                runs = _joined(text, copy.as_py(), spans)
+                ends = [0, *(x for s in runs for x in s), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if runs else text
+                shown = [{"start": a, "end": b} for a, b in runs]
+                rows.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), shown, kept.decode("utf-8", "ignore") if texts else None))
+            columns = zip(*rows) if rows else [[]] * len(_TYPES)
+            made = [pa.array(x, t) for x, t in zip(columns, _TYPES, strict=True)]
+            carried = [batch.column(c) for c in range(batch.num_columns - 3)]
+            names = [*batch.schema.names[1:-3], *(x.split()[0] for x in RESULT.split(", ")[1:])]
+            yield pa.RecordBatch.from_arrays([*carried, *made], ["doc_id", *names])
+
+    return made
+
+
+def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and text (what is kept) of each row of docs (doc_id, text).
+
+    The digest is over the kept bytes as they are; the text leaves out what is left of a character that a span cuts.
+    carry names columns of docs that go along, as one struct ``carried``; without texts, text is null.
 
     A byte goes when some string of LENGTH bytes over it also starts earlier: in a document of a smaller doc_id, or before
     in the same one, overlapping or not. Strings are judged on the texts as they come. Null texts are empty; texts
     under LENGTH bytes stay whole; rows that repeat a doc_id follow one another by their texts, and a null doc_id comes
     before all. An empty table gives an empty table; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"))
+    carried = F.struct(*carry).alias("carried") if carry else F.lit(None).cast("struct<none:int>").alias("carried")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), carried, utf8().alias("utf8"))
     # A row's number: its doc_id where that is the row's own.
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if ids.isEmpty():
@@ -275,6 +295,6 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     later = later.where("struct(row, place) > first")
     spans = spans.unionByName(later.select("row", F.col("low").cast("long").alias("start"), (F.col("high") + LENGTH).cast("long").alias("end")))
     per_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    done = whole.join(per_row, "row", "left").select("row", "doc_id", "utf8", "copy", "spans")
-    done = done.mapInArrow(_kept, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
-    return done.drop("row")
+    done = whole.join(per_row, "row", "left").select("doc_id", "carried", "utf8", "copy", "spans")
+    kind = done.schema["carried"].dataType.simpleString()
+    return done.mapInArrow(_kept(texts), RESULT.replace("doc_id long", f"doc_id long, carried {kind}", 1))
