@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_files, toxicity
+from . import exact_dedup, jaccard_join, packing, quality_classifier, quality_rules, sentencepiece_scan, sharding, suffix_dedup, token_files, toxicity
 from .common import documents, labels
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.digest(sentencepiece_scan.encode(documents(spark, sf_dir)))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
@@ -51,7 +55,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_files, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_sentencepiece,
+        op3_sharding,
+        op4_jaccard_join,
+        op5_suffix_dedup,
+        op6_quality_classifier,
+        op7_toxicity,
+        op8_quality_rules,
+        op9_token_files,
+        op10_exact_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
