@@ -14,13 +14,13 @@ from collections.abc import Iterable
 from functools import cache
 
 
-#: Bytes of cached words and ids after which a worker starts a new cache.
-CACHE_BYTES = 36_000_000
+#: Words after which a worker starts a new cache; they take about 300 bytes each.
+CACHE_WORDS = 1_300_000
 #: New words that are encoded in one call.
 BATCH_WORDS = 20_000
 
-#: Marks that often end a word.
-MARKS = (b".", b",", b"!", b"?", b";", b":")
+#: ASCII marks: characters other than letters, digits and white space.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space other than ASCII's.
 _WIDE_SPACE = re.compile(
     rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
@@ -62,11 +62,10 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.keeps_space = keeps_space
-        self.marks = {m: self.library([m])[0] for m in MARKS}
+        self.apart: dict[bytes, bytes] = {}  # ids of marks and of words at the start of a line
         self.lowers = self.library([b"LEDGER"]) == self.library([b"ledger"])
         self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()  # known words that came in a later call
-        self.held = 0
+        self.most = CACHE_WORDS
 
     def library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -78,30 +77,41 @@ class WordCoder:
         # A word stands for a space and itself, but for the first, whose text has no space before it: it is encoded apart.
         return text.split(b" ")[1:] if plain_space(text) else []
 
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.known)
-        self.again |= words.difference(new)
-        # Both tokenizers part a mark from the ASCII letter or digit before it, so "word," is "word" and ",".
-        marked = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalnum()]
-        new.difference_update(marked)
-        new.update({w[:-1] for w in marked}.difference(self.known))
-        todo = list(new)
-        for i in range(0, len(todo), BATCH_WORDS):
-            part = todo[i : i + BATCH_WORDS]
-            ids = self.library([b" " + w for w in part] if self.keeps_space else part)
-            self.known.update(zip(part, ids, strict=True))
-            self.held += sum(map(len, part)) + sum(map(len, ids))
-        for w in marked:
-            self.known[w] = ids = self.known[w[:-1]] + self.marks[w[-1:]]
-            self.held += len(w) + len(ids)
+    def parts(self, word: bytes) -> list[bytes]:
+        """The word, and last marks or a line break and what follows it, cut where both tokenizers part them."""
+        if self.keeps_space and b"\n" in word:
+            line, _, rest = word.partition(b"\n")
+            if rest and b"\n" not in rest:
+                return [*self.parts(line), b"\n", *self.parts(rest)]
+            return [word]
+        base = word.rstrip(MARKS)
+        if base and len(base) < len(word) and (base[-1:].isalnum() or base.decode("utf-8", "replace")[-1].isalpha()):
+            return [base, word[len(base) :]]
+        return [word]
+
+    def learn(self, new: set[bytes]) -> None:
+        cut = {w: p for w in new if len(p := self.parts(w)) > 1}
+        first = (new.difference(cut) | {p[0] for p in cut.values()}).difference(self.known)
+        after = {x for p in cut.values() for x in p[1:]}.difference(self.apart)
+        for known, words, space in ((self.known, list(first), b" " if self.keeps_space else b""), (self.apart, list(after), b"")):
+            for i in range(0, len(words), BATCH_WORDS):
+                part = words[i : i + BATCH_WORDS]
+                known.update(zip(part, self.library([space + w for w in part]), strict=True))
+        for w, p in cut.items():
+            self.known[w] = self.known[p[0]] + b"".join([self.apart[x] for x in p[1:]])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
-            self.known = {w: self.known[w] for w in self.again} if len(self.again) < len(self.known) // 2 else {}
-            self.again, self.held = set(), sum(len(w) + len(x) for w, x in self.known.items())
         cut = [self.words(t) for t in texts]
-        self.learn(set().union(*cut))
-        ids = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        ids = [list(map(self.known.get, words)) for words in cut]
+        holes = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in ids]
+        if any(holes):
+            self.learn({words[i] for words, at in zip(cut, holes, strict=True) for i in at})
+            for words, found, at in zip(cut, ids, holes, strict=True):
+                for i in at:
+                    found[i] = self.known[words[i]]
+        if len(self.known) + len(self.apart) > self.most:
+            self.known, self.apart = {}, {}
+        ids = [b"".join(x) for x in ids]
         if not self.keeps_space:
             return ids
         heads = self.library([t.split(b" ", 1)[0] if words else t for t, words in zip(texts, cut, strict=True)])
