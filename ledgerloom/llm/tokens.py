@@ -15,7 +15,7 @@ from functools import cache
 
 
 #: Words after which a worker starts a new cache; they take about 300 bytes each.
-CACHE_WORDS = 1_300_000
+CACHE_WORDS = 1_400_000
 #: New words that are encoded in one call.
 BATCH_WORDS = 20_000
 
@@ -48,6 +48,15 @@ def as_bytes(ids: list[int]) -> bytes:
     return held.tobytes()
 
 
+def _byte_units() -> dict[int, int]:
+    """Byte-level BPE writes a byte as a printable character: itself, or one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_UNITS = _byte_units()
+
+
 class WordCoder:
     """encode() gives each text's ids as bytes, equal to the library's encoding of the whole text.
 
@@ -71,6 +80,26 @@ class WordCoder:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [as_bytes(x.ids) for x in found]
 
+    def encode_words(self, words: list[bytes], space: bytes) -> list[bytes]:
+        """The ids of each word, after a space where one is given.
+
+        A word of Latin letters alone is one unit of both tokenizers' own splitting, so the library's BPE model takes it
+        as it is; any other word goes through the whole tokenizer.
+        """
+        ids: list[bytes | None] = []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            text = text.lower() if self.lowers else text
+            if text.isalpha() and (w.isascii() or max(text) < "\u0250"):
+                units = (space.decode() + text).encode().decode("latin-1").translate(BYTE_UNITS)
+                ids.append(as_bytes([t.id for t in self.tokenizer.model.tokenize(units)]))
+            else:
+                ids.append(None)
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self.library([space + words[i] for i in rest]), strict=True):
+            ids[i] = x
+        return ids
+
     def words(self, text: bytes) -> list[bytes]:
         if not self.keeps_space:
             return (text.lower() if self.lowers else text).split()
@@ -96,7 +125,7 @@ class WordCoder:
         for known, words, space in ((self.known, list(first), b" " if self.keeps_space else b""), (self.apart, list(after), b"")):
             for i in range(0, len(words), BATCH_WORDS):
                 part = words[i : i + BATCH_WORDS]
-                known.update(zip(part, self.library([space + w for w in part]), strict=True))
+                known.update(zip(part, self.encode_words(part, space), strict=True))
         for w, p in cut.items():
             self.known[w] = self.known[p[0]] + b"".join([self.apart[x] for x in p[1:]])
 
