@@ -102,6 +102,15 @@ def _vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return rows.mapInArrow(found, "doc_id long, held_out boolean, terms array<int>, counts array<int>")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the task's texts have each term."""
+    total = np.zeros(TERMS, np.int64)
+    for batch in batches:
+        total += np.bincount(np.asarray(batch["terms"].flatten()), minlength=TERMS)
+    term = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(total[term])], ["term", "n"])
+
+
 class BlockMaxIndex:
     """Examples' unit vectors as postings by term and block of examples, with each block's greatest weight per term."""
 
@@ -201,7 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
     vectors = cut_lineage(_vectors(docs, vocabulary), "term-vectors")
     n = vectors.count()
     df = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
+    for r in vectors.select("terms").mapInArrow(_counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r["term"]] = r["n"]  # a row for each term of the vocabulary at most
     idf = np.log((n + 1) / (df + 1)) + 1
     held = vectors.join(drawn, "doc_id").select("doc_id", "label", "terms", "counts").orderBy("doc_id").toPandas()
