@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,14 +37,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read back; lost executors cost no recomputing."""
+def cut_lineage(df: DataFrame, name: str, release: bool = True) -> DataFrame:
+    """df, written as a Parquet table in the shared folder and read back; lost executors cost no recomputing.
+
+    release: nothing needs the shuffle files behind the table any more, and Spark's cleaner drops them once the driver
+    has collected its garbage.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    for _ in range(2 * release):  # the second time for what listeners still held the first time
+        spark._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that go to a Python worker at once; texts are some kilobytes long, and some much longer.
+TEXTS_A_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session to small Arrow batches, which bound the memory of tasks that read whole texts in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS_A_BATCH:
+        spark.conf.set(key, TEXTS_A_BATCH)
+
+
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes what cut_lineage() wrote for the frames, once nothing reads them any more."""
     for df in frames:

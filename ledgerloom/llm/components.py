@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     sign = None
     while True:
-        new = cut_lineage(_star(_star(now, small=False), small=True), "stars")
+        new = cut_lineage(_star(_star(now, small=False), small=True), "stars", release=False)
         drop_tables(now.sparkSession, now)
         now = new
         total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))

@@ -2,9 +2,10 @@
 
 1. Each text becomes its set of hashed word shingles. Equal sets form one class; one member stands for it.
 2. Blocking, without loss: linked sets differ in few shingles, so when shingles are dealt into one part more than that
-   (and a few to spare) by their hash, some part is the same in both. Sets that share a part are chained, and the
-   chains' connected components are the blocks: no link crosses two blocks. Parts without rarer shingles are left
-   out where the spare parts allow it; which shingles are common is counted over all documents.
+   (and a few to spare) by their hash, some part is the same in both. Parts without rarer shingles are left out where
+   the spare parts allow it; which shingles are common is counted over all documents. Sets that share a part are tied
+   where the counts of their shingles by hash (sketches) differ by no more than a link allows, and the ties' connected
+   components are the blocks: no link crosses two blocks.
 3. In a block an inverted index maps shingles to sets. A set's query merges its short lists with a heap, probes the
    long ones by binary search for what the merge lets through, and keeps sets that reach the required overlap.
    Sets that are known to be connected are not compared again, and the component that grows first is not queried.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, utf8
+from .common import cut_lineage, small_batches, utf8
 from .components import components
 from .textblock import NOT_WHITE, U64, TextBlock, mixed, sequences, text_blocks
 
@@ -67,6 +68,16 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return both[0], both[1]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many shingles fall into each of some bins, the more the larger the set, by the leading bits of a hash.
+
+    Two sets differ in as many shingles at least as their counts do.
+    """
+    bits = max(6, (len(tokens) >> 3).bit_length())
+    at = (mixed(tokens ^ U64(0x2545F4914F6CDD1D)) >> U64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 65_535).astype("<u2").tobytes()
+
+
 @cache
 def size_class(n: int) -> tuple[int, int, int]:
     """Number, least and greatest size of the class of sets of n shingles."""
@@ -135,7 +146,7 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
     """kind 0: doc_id, size and fingerprint of each document's set. kind 1: shingles (size) by counter (doc_id), per task."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "size", "fp1", "fp2"]
+        names = ["kind", "doc_id", "size", "fp1", "fp2", "sketch"]
         counters = np.zeros(COUNTERS, np.int64)
         for rows, sets in _sets(batches, n):
             prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
@@ -143,12 +154,13 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
             new = [s for s, p in zip(sets, map(tuple, prints.tolist()), strict=True) if not (p in seen or seen.add(p))]
             counters += np.bincount((np.concatenate(new) % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), rows.column(0), sizes, *map(pa.array, prints.T)], names)
+            sketches = pa.array([sketch(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), rows.column(0), sizes, *map(pa.array, prints.T), sketches], names)
         used = np.flatnonzero(counters)
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(counters[used]), none, none], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(counters[used]), none, none, pa.nulls(len(used), pa.binary())], names)
 
-    return docs.mapInArrow(made, "kind int, doc_id long, size long, fp1 long, fp2 long")
+    return docs.mapInArrow(made, "kind int, doc_id long, size long, fp1 long, fp2 long, sketch binary")
 
 
 def _common_counters(digests: DataFrame) -> np.ndarray:
@@ -160,8 +172,11 @@ def _common_counters(digests: DataFrame) -> np.ndarray:
     return counts > middle + 12 * np.sqrt(middle) + 12
 
 
-def _chains(docs: DataFrame, n: int, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between the first fingerprints of sets that share a part."""
+def _near_sets(docs: DataFrame, sketches: DataFrame, n: int, common: np.ndarray, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between the first fingerprints of sets that share a part and whose sketches allow a link.
+
+    sketches: node, size and sketch of each set.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,21 +191,91 @@ def _chains(docs: DataFrame, n: int, common: np.ndarray, num: int, den: int) ->
                         nodes.append(np.full(len(own), node, np.int64))
             if not signs:
                 continue
-            sign, node = np.concatenate(signs), np.concatenate(nodes)
-            order = np.lexsort((node, sign))
-            sign, node = sign[order], node[order]
-            first = np.r_[True, sign[1:] != sign[:-1]]
-            # Of a batch's sets with the same part one goes on; the others are tied to it by a signature of their pair.
-            one = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            pairs = np.unique(np.stack([node[~first], one[~first]], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            tie = mixed(pairs[:, 0].astype(U64) ^ mixed(pairs[:, 1].astype(U64)))
-            sign = np.concatenate([sign[first], tie, tie]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(np.r_[node[first], pairs[:, 0], pairs[:, 1]])], ["sign", "node"])
+            sign, node = np.concatenate(signs).view(np.int64), np.concatenate(nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(node)], ["sign", "node"])
 
     signs = docs.mapInArrow(made, "sign long, node long")
-    before = F.lag("node").over(Window.partitionBy("sign").orderBy("node"))
-    return signs.select(F.col("node").alias("a"), before.alias("b")).where("a <> b").distinct()
+    part = Window.partitionBy("sign")
+    before = F.lag("node").over(part.orderBy("node"))
+    rows = signs.withColumns({"before": before, "least": F.min("node").over(part), "most": F.max("node").over(part)})
+    # One row for each set and part, where the part has other sets too.
+    rows = rows.where("least <> most and (before is null or before <> node)")
+    rows = rows.select("sign", "node").join(sketches, "node")
+    rows = rows.repartition("sign").sortWithinPartitions("sign", "node")
+    return rows.mapInArrow(_near(num, den), "a long, b long").where("a <> b").distinct()
+
+
+#: Sets of one part that are compared by their sketches; those of a larger part are all taken as near.
+NEAR = 4_000
+
+
+def _near(num: int, den: int):
+    """Of rows in the order of their parts: ties between the sets of a part whose sketches allow a link, directly or over others.
+
+    Of the ties that a task finds only those go on that connect what its others do not: fewer than it has sets.
+    """
+
+    def ties(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, int]]:
+        if len(nodes) > NEAR:
+            yield from ((x, nodes[0]) for x in nodes[1:])
+            return
+        width = min(map(len, sketches)) // 2
+        bins = np.stack([np.frombuffer(x, "<u2").astype(np.int32).reshape(width, -1).sum(axis=1) for x in sketches])
+
+        def near(i: int) -> np.ndarray:
+            apart = np.abs(bins - bins[i]).sum(axis=1)
+            return (den + num) * apart <= (den - num) * (sizes + sizes[i])
+
+        group = np.arange(len(nodes))
+        for i in range(len(nodes)):
+            if i and group[i] == group[0]:
+                continue  # every set outside the first one's group is held against all
+            others = np.unique(group[near(i)])
+            for other in others[others != group[i]]:
+                yield nodes[i], nodes[other]
+                group[group == other] = group[i]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def connecting(pairs) -> list[tuple[int, int]]:
+            found = []
+            for a, b in pairs:
+                a, b = root(int(a)), root(int(b))
+                if a != b:
+                    up[a] = b
+                    found.append((a, b))
+            return found
+
+        sign, nodes, sizes, sketches = None, [], [], []
+        for batch in batches:
+            found = []
+            for s, node, size, own in zip(*(batch[c].to_pylist() for c in ("sign", "node", "size", "sketch")), strict=True):
+                if s != sign:
+                    if len(nodes) > 1:
+                        found += connecting(ties(np.array(nodes), np.array(sizes), sketches))
+                    sign, nodes, sizes, sketches = s, [], [], []
+                if len(nodes) > NEAR:  # held no further: tied to the first one
+                    found += connecting([(node, nodes[0])])
+                    continue
+                nodes.append(node)
+                sizes.append(size)
+                sketches.append(own)
+            yield _pairs(found)
+        if len(nodes) > 1:
+            yield _pairs(connecting(ties(np.array(nodes), np.array(sizes), sketches)))
+
+    return made
+
+
+def _pairs(found: list) -> pa.RecordBatch:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
 class InvertedIndex:
@@ -302,7 +387,8 @@ def _of_members(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
             yield whole.filter(pa.array(same))  # where an id is repeated with other texts
 
     kept = ["block", "slices", "rep", "fp1", "fp2"]
-    rows = members.join(docs, members["rep"] == docs["doc_id"]).select(*kept, "utf8")
+    # The same join at every size: the members are no bounded table.
+    rows = members.hint("merge").join(docs, members["rep"] == docs["doc_id"]).select(*kept, "utf8")
     return rows.mapInArrow(made, "block long, slices long, rep long, fp1 long, fp2 long, tokens binary")
 
 
@@ -315,11 +401,13 @@ def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, shingles
     sets and share its component where their sets do; rows with a null id have no component and link nobody. An empty
     table gives an empty table; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"))
     digests = cut_lineage(_digests(docs, n), "digests")
     rows = digests.where("kind = 0").drop("kind")
     classes = rows.where("size > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"))
-    blocks = components(_chains(docs.where("doc_id is not null"), n, _common_counters(digests), num, den))
+    sketches = rows.where("size > 0 and doc_id is not null").groupBy(F.col("fp1").alias("node")).agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"))
+    blocks = components(_near_sets(docs.where("doc_id is not null"), sketches, n, _common_counters(digests), num, den))
     blocks = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
     members = classes.join(blocks, classes["fp1"] == blocks["node"]).select("rep", "fp1", "fp2", "size", F.col("component").alias("block"))
     sizes = members.groupBy("block").agg(F.sum("size").alias("total"), F.min(F.struct("rep", "fp1", "fp2")).alias("hub"))
