@@ -14,8 +14,9 @@ whole collection. So the column-wise construction runs on short segments that ho
    LENGTH or more hold the same window, and all but the earliest are covered.
 5. Covered bytes are joined to runs per document.
 
-Anchors are compared by 64-bit hashes, windows by their bytes. Anchors with more than ``SEGMENTS`` segments are settled
-by grouping their windows themselves, on Spark. Nothing is written outside Spark: the rounds' order and prefixes take
+Of an anchor's segments that are equal throughout, by 128 bits of hash, only the first is cut out and sorted; the
+others are covered whole. Windows of segments are compared by their bytes. Anchors with more than ``SEGMENTS`` different
+segments are settled by grouping their windows themselves, on Spark. Nothing is written outside Spark: the rounds' order and prefixes take
 a few bytes per segment and stay in the task's memory instead of external files.
 """
 
@@ -26,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, utf8
+from .common import cut_lineage, small_batches, utf8
 from .textblock import U64, TextBlock, mixed, text_blocks
 
 LENGTH = 100
@@ -125,36 +127,46 @@ def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], starts[np.r_[new[1:] - 1, len(starts) - 1]] + length
 
 
+#: The first start of the windows that name an anchor lies place - reach // 128 back, and the last reach % 128 after it.
+ANCHOR = "anchor long, content long, row long, place int, reach int"
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """A row for each anchor; content is a hash of its segment and of where the anchor stands in it."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, texts in text_blocks(batch.column(1)):
                 block = TextBlock(texts)
                 h, place, low, high = anchors(block)
                 doc = np.searchsorted(block.starts, place, "right") - 1
-                base = block.starts[doc]
+                reach = (place - low) * 128 + high - low
+                content = mixed(block.hashes(low, high + LENGTH) ^ mixed(reach.astype(U64)))
                 ids = batch.column(0)[first:last].take(pa.array(doc))
+                own = [(place - block.starts[doc]).astype(np.int32), reach.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), ids, *(pa.array((x - base).astype(np.int32)) for x in (place, low, high))],
-                    ["anchor", "row", "place", "low", "high"],
+                    [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), ids, *map(pa.array, own)],
+                    ["anchor", "content", "row", "place", "reach"],
                 )
 
-    return docs.mapInArrow(made, "anchor long, row long, place int, low int, high int")
+    return docs.mapInArrow(made, ANCHOR)
 
 
-SEGMENT = "anchor long, row long, place int, low int, high int, bytes binary"
+SEGMENT = "anchor long, row long, place int, low int, high int, contents long, bytes binary"
+_NAMES = [x.split()[0] for x in SEGMENT.split(", ")]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each of a document's found anchors, with the bytes of its segment."""
-    names = ["anchor", "row", "place", "low", "high", "bytes"]
     for batch in batches:
         for i in range(batch.num_rows):
             text, found = batch["utf8"][i].as_py(), batch["found"][i].values
-            columns = [found.field(k) for k in range(4)]
-            spans = zip(columns[2].to_pylist(), columns[3].to_pylist(), strict=True)
+            anchor, place, reach, contents = (found.field(k) for k in range(4))
+            low = np.asarray(place) - np.asarray(reach) // 128
+            high = low + np.asarray(reach) % 128
             row = pa.array(np.full(len(found), batch["row"][i].as_py(), np.int64))
-            yield pa.RecordBatch.from_arrays([columns[0], row, *columns[1:], pa.array([text[a : b + LENGTH] for a, b in spans], pa.binary())], names)
+            cut = pa.array([text[a : b + LENGTH] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([anchor, row, place, pa.array(low), pa.array(high), contents, cut], _NAMES)
 
 
 def _spans(table: pa.Table) -> pa.RecordBatch:
@@ -180,6 +192,9 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
+        batch = batch.filter(pc.less_equal(batch["contents"], SEGMENTS))
+        if not batch.num_rows:
+            continue
         held.append(batch)
         n += batch.num_rows
         if n >= BATCH:
@@ -195,8 +210,9 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a segment."""
+    """A row for each window of the segments that _sorted_groups() leaves out."""
     for batch in batches:
+        batch = batch.filter(pc.greater(batch["contents"], SEGMENTS))
         for row, low, high, text in zip(*(batch[c].to_pylist() for c in ("row", "low", "high", "bytes")), strict=True):
             starts = np.arange(low, high + 1)
             windows = pa.array([text[k : k + LENGTH] for k in range(len(starts))], pa.binary())
@@ -253,6 +269,7 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), texts: bool =
     under LENGTH bytes stay whole; rows that repeat a doc_id follow one another by their texts, and a null doc_id comes
     before all. An empty table gives an empty table; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     carried = F.struct(*carry).alias("carried") if carry else F.lit(None).cast("struct<none:int>").alias("carried")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), carried, utf8().alias("utf8"))
     # A row's number: its doc_id where that is the row's own.
@@ -267,33 +284,24 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), texts: bool =
     copies = digest.join(firsts, "digest").where("row <> first").select("row", F.lit(True).alias("copy"))
     whole = rows.join(copies, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     found = _anchor_rows(whole.where("not copy").select("row", "utf8"))
-    by_anchor = Window.partitionBy("anchor").orderBy("row", "place")
-    met = (F.lag("row").over(by_anchor).isNotNull()) | (F.lead("row").over(by_anchor).isNotNull())
-    again = found.withColumn("met", met).where("met").drop("met")
-    per_row = again.groupBy("row").agg(F.collect_list(F.struct("anchor", "place", "low", "high")).alias("found"))
-    segments = cut_lineage(per_row.join(rows.select("row", "utf8"), "row").select("row", "found", "utf8").mapInArrow(_cut, SEGMENT), "segments")
-    # Of the equal segments of an anchor the first stands for all; the others are covered whole.
-    least = F.min(F.struct("row", "place", "low", "high")).alias("first")
-    distinct = segments.withColumn("shift", F.col("place") - F.col("low")).groupBy("anchor", "shift", "bytes").agg(least, F.count("*").alias("n"))
-    distinct = cut_lineage(distinct.select("anchor", "first.*", "bytes", "n", "shift"), "distinct-segments")
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > SEGMENTS)
-    columns = [x.split()[0] for x in SEGMENT.split(", ")]
-    some = cut_lineage(hot.select("anchor"), "hot-anchors")
-    if some.isEmpty():
-        calm, spans = distinct, None
-    else:
-        calm = distinct.join(some, "anchor", "left_anti")
-        windows = distinct.join(some, "anchor", "left_semi").select(columns).mapInArrow(_exploded, "window binary, row long, start long")
-        first = windows.groupBy("window").agg(F.min(F.struct("row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = windows.join(first.select("window", "first"), "window").where("struct(row, start) > first")
-        spans = later.select("row", "start", (F.col("start") + LENGTH).alias("end"))
-    sorted_rows = calm.select(columns).repartition("anchor").sortWithinPartitions("anchor", "row", "place")
-    ordered = sorted_rows.mapInArrow(_sorted_groups, "row long, start long, end long")
-    spans = ordered if spans is None else ordered.unionByName(spans)
-    repeated = distinct.where("n > 1").select("anchor", "shift", "bytes", F.struct("row", "place").alias("first"))
-    later = segments.withColumn("shift", F.col("place") - F.col("low")).join(repeated, ["anchor", "shift", "bytes"])
-    later = later.where("struct(row, place) > first")
-    spans = spans.unionByName(later.select("row", F.col("low").cast("long").alias("start"), (F.col("high") + LENGTH).cast("long").alias("end")))
+    anchor, of_content = Window.partitionBy("anchor"), Window.partitionBy("anchor").orderBy("content", "row", "place")
+    found = found.withColumn("later", F.coalesce(F.lag("content").over(of_content) == F.col("content"), F.lit(False)))
+    found = found.withColumn("contents", F.count_if(~F.col("later")).over(anchor))
+    found = found.where("later or contents > 1")
+    # Of an anchor's equal segments the first stands for all, and the others are covered whole.
+    low = F.col("place") - F.expr("reach div 128")
+    whole_spans = F.collect_list(F.when(F.col("later"), F.struct(low.cast("long").alias("start"), (low + F.col("reach") % 128 + LENGTH).cast("long").alias("end"))))
+    firsts = F.collect_list(F.when(~F.col("later"), F.struct("anchor", "place", "reach", "contents")))
+    per_row = cut_lineage(found.groupBy("row").agg(whole_spans.alias("covered"), firsts.alias("found")), "anchors")
+    # All columns of whole go along, so that the texts are shuffled once for this join and the last one.
+    segments = whole.join(per_row.where(F.size("found") > 0).select("row", "found"), "row").mapInArrow(_cut, SEGMENT)
+    dealt = segments.repartition("anchor")
+    ordered = dealt.sortWithinPartitions("anchor", "row", "place").mapInArrow(_sorted_groups, "row long, start long, end long")
+    windows = dealt.mapInArrow(_exploded, "window binary, row long, start long")
+    first = windows.groupBy("window").agg(F.min(F.struct("row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = windows.join(first.select("window", "first"), "window").where("struct(row, start) > first")
+    spans = ordered.unionByName(later.select("row", "start", (F.col("start") + LENGTH).alias("end")))
+    spans = spans.unionByName(per_row.select("row", F.explode("covered").alias("s")).select("row", "s.start", "s.end"))
     per_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = whole.join(per_row, "row", "left").select("doc_id", "carried", "utf8", "copy", "spans")
     kind = done.schema["carried"].dataType.simpleString()
