@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, ledger, safety, trust  # noqa: F401  (each registers its queries)
+from . import detection, ledger, safety, tools, trust  # noqa: F401  (each registers its queries)
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
