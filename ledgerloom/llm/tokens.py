@@ -114,9 +114,13 @@ class WordCoder:
                 return [*self.parts(line), b"\n", *self.parts(rest)]
             return [word]
         base = word.rstrip(MARKS)
-        if base and len(base) < len(word) and (base[-1:].isalnum() or base.decode("utf-8", "replace")[-1].isalpha()):
-            return [base, word[len(base) :]]
-        return [word]
+        if not base or len(base) == len(word):
+            return [word]
+        if not base[-1:].isalnum():
+            text = base.decode("utf-8", "replace")
+            if not (text.lower() if self.lowers else text)[-1].isalpha():
+                return [word]
+        return [base, word[len(base) :]]
 
     def learn(self, new: set[bytes]) -> None:
         cut = {w: p for w in new if len(p := self.parts(w)) > 1}
