@@ -103,12 +103,14 @@ def align(expected: DataFrame, extracted: DataFrame, description_floor: float =
         frame = pd.DataFrame(pairs, columns=["expected_row", "extracted_row"], dtype="Int64")
         return frame.assign(fixture=key[0])[["fixture", "expected_row", "extracted_row"]]
 
+    extracted = extracted.select(*(F.col(c).alias(c) for c in extracted.columns))  # also where both are made of one frame
     return expected.groupBy("fixture").cogroup(extracted.groupBy("fixture")).applyInPandas(pair, "fixture string, expected_row long, extracted_row long")
 
 
 def scorecard(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     """Recall, precision and field rates per fixture and, with a null fixture, over all; rates are of the expected rows."""
     fields = ("txn_date", "amount", "direction", "merchant", "category")
+    extracted = extracted.select(*(F.col(c).alias(c) for c in extracted.columns))
     sides = [f.select("fixture", F.col("row").alias(f"{s}_row"), *(F.col(c).alias(f"{s}_{c}") for c in fields)) for s, f in (("expected", expected), ("extracted", extracted))]
     pairs = align(expected, extracted).join(sides[0], ["fixture", "expected_row"], "left").join(sides[1], ["fixture", "extracted_row"], "left")
     paired = F.col("expected_row").isNotNull() & F.col("extracted_row").isNotNull()
