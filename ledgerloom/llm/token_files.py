@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, drop_tables, shared_folder, utf8
+from .common import cut_lineage, drop_tables, shared_folder, small_batches, utf8
 from .tokens import coder, slices, vocabulary_path
 
 END_ID = 2
@@ -51,10 +51,11 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks behind control and data bytes, by table lookup."""
     width = WIDTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
     at = np.cumsum(width, dtype=np.int64) - width
-    held = np.frombuffer(data + b"\0\0\0", np.uint8)
+    held = np.frombuffer(data, np.uint8)
     ranks = held[at].astype(np.uint32)
-    for k in range(1, int(width.max(initial=1))):
-        ranks |= np.where(width > k, held[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    for k in range(1, 4):
+        wide = wide[width[wide] > k] if k > 1 else np.flatnonzero(width > 1)
+        ranks[wide] |= held[at[wide] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
 
@@ -87,19 +88,27 @@ def _tokenized(docs: DataFrame, vocabulary: str, keeps_space: bool, end_id: int,
                     ids = encoder.encode([x.as_py() for x in texts[part.start : part.stop]])
                     yield from ((d, x + end) for d, x in zip(doc_ids[part], ids, strict=True))
 
-        part = TaskContext.get().partitionId()
+        part, total = TaskContext.get().partitionId(), np.zeros(0, np.int64)
         for k, (doc_ids, lengths, ids) in enumerate(_blocks(found(), ids_a_block)):
-            ids = np.frombuffer(ids, "<u4").astype(narrow).tobytes()
+            ids = np.frombuffer(ids, "<u4")
+            own = np.bincount(ids, minlength=len(total))
+            own[: len(total)] += total
+            total, ids = own, ids.astype(narrow).tobytes()
             yield pa.RecordBatch.from_pylist(
-                [{"part": part, "block": k, "doc_ids": doc_ids, "lengths": lengths, "width": narrow.itemsize, "ids": ids}],
-                RAW,
+                [{"part": part, "block": k, "doc_ids": doc_ids, "lengths": lengths, "width": narrow.itemsize, "ids": ids}], RAW
             )
+        seen = np.flatnonzero(total)
+        # The task's counts, as a row beside its blocks: ids and how often each came.
+        yield pa.RecordBatch.from_pylist([{"part": part, "block": COUNTS, "doc_ids": seen, "lengths": total[seen], "width": 0, "ids": b""}], RAW)
 
+    small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "utf8")
     return ordered.mapInArrow(encode, f"{BLOCK}, width int, ids binary")
 
 
+COUNTS = -1
+
 LISTS = [("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))]
 RAW = pa.schema([*LISTS, ("width", pa.int32()), ("ids", pa.binary())])
 CODED = pa.schema([*LISTS, ("control", pa.binary()), ("data", pa.binary())])
@@ -109,17 +118,6 @@ def _ids(width, ids) -> np.ndarray:
     return np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for width, ids in zip(batch["width"], batch["ids"], strict=True):
-            own = np.bincount(_ids(width, ids), minlength=len(total))
-            own[: len(total)] += total
-            total = own
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-
-
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -135,7 +133,8 @@ def write_token_files(
     """
     spark = docs.sparkSession
     raw = cut_lineage(_tokenized(docs, vocabulary or vocabulary_path("byte_bpe_50k.json"), keeps_space, end_id, ids_a_block), "raw-ids")
-    counts = raw.select("width", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.where(F.col("block") == COUNTS).select(F.explode(F.arrays_zip("doc_ids", "lengths")).alias("c"))
+    counts = counts.groupBy("c.doc_ids").agg(F.sum("c.lengths").alias("n"))
     ids, n = np.array(counts.collect(), np.int64).reshape(-1, 2).T  # a row for each id of the vocabulary at most
     ids = ids[np.lexsort((ids, -n))]
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
@@ -148,7 +147,7 @@ def write_token_files(
                 same = [batch.column(c)[i : i + 1] for c in range(4)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array([control]), pa.array([data])], schema=CODED)
 
-    coded = raw.mapInArrow(code, f"{BLOCK}, control binary, data binary")
+    coded = raw.where(F.col("block") != COUNTS).mapInArrow(code, f"{BLOCK}, control binary, data binary")
     coded.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     ranks = spark.createDataFrame(list(enumerate(ids.tolist())), "rank int, id long")
     ranks.coalesce(1).write.parquet(f"{path}/ranks")

@@ -6,6 +6,7 @@ not met yet, and a text's ids are its words' ids in a row. Ids are held as littl
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -28,9 +29,13 @@ _WIDE_SPACE = re.compile(
 _RARE_SPACE = [bytes([x]) for x in b"\t\v\f\r\x1c\x1d\x1e\x1f"]
 
 
+#: Runs of newlines and spaces of which byte-level BPE makes one unit, not one for each newline.
+_RUNS = (b"  ", b"\n\n\n", b"\n\n ", b" \n\n", b"\n \n")
+
+
 def plain_space(text: bytes) -> bool:
-    """Whether the only white space is spaces and newlines, and none of the spaces stands between two others of them."""
-    if any(x in text for x in _RARE_SPACE) or b"  " in text or b"\n \n" in text:
+    """Whether the only white space is spaces and newlines, and each of them is a unit of its own or begins a word."""
+    if any(x in text for x in _RARE_SPACE) or any(x in text for x in _RUNS) or text.endswith(b"\n\n"):
         return False
     return text.isascii() or not _WIDE_SPACE.search(text)
 
@@ -57,6 +62,10 @@ def _byte_units() -> dict[int, int]:
 BYTE_UNITS = _byte_units()
 
 
+def _units(data: bytes) -> str:
+    return data.decode("latin-1").translate(BYTE_UNITS)
+
+
 class WordCoder:
     """encode() gives each text's ids as bytes, equal to the library's encoding of the whole text.
 
@@ -86,33 +95,30 @@ class WordCoder:
         A word of Latin letters alone is one unit of both tokenizers' own splitting, so the library's BPE model takes it
         as it is; any other word goes through the whole tokenizer.
         """
+        model, before = self.tokenizer.model.tokenize, _units(space)
         ids: list[bytes | None] = []
         for w in words:
+            if w.isalpha():  # ASCII letters, which byte-level BPE writes as they are
+                units = before + w.decode("ascii")
+                ids.append(as_bytes([t.id for t in model(units.lower() if self.lowers else units)]))
+                continue
             text = w.decode("utf-8", "replace")
             text = text.lower() if self.lowers else text
-            if text.isalpha() and (w.isascii() or max(text) < "\u0250"):
-                units = (space.decode() + text).encode().decode("latin-1").translate(BYTE_UNITS)
-                ids.append(as_bytes([t.id for t in self.tokenizer.model.tokenize(units)]))
-            else:
-                ids.append(None)
+            latin = text.isalpha() and max(text) < "\u0250"
+            ids.append(as_bytes([t.id for t in model(before + _units(text.encode()))]) if latin else None)
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(rest, self.library([space + words[i] for i in rest]), strict=True):
             ids[i] = x
         return ids
 
     def words(self, text: bytes) -> list[bytes]:
+        """The text's words; where they keep their space, the first stands without one, and a newline begins a word."""
         if not self.keeps_space:
             return (text.lower() if self.lowers else text).split()
-        # A word stands for a space and itself, but for the first, whose text has no space before it: it is encoded apart.
-        return text.split(b" ")[1:] if plain_space(text) else []
+        return text.replace(b"\n", b" \n").split(b" ") if plain_space(text) else [text]
 
     def parts(self, word: bytes) -> list[bytes]:
-        """The word, and last marks or a line break and what follows it, cut where both tokenizers part them."""
-        if self.keeps_space and b"\n" in word:
-            line, _, rest = word.partition(b"\n")
-            if rest and b"\n" not in rest:
-                return [*self.parts(line), b"\n", *self.parts(rest)]
-            return [word]
+        """The word, and its last marks apart where both tokenizers part them."""
         base = word.rstrip(MARKS)
         if not base or len(base) == len(word):
             return [word]
@@ -123,18 +129,34 @@ class WordCoder:
         return [base, word[len(base) :]]
 
     def learn(self, new: set[bytes]) -> None:
-        cut = {w: p for w in new if len(p := self.parts(w)) > 1}
-        first = (new.difference(cut) | {p[0] for p in cut.values()}).difference(self.known)
-        after = {x for p in cut.values() for x in p[1:]}.difference(self.apart)
+        """Takes in words; in those that begin with a newline it stands for itself and no space follows."""
+        lines = {w: [b"\n", *self.parts(w[1:])] for w in new if w[:1] == b"\n"} if self.keeps_space else {}
+        cut = {w: p for w in new.difference(lines) if len(p := self.parts(w)) > 1}
+        first = (new.difference(cut, lines) | {p[0] for p in cut.values()}).difference(self.known)
+        after = ({x for p in cut.values() for x in p[1:]} | {x for p in lines.values() for x in p}).difference(self.apart)
         for known, words, space in ((self.known, list(first), b" " if self.keeps_space else b""), (self.apart, list(after), b"")):
             for i in range(0, len(words), BATCH_WORDS):
                 part = words[i : i + BATCH_WORDS]
                 known.update(zip(part, self.encode_words(part, space), strict=True))
         for w, p in cut.items():
             self.known[w] = self.known[p[0]] + b"".join([self.apart[x] for x in p[1:]])
+        for w, p in lines.items():
+            self.known[w] = b"".join([self.apart[x] for x in p])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Millions of short-lived objects, none in cycles, are no work for the garbage collector."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
+        heads = [b""] * len(texts)
+        if self.keeps_space:
+            heads = self.library([words[0] for words in cut])
+            cut = [words[1:] for words in cut]
         ids = [list(map(self.known.get, words)) for words in cut]
         holes = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in ids]
         if any(holes):
@@ -144,11 +166,7 @@ class WordCoder:
                     found[i] = self.known[words[i]]
         if len(self.known) + len(self.apart) > self.most:
             self.known, self.apart = {}, {}
-        ids = [b"".join(x) for x in ids]
-        if not self.keeps_space:
-            return ids
-        heads = self.library([t.split(b" ", 1)[0] if words else t for t, words in zip(texts, cut, strict=True)])
-        return [h + x for h, x in zip(heads, ids, strict=True)]
+        return [h + b"".join(x) for h, x in zip(heads, ids, strict=True)]
 
 
 @cache
