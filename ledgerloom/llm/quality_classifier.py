@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 from .labelled import held_out, sample
 from .textblock import NOT_WHITE, U64, TextBlock, mixed, sequences, text_blocks
 
@@ -150,6 +150,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Learns from at most ``most`` labelled documents of each class outside the held-out fold."""
+    small_batches(docs.sparkSession)
     drawn, whole = sample(labels.select("doc_id", F.col("quality").alias("label")), "label", most)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_or_empty
+from .common import cut_lineage, small_batches, text_or_empty
 from .tokens import as_bytes, vocabulary_path
 
 GIANT = 80_000
 CHUNK = 8_192
 SPACE = "▁"
+#: Pairs of pieces whose verdict a worker holds; some 200 bytes each.
+PAIRS = 200_000
 
 State = tuple[int, int]
 #: The state before the first character.
@@ -74,13 +76,15 @@ class Pieces:
 
     def is_piece(self, text: str) -> bool:
         """Whether a text is one symbol of some encoding; a character that the model lacks is."""
+        if len(text) == 1 or text not in self.ids:
+            return len(text) == 1
         if text not in self.own:
-            self.own[text] = len(text) == 1 or (text in self.ids and self.merged(text) == [text])
+            self.own[text] = self.merged(text) == [text]
         return self.own[text]
 
     def may_follow(self, a: str, b: str) -> bool:
         if (a, b) not in self.pairs:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = self.merged(a + b) == [a, b]
         return self.pairs[a, b]
@@ -246,6 +250,7 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     A null or empty text has no ids. Rows that repeat have equal results; a null doc_id is passed on; an empty table
     gives an empty table; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     path = path or vocabulary_path("piece_bpe_32k.model")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     large = F.char_length("text") > giant
