@@ -22,23 +22,30 @@ def candidates(ledger: DataFrame, days: int = PAIRING_DAYS) -> DataFrame:
     return both.select("tenant_id", "amount", "a", "b", "a_date", gap.alias("gap"))
 
 
+#: Buckets of (tenant, amount) for each shuffle partition.
+BUCKETS = 4
+
+
 def pair_transfers(ledger: DataFrame, days: int = PAIRING_DAYS) -> DataFrame:
     """One row per pair. Rows are taken by date and id; each takes its nearest free counterpart, of equals the smaller id.
 
-    Only candidates of one tenant and amount can compete, so each such block is settled by itself; a block holds the
-    candidate pairs of one amount within a few days.
+    Only candidates of one tenant and amount can compete. They are settled together with others that fall into the same
+    bucket: blocks are small and many, and a call for each would cost more than its work.
     """
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
+        taken: set[tuple[int, str]] = set()
         pairs = []
         for r in rows.sort_values(["a_date", "a", "gap", "b"]).itertuples():
-            if r.a not in taken and r.b not in taken:
-                taken |= {r.a, r.b}
+            one, two = (r.tenant_id, r.a), (r.tenant_id, r.b)
+            if one not in taken and two not in taken:
+                taken |= {one, two}
                 pairs.append((r.tenant_id, r.amount, r.a, r.b, r.gap))
         return pd.DataFrame(pairs, columns=["tenant_id", "amount", "txn_id", "paired_with", "gap_days"])
 
-    return candidates(ledger, days).groupBy("tenant_id", "amount").applyInPandas(settle, PAIRS)
+    n = BUCKETS * int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("tenant_id", "amount"), F.lit(n)).alias("bucket")
+    return candidates(ledger, days).groupBy(bucket).applyInPandas(settle, PAIRS)
 
 
 def without_paired(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
