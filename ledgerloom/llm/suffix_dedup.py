@@ -128,11 +128,15 @@ def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: The first start of the windows that name an anchor lies place - reach // 128 back, and the last reach % 128 after it.
-ANCHOR = "anchor long, content long, row long, place int, reach int"
+ANCHOR = "anchor long, content long, row long, place int, reach int, sure boolean"
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """A row for each anchor; content is a hash of its segment and of where the anchor stands in it."""
+    """A row for each anchor; content is a hash of its segment and of where the anchor stands in it.
+
+    Of equal segments in the texts at hand only the first has to meet the other texts'. The others are covered whole for
+    sure, and get a number of their own for an anchor: however often a line comes, its rows are dealt out evenly.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,11 +146,15 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(block.starts, place, "right") - 1
                 reach = (place - low) * 128 + high - low
                 content = mixed(block.hashes(low, high + LENGTH) ^ mixed(reach.astype(U64)))
-                ids = batch.column(0)[first:last].take(pa.array(doc))
-                own = [(place - block.starts[doc]).astype(np.int32), reach.astype(np.int32)]
+                row = np.asarray(batch.column(0)[first:last])[doc].astype(np.int64)
+                place = (place - block.starts[doc]).astype(np.int32)
+                order = np.lexsort((place, row, content, h))
+                again = np.zeros(len(h), bool)
+                again[order[1:]] = (h[order][1:] == h[order][:-1]) & (content[order][1:] == content[order][:-1])
+                h = np.where(again, mixed(content ^ mixed(row.astype(U64)) ^ place.astype(U64)), h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), ids, *map(pa.array, own)],
-                    ["anchor", "content", "row", "place", "reach"],
+                    [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), *map(pa.array, (row, place, reach.astype(np.int32), again))],
+                    ["anchor", "content", "row", "place", "reach", "sure"],
                 )
 
     return docs.mapInArrow(made, ANCHOR)
@@ -285,7 +293,8 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), texts: bool =
     whole = rows.join(copies, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     found = _anchor_rows(whole.where("not copy").select("row", "utf8"))
     anchor, of_content = Window.partitionBy("anchor"), Window.partitionBy("anchor").orderBy("content", "row", "place")
-    found = found.withColumn("later", F.coalesce(F.lag("content").over(of_content) == F.col("content"), F.lit(False)))
+    before = F.coalesce(F.lag("content").over(of_content) == F.col("content"), F.lit(False))
+    found = found.withColumn("later", F.col("sure") | before).drop("sure")
     found = found.withColumn("contents", F.count_if(~F.col("later")).over(anchor))
     found = found.where("later or contents > 1")
     # Of an anchor's equal segments the first stands for all, and the others are covered whole.
