@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, utf8
+from .common import cut_lineage, small_batches, utf8
 from .labelled import held_out, sample
 from .textblock import ALPHANUMERIC, U64, TextBlock, mixed, text_blocks
 
@@ -32,6 +32,7 @@ EVIDENCE = 3
 PRIOR = 0.2
 BLOCK = 64
 THRESHOLD = 0.5
+ROWS_A_TASK = 5_000
 PREFIXES = range(4, 9)
 
 
@@ -201,6 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
     passed on; an empty table gives an empty table; labels, lang, source and doc_id are no input of a score.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     drawn, whole = sample(labels.select("doc_id", F.col("toxic").alias("label")), "label", most)
     # The sample has 2 * most rows at most, whatever the input.
     drawn = F.broadcast(drawn)
@@ -230,4 +232,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
             made = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], _EVIDENCE)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "held_out", "score", "evidence"])
 
-    return vectors.mapInArrow(scored, SCHEMA).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    # The vectors are small in bytes but dear in work, so their rows say how many tasks they need.
+    return vectors.repartition(max(1, n // ROWS_A_TASK)).mapInArrow(scored, SCHEMA).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
