@@ -1,7 +1,9 @@
 """Whole texts to token ids by a public tokenizer, encoding each distinct word once per worker.
 
 Texts are cut where the tokenizer always starts a new word, the tokenizers library encodes words that the worker has
-not met yet, and a text's ids are its words' ids in a row. Ids are held as little-endian unsigned 32-bit bytes.
+not met yet, and a text's ids are its words' ids in a row. The tokenizer's added tokens are matched in the texts as they
+come, as the library does by default, and what lies between them is encoded by itself. Ids are held as little-endian
+unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
@@ -78,14 +80,21 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if odd := [t.content for t in added.values() if t.normalized or t.lstrip or t.rstrip or t.single_word]:
+            raise ValueError(f"texts cannot be cut at the added tokens {odd}")
+        self.added = {t.content.encode(): as_bytes([i]) for i, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.added_tokens = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")")
         self.keeps_space = keeps_space
         self.apart: dict[bytes, bytes] = {}  # ids of marks and of words at the start of a line
         self.lowers = self.library([b"LEDGER"]) == self.library([b"ledger"])
         self.known: dict[bytes, bytes] = {}
         self.most = CACHE_WORDS
 
-    def library(self, texts: list[bytes]) -> list[bytes]:
+    def library(self, texts: list[bytes], ordinary: bool = False) -> list[bytes]:
+        """The library's own encoding; ordinary: names of added tokens are ordinary text, as in words that are lowered."""
+        self.tokenizer.encode_special_tokens = ordinary
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [as_bytes(x.ids) for x in found]
 
@@ -107,7 +116,7 @@ class WordCoder:
             latin = text.isalpha() and max(text) < "\u0250"
             ids.append(as_bytes([t.id for t in model(before + _units(text.encode()))]) if latin else None)
         rest = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(rest, self.library([space + words[i] for i in rest]), strict=True):
+        for i, x in zip(rest, self.library([space + words[i] for i in rest], True), strict=True):
             ids[i] = x
         return ids
 
@@ -147,15 +156,23 @@ class WordCoder:
         """The ids of each text. Millions of short-lived objects, none in cycles, are no work for the garbage collector."""
         gc.disable()
         try:
+            if any(x in t for t in texts for x in self.added):
+                return self._encode_between(texts)
             return self._encode(texts)
         finally:
             gc.enable()
 
+    def _encode_between(self, texts: list[bytes]) -> list[bytes]:
+        """Cuts the texts at added tokens, which the library does before all else."""
+        cut = [self.added_tokens.split(t) for t in texts]
+        ids = iter(self._encode([x for parts in cut for x in parts[::2]]))
+        return [b"".join([self.added[x] if k % 2 else next(ids) for k, x in enumerate(parts)]) for parts in cut]
+
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
         heads = [b""] * len(texts)
         if self.keeps_space:
-            heads = self.library([words[0] for words in cut])
+            heads = self.library([words[0] for words in cut], True)
             cut = [words[1:] for words in cut]
         ids = [list(map(self.known.get, words)) for words in cut]
         holes = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in ids]

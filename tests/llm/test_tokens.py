@@ -32,6 +32,26 @@ def test_words_encode_as_the_library_encodes_the_whole_text(name, keeps):
     assert coder.encode(data) == coder.library(data)
 
 
+@pytest.mark.parametrize(("name", "keeps"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_added_tokens_encode_as_by_an_untouched_tokenizer(name, keeps):
+    from tokenizers import Tokenizer
+
+    coder, untouched = tokens.WordCoder(tokens.vocabulary_path(name), keeps), Tokenizer.from_file(tokens.vocabulary_path(name))
+    want = lambda texts: [tokens.as_bytes(untouched.encode(t, add_special_tokens=False).ids) for t in texts]
+    names = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "<"]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(names) | MIXED | ODD_WORDS, max_size=6).map("".join), max_size=4))
+    def holds(texts):
+        assert coder.encode([t.encode() for t in texts]) == want(texts)
+
+    holds()
+    texts = ["end of file <|endoftext|> next", "a<|startoftext|>b", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> x <|endoftext|>\n\ny", "e<|endoftext|>́"]
+    assert coder.encode([t.encode() for t in texts]) == want(texts)
+    if keeps:
+        assert np.frombuffer(coder.encode([texts[0].encode()])[0], "<u4").tolist() == [437, 286, 2393, 220, 50256, 1306]
+
+
 def test_a_full_cache_starts_anew():
     coder = tokens.WordCoder(tokens.vocabulary_path("word_bpe_49k.json"), False)
     coder.most = 3
