@@ -128,13 +128,24 @@ def audit_details(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", kept["event_type"].alias("event_type"), F.array_join(dropped, ",").alias("dropped"))
 
 
+PARSERS = [("even", ["bank of even accounts"], "EVEN", 10), ("generic", ["statement of account"], "GNRC", 0)]
+PARSER_SCHEMA = "code string, signatures array<string>, ifsc_prefix string, priority int"
+
+
 @query("S7_S8_S11_S12_S14_statement_text")
 def statement_text(spark, sf_dir):
-    """Statements printed as text from L5 and read back: the rows' dates, amounts and directions."""
-    rows = S.statement_lines(spark, sf_dir).where("account_id <= 200")
+    """Statements printed as text from L5 and read back: the rows' dates, amounts and directions, and the mastheads' parser and figures."""
+    rows = S.statement_lines(spark, sf_dir)
     line = F.concat_ws(" ", F.date_format("txn_date", "dd/MM/yyyy"), F.lit("POS"), "merchant", F.format_number("amount", 2), F.format_number("running", 2))
     order = F.array_sort(F.collect_list(F.struct("source_row", line.alias("line"))))
-    text = F.concat(F.lit("Statement of account\nBranch X\nAccount no: XXXX1234\n"), F.array_join(F.transform(order, lambda x: x["line"]), "\n"))
+    account, day = F.max("account_id"), lambda d: F.date_format(d, "dd/MM/yyyy")
+    bank = F.when(account % 2 == 0, "Bank of Even Accounts\nBranch X EVEN0001234").otherwise("Statement of account\nBranch X")
+    number = F.concat(F.lit("Account no: XXXX"), F.lpad((account % 10_000).cast("string"), 4, "0"))
+    period = F.concat(F.lit("Period: "), day(F.min("txn_date")), F.lit(" to "), day(F.max("txn_date")))
+    text = F.concat_ws("\n", bank, number, period, F.lit("Opening balance: 0.00"), F.array_join(F.transform(order, lambda x: x["line"]), "\n"))
     docs = rows.groupBy(F.col("statement_id").alias("doc_id")).agg(F.array(F.struct(F.lit(1).alias("page_number"), text.alias("text"))).alias("pages"))
-    opening = docs.select("doc_id", F.lit(0).cast("decimal(18,2)").alias("opening_balance"))
-    return X.text_rows(docs, opening)
+    heads = X.masthead(docs).select("doc_id", "masthead", X.metadata(F.col("masthead")).alias("m"))
+    opening = heads.select("doc_id", F.col("m.opening_balance").cast("decimal(18,2)").alias("opening_balance"))
+    printed = heads.select("doc_id", F.size(F.split("masthead", "\n")).alias("masthead_lines"), "m.period_start", "m.period_end", "m.last4", "m.opening_balance")
+    parser = X.dispatch(docs, spark.createDataFrame(PARSERS, PARSER_SCHEMA)).select("doc_id", F.col("code").alias("parser"), F.col("score").alias("parser_score"))
+    return X.text_rows(docs, opening).join(parser, "doc_id").join(printed, "doc_id")

@@ -112,7 +112,7 @@ def near_duplicates(spark, sf_dir):
 
 @query("A32_J20_scorecard")
 def scorecard(spark, sf_dir):
-    rows = _narrated(spark, sf_dir).where("account_id <= 40").withColumn("row", F.col("txn_id").cast("long"))
+    rows = _narrated(spark, sf_dir).withColumn("row", F.col("txn_id").cast("long"))
     truth = rows.select(F.col("account_id").cast("string").alias("fixture"), "row", "txn_date", "amount", "direction", "description", "merchant", "category")
     wrong = F.when(F.col("row") % 5 == 1, F.date_add("txn_date", 1)).otherwise(F.col("txn_date"))
     read = truth.where("row % 11 <> 0").withColumns({"txn_date": wrong, "category": F.when(F.col("row") % 7 == 0, "OTHER").otherwise(F.col("category"))})

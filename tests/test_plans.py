@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.similarity import token_set_ratio
 from ledgerloom.operators import categorize as C
 from ledgerloom.plans import tools as Q
+from ledgerloom.queries import QUERIES
+from ledgerloom.sources import adapters as S
 from ledgerloom.sources import statement_json as J
 from ledgerloom.sources import statement_text as X
 from ledgerloom.streaming import jobs as T
@@ -111,6 +113,38 @@ def test_statement_text_rows(spark):
     assert (str(meta.period_start), str(meta.period_end), meta.last4) == ("2024-03-01", "2024-03-31", "1234")
 
 
+ACCOUNTS = (7, 40, 41, 200, 201, 12_345)
+
+
+@pytest.fixture(scope="module")
+def orders_dir(spark, tmp_path_factory):
+    """Three orders of each account, two of them in one year."""
+    folder = f"file://{tmp_path_factory.mktemp('orders')}"
+    orders = [(10 * k + n, a, date(1996 + n // 2, 3 + n, 5), D(f"{1000 + 10 * k + n}.25"), "F", "1-URGENT") for k, a in enumerate(ACCOUNTS) for n in range(3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice decimal(15,2), o_orderstatus string, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(a, 1, "X") for a in ACCOUNTS], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    return folder
+
+
+def test_scorecard_query_covers_every_account(spark, orders_dir):
+    got = {r.fixture: r.expected for r in QUERIES["A32_J20_scorecard"](spark, orders_dir).collect()}
+    assert got == {str(a): 3 for a in ACCOUNTS} | {None: 3 * len(ACCOUNTS)}
+
+
+def test_statement_query_reads_back_every_account(spark, orders_dir):
+    got = QUERIES["S7_S8_S11_S12_S14_statement_text"](spark, orders_dir).collect()
+    want = S.statement_lines(spark, orders_dir).collect()
+    assert sorted((r.doc_id, r.source_row, r.txn_date, r.amount, r.direction, r.direction_confidence) for r in got) == sorted((r.statement_id, r.source_row, r.txn_date, r.amount, r.direction, 0.99) for r in want)
+    dates = {}
+    for r in want:
+        dates.setdefault(r.statement_id, []).append(r.txn_date)
+    for r in got:
+        account = r.doc_id // 10_000
+        assert (r.parser, r.parser_score) == (("even", 1.0) if account % 2 == 0 else ("generic", 0.8))
+        assert (r.masthead_lines, r.last4, r.opening_balance) == (5, f"{account % 10_000:04}", 0)
+        assert (r.period_start, r.period_end) == (min(dates[r.doc_id]), max(dates[r.doc_id]))
+
+
 def test_headers_and_dispatch(spark):
     row = spark.createDataFrame([(["Txn Date", "Narration", "Withdrawal Amt (INR)", "Deposit Amt", "Balance", "Date"],)], "cells array<string>")
     roles = X.header_roles(F.col("cells"))
