@@ -1,4 +1,4 @@
-"""Reads statement text: masthead, parser choice, table headers and rows, running-balance directions, metadata.
+"""Reads statement text: masthead, parser choice, roles of table headers, rows of text, running-balance directions, metadata.
 
 Documents are rows of (doc_id, pages) with pages as array<struct<page_number:int,text:string>>, or lines of them.
 """
