@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,6 +84,18 @@ def test_detectors_and_redaction():
     assert D.spans_of("nothing here") == []
 
 
+def test_safety_queries_see_digits_of_any_script_and_clean_documents(spark, tmp_path):
+    from ledgerloom.queries import QUERIES
+
+    texts = {1: "account \u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u0660\u0661 here", 2: "clean", 3: "mail a.b@c.com", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spans = {(r.doc_id, r.start, r.end) for r in QUERIES["D1_pii_scan"](spark, f"file://{tmp_path}").collect()}
+    assert spans == {(i, s, e) for i, t in texts.items() for _, s, e in D.spans_of(t or "")} and {i for i, _, _ in spans} == {1, 3}
+    got = {r.doc_id: r.redacted for r in QUERIES["D4_redaction"](spark, f"file://{tmp_path}").collect()}
+    md5 = lambda t: t if t is None else hashlib.md5(D._redacted(t, D.DETECTORS).encode()).hexdigest()
+    assert got == {i: md5(t) for i, t in texts.items()}
+
+
 @pytest.mark.parametrize(("digits", "good"), [("4111111111111111", True), ("4111 1111 1111 1112", False), ("42", False)])
 def test_luhn(spark, digits, good):
     assert one(spark, digits, D.luhn_valid) is good
