@@ -1,13 +1,17 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are lower-cased words and the first 4 to 8 bytes of longer ones. A bounded sample of labelled documents
-(``SAMPLE`` of each class) gives the terms that the classes use differently (``TERMS`` at most) and the examples.
-Inverse document frequencies count all documents. Every document becomes its vector of these terms, over its whole text,
-and looks up its nearest examples: postings lie in blocks of examples, each with its greatest weight per term; blocks
-are read by falling upper bound until none can hold a nearer example, so the cosines and neighbours are exact.
-
-A neighbour's vote weighs its cosine times its class's share in all labelled rows over its share in the sample; ``PRIOR``
-votes for the classes' shares smooth the score. Texts without any term score as the labelled texts without any.
+Terms are all lower-cased words of a bounded sample of labelled documents (``SAMPLE`` of each class), the examples.
+A term weighs (1 + log count) * idf * telling: inverse document frequencies count all documents, and telling is 1, or
+z * z / 4 for terms whose log-odds differ between the classes by more than z = 2 standard errors. So no term is left
+out, and those that tell the classes apart weigh the more. Every document becomes its vector over its whole text
+and looks up its nearest examples: postings lie in blocks of examples, each with its greatest weight per term. A batch
+of documents first reads the blocks of the highest upper bounds, then every block whose bound reaches the cosine of the
+last neighbour found; so cosines and neighbours are exact.
+
+A neighbour's vote weighs its cosine times its class's share in all labelled rows over its share in the sample;
+``PRIOR`` votes for the classes' shares smooth the toxic share. A logistic curve turns shares into scores; it is fitted
+to the examples' own toxic shares, each by neighbours and weights of the other ``FOLDS`` - 1 parts of the examples. Texts without any term score as the labelled
+texts without any.
 """
 
 from __future__ import annotations
@@ -21,183 +25,229 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, small_batches, utf8
 from .labelled import held_out, sample
-from .textblock import ALPHANUMERIC, U64, TextBlock, mixed, text_blocks
+from .quality_classifier import logistic
+from .textblock import ALPHANUMERIC, U64, TextBlock, text_blocks
 
-SAMPLE = 2_000
-TERMS = 4_096
-LEAST_Z = 4.0
-LEAST_TEXTS = 5
+SAMPLE = 1_500
 NEIGHBOURS = 15
 EVIDENCE = 3
 PRIOR = 0.2
+FOLDS = 5
 BLOCK = 64
 THRESHOLD = 0.5
 ROWS_A_TASK = 5_000
-PREFIXES = range(4, 9)
+#: Documents that are looked up at once, and the blocks that each of them reads first.
+QUERIES = 200
+FIRST_BLOCKS = 4
 
 
-def terms(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hash and text number of each term's occurrences, a kind of term at a time."""
+def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and count of each distinct lower-cased word of each text, ordered by text number and hash."""
     block = TextBlock(texts, lower=True)
     start, end, doc = block.words(ALPHANUMERIC)
-    yield block.hashes(start, end), doc
-    for n in PREFIXES:
-        long = end - start > n
-        yield mixed(block.hashes(start[long], start[long] + n) ^ U64(n)), doc[long]
-
-
-def _unique(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of hash and text number, and how often each came, ordered by text number and hash."""
+    h = block.hashes(start, end)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)])
     return h[first], doc[first], np.diff(np.r_[first, len(h)])
 
 
-def _telling_terms(rows: DataFrame, texts_of: dict[int, int]) -> np.ndarray:
-    """Hashes of the terms whose log-odds differ between the classes by LEAST_Z standard errors, in order."""
+def _lists(doc: np.ndarray, texts: int, *columns: pa.Array) -> list[pa.Array]:
+    ends = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=texts))].astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, c) for c in columns]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _flat(batch: pa.RecordBatch | pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column one after another, and how many each row has."""
+    lists = batch[column].combine_chunks() if isinstance(batch, pa.Table) else batch[column]
+    return np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets)).astype(np.int64)
+
+
+def _examples(rows: DataFrame) -> pa.Table:
+    """doc_id, label and the hashes and counts of the terms of each example, in the order of doc_id; the sample bounds it."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = np.asarray(batch.column(0))
-            for first, last, texts in text_blocks(batch.column(1)):
-                pairs = [_unique(*x)[:2] for x in terms(texts)]
-                h, doc = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                seen, at = np.unique(h, return_inverse=True)
-                toxic = np.bincount(at, label[first:last][doc], len(seen)).astype(np.int64)
-                both = np.bincount(at, minlength=len(seen))
-                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(toxic), pa.array(both)], ["term", "toxic", "texts"])
-
-    n1, n0 = texts_of[1], texts_of[0]
-    sums = rows.select("label", "utf8").mapInArrow(counted, "term long, toxic long, texts long")
-    sums = sums.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("texts").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-    odds = F.log(a / (n1 - F.col("a") + 0.5)) - F.log(b / (n0 - F.col("n") + F.col("a") + 0.5))
-    z = F.abs(odds) / F.sqrt(1 / a + 1 / b + 1 / (n1 - F.col("a") + 0.5) + 1 / (n0 - F.col("n") + F.col("a") + 0.5))
-    best = sums.select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS)
-    return np.sort(np.array([r["term"] for r in best.collect()], np.int64).view(U64))
+            for first, last, texts in text_blocks(batch.column(2)):
+                h, doc, count = terms(texts)
+                lists = _lists(doc, len(texts), pa.array(h.view(np.int64)), pa.array(count.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[first:last] for c in (0, 1)), *lists], ["doc_id", "label", "terms", "counts"])
+
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "utf8")
+    return rows.mapInArrow(found, "doc_id long, label int, terms array<long>, counts array<int>").toArrow().sort_by("doc_id")
 
 
 def _vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """doc_id, held_out, and the numbers and counts of the vocabulary's terms in each text."""
-    mask = U64((1 << 20) - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # eight bytes for each distinct word of the examples
+    mask = U64((1 << 22) - 1)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(vocabulary & mask).astype(np.int64)] = True
+        known = shared.value
+        maybe = np.zeros(1 << 22, bool)
+        maybe[(known & mask).astype(np.int64)] = True
         for batch in batches:
             for first, last, texts in text_blocks(batch.column(2)):
-                held = []
-                for h, doc in terms(texts):
-                    some = np.flatnonzero(maybe[(h & mask).astype(np.int64)])
-                    at = np.searchsorted(vocabulary, h[some])
-                    some, at = (x[vocabulary[np.minimum(at, len(vocabulary) - 1)] == h[some]] for x in (some, at)) if len(vocabulary) else (some[:0], at[:0])
-                    held.append((at, doc[some]))
-                term, doc, count = _unique(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                ends = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=len(texts)))].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, count)]
-                own = [batch.column(c)[first:last] for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, *lists], ["doc_id", "held_out", "terms", "counts"])
+                h, doc, count = terms(texts)
+                some = np.flatnonzero(maybe[(h & mask).astype(np.int64)])
+                at = np.searchsorted(known, h[some])
+                own = known[np.minimum(at, len(known) - 1)] == h[some] if len(known) else np.zeros(0, bool)
+                some, at = some[own] if len(known) else some[:0], at[own] if len(known) else at[:0]
+                lists = _lists(doc[some], len(texts), pa.array(at.astype(np.int32)), pa.array(count[some].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[first:last] for c in (0, 1)), *lists], ["doc_id", "held_out", "terms", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(), utf8())
     return rows.mapInArrow(found, "doc_id long, held_out boolean, terms array<int>, counts array<int>")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of the task's texts have each term."""
-    total = np.zeros(TERMS, np.int64)
-    for batch in batches:
-        total += np.bincount(np.asarray(batch["terms"].flatten()), minlength=TERMS)
-    term = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(total[term])], ["term", "n"])
+def _document_frequencies(vectors: DataFrame, n_terms: int) -> np.ndarray:
+    """How many documents have each term."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            total += np.bincount(np.asarray(batch["terms"].flatten()), minlength=n_terms)
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(total[term])], ["term", "n"])
+
+    sums = vectors.select("terms").mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(n_terms)
+    df[np.asarray(sums["term"])] = np.asarray(sums["n"])  # a row for each term of the examples at most
+    return df
+
+
+def telling(term: np.ndarray, row: np.ndarray, y: np.ndarray, n_terms: int) -> np.ndarray:
+    """Per term max(1, z * z / 4), z the log-odds between the classes in standard errors, by the examples that have it."""
+    a = np.bincount(term, y[row], n_terms) + 0.5
+    b = np.bincount(term, 1 - y[row], n_terms) + 0.5
+    not_a, not_b = (y == 1).sum() + 1 - a, (y == 0).sum() + 1 - b
+    z = np.log(a * not_b / (b * not_a)) / np.sqrt(1 / a + 1 / b + 1 / not_a + 1 / not_b)
+    return np.maximum(1.0, z * z / 4)
 
 
 class BlockMaxIndex:
-    """Examples' unit vectors as postings by term and block of examples, with each block's greatest weight per term."""
+    """Examples' unit vectors as postings by term and block of examples (slots), each with its greatest weight."""
 
-    def __init__(self, ids: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms_: int, block: int = BLOCK):
+    def __init__(self, ids: np.ndarray, term: np.ndarray, row: np.ndarray, weight: np.ndarray, n_terms: int, block: int = BLOCK):
+        """term, row, weight: of the examples' vectors; row: the number of the example in ids."""
         # Examples with the same leading term lie together, which keeps the blocks' upper bounds low.
-        lead = [int(t[np.argmax(w)]) if len(t) else terms_ for t, w in vectors]
-        order = np.lexsort((ids, lead))
-        self.ids, self.block, self.blocks = ids[order], block, -(-len(ids) // block)
-        self.order = order
-        lengths = [len(vectors[i][0]) for i in order]
-        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        row = np.repeat(np.arange(len(order)), lengths)
-        by = np.lexsort((row, term))
-        self.row, self.weight = row[by], weight[by]
-        slot = term[by] * self.blocks + self.row // block
-        self.first = np.searchsorted(slot, np.arange(terms_ * self.blocks + 1))
-        self.most = np.zeros((terms_, self.blocks))
-        np.maximum.at(self.most.ravel(), slot, self.weight)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a cosine over 0; of equal cosines the smaller id is nearer."""
-        bound = weight @ self.most[term]
-        rows, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            dot = np.zeros(self.block)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                s, e = self.first[t * self.blocks + b], self.first[t * self.blocks + b + 1]
-                dot[self.row[s:e] - b * self.block] += w * self.weight[s:e]
-            some = np.flatnonzero(dot > max(least - 1e-12, 0))
-            rows, cosines = np.r_[rows, b * self.block + some], np.r_[cosines, dot[some]]
-            if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -np.round(cosines, 9)))[:k]
-                rows, cosines = rows[best], cosines[best]
-                least = cosines.min()
-        best = np.lexsort((self.ids[rows], -np.round(cosines, 9)))
-        return rows[best], cosines[best]
-
-
-def unit(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(count)) * idf[term]
-    return w / (np.sqrt(w @ w) or 1.0)
+        by = np.lexsort((-weight, row))
+        leads = by[np.unique(row[by], return_index=True)[1]] if len(by) else by
+        lead = np.full(len(ids), n_terms)
+        lead[row[leads]] = term[leads]
+        self.order = np.lexsort((ids, lead))
+        self.ids, self.block = ids[self.order], block
+        self.blocks = max(-(-len(ids) // block), 1)
+        place = np.empty(len(ids), np.int64)
+        place[self.order] = np.arange(len(ids))
+        at = place[row]
+        by = np.lexsort((at, term))
+        term, self.row, self.weight = term[by], at[by].astype(np.int32), weight[by]
+        slot = term.astype(np.int64) * self.blocks + self.row // block
+        start = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][: len(slot)])
+        self.first = np.r_[start, len(slot)].astype(np.int32)  # of a slot's postings
+        self.slot_block = (slot[start] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else self.weight
+        self.slots = np.searchsorted(slot[start] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)  # of a term
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, row and cosine of each query's k nearest examples with a cosine over 0, the nearest first.
+
+        term and weight hold the queries' unit vectors one after another, of the given lengths. Of equal cosines (to
+        nine places) the smaller id is nearer.
+        """
+        parts, ends = [], np.r_[0, np.cumsum(lengths)]
+        for a in range(0, len(lengths), QUERIES):
+            b = min(a + QUERIES, len(lengths))
+            q, row, cosine = self._nearest(term[ends[a] : ends[b]], weight[ends[a] : ends[b]], lengths[a:b], k)
+            parts.append((q + a, row, cosine))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, width = len(lengths), self.blocks * self.block
+        query = np.repeat(np.arange(n), lengths)
+        slot, of = _ranges(self.slots[term], self.slots[term + 1])
+        query, weight = query[of], weight[of]
+        cell = query * self.blocks + self.slot_block[slot]
+        bound = np.bincount(cell, weight * self.most[slot], n * self.blocks).reshape(n, self.blocks)
+        dots = np.zeros(n * width)
+        early = np.zeros((n, self.blocks), bool)
+        first = min(FIRST_BLOCKS, self.blocks)
+        np.put_along_axis(early, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        least = np.zeros(n)
+        for turn in range(2):
+            todo = early if turn == 0 else ~early & (bound >= least[:, None] - 1e-9) & (bound > 0)
+            some = np.flatnonzero(todo.ravel()[cell])
+            posting, which = _ranges(self.first[slot[some]], self.first[slot[some] + 1])
+            some = some[which]
+            dots += np.bincount(query[some] * width + self.row[posting], weight[some] * self.weight[posting], n * width)
+            if turn == 0 and k < width:
+                least = np.maximum(np.partition(dots.reshape(n, width), width - k, axis=1)[:, width - k], 0)
+        dots = np.round(dots, 12).reshape(n, width)
+        last = np.partition(dots, width - k, axis=1)[:, width - k] if k < width else np.zeros(n)
+        q, row = np.nonzero((dots > 0) & (dots >= last[:, None] - 1e-9))
+        cosine = dots[q, row]
+        by = np.lexsort((self.ids[row], -np.round(cosine, 9), q))
+        q, row, cosine = q[by], row[by], cosine[by]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        return q[nth < k], row[nth < k], cosine[nth < k]
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after another, and of which range each is."""
+    n = (end - start).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + np.repeat(start - np.r_[0, np.cumsum(n)[:-1]] if len(n) else n, n), of
 
 
 class Voter:
-    """Scores vectors by the votes of their nearest examples."""
+    """Scores vectors by the votes of their nearest examples, whose vectors are given one after another."""
 
-    def __init__(self, ids: np.ndarray, y: np.ndarray, vectors: list, idf: np.ndarray, whole: dict[int, int]):
-        self.idf = idf
-        self.index = BlockMaxIndex(ids, [(t, unit(t, c, idf)) for t, c in vectors], len(idf))
+    def __init__(self, ids: np.ndarray, y: np.ndarray, term: np.ndarray, count: np.ndarray, lengths: np.ndarray, idf: np.ndarray, whole: dict[int, int]):
+        row = np.repeat(np.arange(len(ids)), lengths)
+        self.factor = idf * telling(term, row, y, len(idf))
+        self.index = BlockMaxIndex(ids, term, row, self.unit(term, count, lengths), len(idf))
         self.y = y[self.index.order]
         share = {c: whole.get(c, 0) / max((y == c).sum(), 1) for c in (0, 1)}
-        self.vote = np.array([share[int(c)] for c in self.y])
-        self.vote = self.vote / self.vote.mean() if len(self.vote) else self.vote
+        weights = np.where(y == 1, share[1], share[0]).astype(float)
+        self.vote = (weights / max(weights.mean(), 1e-12) if len(y) else weights)[self.index.order]
         self.prior = (whole.get(1, 0) + 1) / (whole.get(1, 0) + whole.get(0, 0) + 2)
-        none = np.array([share[int(c)] for c, (t, _) in zip(y, vectors, strict=True) if not len(t)])
-        toxic = sum(share[1] for c, (t, _) in zip(y, vectors, strict=True) if c == 1 and not len(t))
-        self.without = float((toxic + self.prior) / (none.sum() + 1))
-        self.known: dict[bytes, tuple] = {}
-
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[dict]]:
-        """The score, and the nearest examples as evidence."""
-        if not len(term):
-            return self.without, []
-        key = term.tobytes() + count.tobytes()
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            rows, cosines = self.index.nearest(term, unit(term, count, self.idf), NEIGHBOURS)
-            votes = cosines * self.vote[rows]
-            score = (votes @ self.y[rows] + PRIOR * self.prior) / (votes.sum() + PRIOR)
-            near = zip(self.index.ids[rows], self.y[rows], cosines, strict=True)
-            self.known[key] = float(score), [{"doc_id": int(i), "toxic": int(c), "cosine": float(s)} for i, c, s in near][:EVIDENCE]
-        return self.known[key]
+        none = lengths == 0
+        self.without = float((weights[none & (y == 1)].sum() + self.prior) / (weights[none].sum() + 1))
+        self.slope, self.offset = None, 0.0
+        fold, shares = np.arange(len(ids)) % FOLDS, np.zeros(len(ids))
+        if whole and min((y[fold != k] == c).sum() for k in range(FOLDS) for c in (0, 1)) > 0:
+            for k in range(FOLDS):
+                rest, own = fold != k, fold == k
+                others = Voter(ids[rest], y[rest], term[rest[row]], count[rest[row]], lengths[rest], idf, {})
+                others.vote, others.prior = (weights / weights.mean())[rest][others.index.order], self.prior
+                shares[own] = others.score(term[own[row]], count[own[row]], lengths[own])[0]
+            y, shares, weights = y[~none], shares[~none], weights[~none]
+            self.slope, self.offset = logistic(shares, np.where(y == 1, 1, -1), weights / weights.mean())
+
+    def unit(self, term: np.ndarray, count: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(count)) * self.factor[term]
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        norm = np.sqrt(np.bincount(of, w * w, len(lengths)))
+        return w / norm[of]
+
+    def score(self, term: np.ndarray, count: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The scores, and query, row and cosine of the nearest examples."""
+        q, near, cosine = self.index.nearest(term, self.unit(term, count, lengths), lengths, NEIGHBOURS)
+        votes, n = cosine * self.vote[near], len(lengths)
+        shares = (np.bincount(q, votes * self.y[near], n) + PRIOR * self.prior) / (np.bincount(q, votes, n) + PRIOR)
+        if self.slope is not None:
+            shares = 1 / (1 + np.exp(-np.clip(self.slope * shares + self.offset, -30, 30)))
+        return np.where(lengths > 0, shares, self.without), (q, near, cosine)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest labelled examples) of each row of docs.
 
-    A null, empty or term-less text has no neighbours and scores as the labelled texts without terms. Without labels of
+    A null, empty or word-less text has no neighbours and scores as the labelled texts without terms. Without labels of
     both classes every score is the smoothed share of toxic rows. Rows that repeat score alike; a null doc_id is
     passed on; an empty table gives an empty table; labels, lang, source and doc_id are no input of a score.
     """
@@ -205,32 +255,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
     small_batches(spark)
     drawn, whole = sample(labels.select("doc_id", F.col("toxic").alias("label")), "label", most)
     # The sample has 2 * most rows at most, whatever the input.
-    drawn = F.broadcast(drawn)
-    examples = docs.select("doc_id", utf8().alias("utf8")).join(drawn, "doc_id")
-    texts_of = {c: min(most, whole.get(c, 0)) for c in (0, 1)}
-    vocabulary = _telling_terms(examples, texts_of) if all(texts_of.values()) else np.zeros(0, U64)
+    held = _examples(docs.select("doc_id", utf8().alias("utf8")).join(F.broadcast(drawn), "doc_id"))
+    hashes, lengths = _flat(held, "terms")
+    vocabulary, term = np.unique(hashes.view(U64), return_inverse=True)
     vectors = cut_lineage(_vectors(docs, vocabulary), "term-vectors")
     n = vectors.count()
-    df = np.zeros(len(vocabulary))
-    for r in vectors.select("terms").mapInArrow(_counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]  # a row for each term of the vocabulary at most
-    idf = np.log((n + 1) / (df + 1)) + 1
-    held = vectors.join(drawn, "doc_id").select("doc_id", "label", "terms", "counts").orderBy("doc_id").toPandas()
-    pairs = [(np.asarray(t, np.int64), np.asarray(c, np.int64)) for t, c in zip(held["terms"], held["counts"], strict=True)]
-    voter = Voter(held["doc_id"].to_numpy(np.int64), held["label"].to_numpy(np.int64), pairs, idf, whole)
-    shared = spark.sparkContext.broadcast(voter)  # bounded by the sample and the vocabulary
+    idf = np.log((n + 1) / (_document_frequencies(vectors, len(vocabulary)) + 1)) + 1
+    voter = Voter(np.asarray(held["doc_id"]), np.asarray(held["label"]).astype(np.int64), term, _flat(held, "counts")[0], lengths, idf, whole)
+    shared = spark.sparkContext.broadcast(voter)  # bounded by the sample
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vote = shared.value.score
         for batch in batches:
-            columns = []
-            for c in ("terms", "counts"):
-                lists = batch.column(c)
-                ends, flat = np.asarray(lists.offsets).tolist(), np.asarray(lists.values).astype(np.int64)
-                columns.append([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
-            found = [vote(t, c) for t, c in zip(*columns, strict=True)]
-            made = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], _EVIDENCE)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "held_out", "score", "evidence"])
+            term, lengths = _flat(batch, "terms")
+            scores, (q, near, cosine) = shared.value.score(term, _flat(batch, "counts")[0], lengths)
+            shown = np.arange(len(q)) - np.searchsorted(q, q) < EVIDENCE
+            q, near, cosine = q[shown], near[shown], cosine[shown]
+            of = [pa.array(shared.value.index.ids[near]), pa.array(shared.value.y[near].astype(np.int32)), pa.array(cosine)]
+            evidence = _lists(q, batch.num_rows, pa.StructArray.from_arrays(of, ["doc_id", "toxic", "cosine"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), *evidence], ["doc_id", "held_out", "score", "evidence"])
 
     # The vectors are small in bytes but dear in work, so their rows say how many tasks they need.
-    return vectors.repartition(max(1, n // ROWS_A_TASK)).mapInArrow(scored, SCHEMA).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    dealt = vectors.repartition(max(1, n // ROWS_A_TASK))
+    return dealt.mapInArrow(scored, SCHEMA).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -144,16 +144,56 @@ def test_block_max_index_finds_the_exact_neighbours():
     rng = np.random.default_rng(0)
     dense = np.where(rng.random((300, 30)) < 0.15, rng.random((300, 30)), 0)
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in dense]
+    dense[7] = dense[8] = dense[9]  # ties
+    row, term = np.nonzero(dense)
     ids = rng.permutation(1000)[:300]
-    index = toxicity.BlockMaxIndex(ids, vectors, 30, block=16)
-    for term, weight in vectors[:100]:
-        if len(term):
-            rows, cosines = index.nearest(term, weight, 7)
-            query = np.zeros(30)
-            query[term] = weight
-            want = np.sort(dense @ query)[::-1][:7]
-            assert np.allclose(cosines, want[want > 0])
+    index = toxicity.BlockMaxIndex(ids, term, row, dense[row, term], 30, block=16)
+    lengths = np.bincount(row, minlength=300)
+    q, near, cosine = index.nearest(term, dense[row, term], lengths, 7)
+    for i in range(300):
+        dots = dense @ dense[i]
+        want = [k for k in np.lexsort((ids, -np.round(dots, 9))) if dots[k] > 0][:7]
+        assert index.ids[near[q == i]].tolist() == ids[want].tolist()
+        assert np.allclose(cosine[q == i], dots[want])
+
+
+def test_toxicity_equals_a_dense_brute_force(spark):
+    docs, labels = corpus(150, seed=3)
+    docs += [(1000, ""), (1001, None), (1002, "scumbag " * 30_000), (1003, "zzz yyy xxx")]
+    got = toxicity.toxicity(cases.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    words = {i: Counter(re.findall("[a-z0-9]+", (t or "").lower())) for i, t in docs}
+    y = {i: t for i, _, t in labels if not fold(i)}
+    vocabulary = sorted({w for i in y for w in words[i]})
+    counts = np.array([[words[i][w] for w in vocabulary] for i, _ in docs], float)
+    inside = np.array([i in y for i, _ in docs])
+    own = np.array([y.get(i, 0) for i, _ in docs])
+    has = counts > 0
+    idf = np.log((len(docs) + 1) / (has.sum(axis=0) + 1)) + 1
+    at = np.flatnonzero(inside)
+    prior = (own[inside].sum() + 1) / (len(at) + 2)
+
+    def shares(examples, queries):
+        a, b = (has[examples[own[examples] == k]].sum(axis=0) + 0.5 for k in (1, 0))
+        na, nb = ((own[examples] == k).sum() + 1 - x for k, x in ((1, a), (0, b)))
+        z = np.log(a * nb / (b * na)) / np.sqrt(1 / a + 1 / b + 1 / na + 1 / nb)
+        w = np.where(has, 1 + np.log(np.maximum(counts, 1)), 0) * idf * np.maximum(1, z * z / 4)
+        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+        found = []
+        for k in queries:
+            dots = w[examples] @ w[k]
+            near = [n for n in np.lexsort((examples, -np.round(dots, 9))) if dots[n] > 0][: toxicity.NEIGHBOURS]
+            found.append((dots[near] @ own[examples[near]] + toxicity.PRIOR * prior) / (dots[near].sum() + toxicity.PRIOR))
+        return np.array(found)
+
+    crossed = np.zeros(len(at))
+    for k in range(toxicity.FOLDS):
+        fold_of = np.arange(len(at)) % toxicity.FOLDS
+        crossed[fold_of == k] = shares(at[fold_of != k], at[fold_of == k])
+    near = shares(at, range(len(docs)))
+    slope, offset = quality_classifier.logistic(crossed, np.where(own[inside] == 1, 1, -1), np.ones(len(at)))
+    want = 1 / (1 + np.exp(-(slope * near + offset)))
+    want[counts.sum(axis=1) == 0] = prior  # no labelled text is without terms
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: s for (i, _), s in zip(docs, want)}, abs=1e-6)
 
 
 def test_sliding_least():
