@@ -36,8 +36,8 @@ FOLDS = 5
 BLOCK = 64
 THRESHOLD = 0.5
 ROWS_A_TASK = 5_000
-#: Documents that are looked up at once, and the blocks that each of them reads first.
-QUERIES = 200
+#: Postings of the terms of the documents that are looked up at once (one document at least), and the blocks that each reads first.
+POSTINGS = 1_500_000
 FIRST_BLOCKS = 4
 
 
@@ -157,10 +157,14 @@ class BlockMaxIndex:
         nine places) the smaller id is nearer.
         """
         parts, ends = [], np.r_[0, np.cumsum(lengths)]
-        for a in range(0, len(lengths), QUERIES):
-            b = min(a + QUERIES, len(lengths))
+        held = np.r_[0, np.cumsum(self.first[self.slots[term + 1]] - self.first[self.slots[term]], dtype=np.int64)][ends]
+        a = 0
+        while a < len(lengths):
+            b = max(int(np.searchsorted(held, held[a] + POSTINGS, "right")) - 1, a + 1)
+            b = min(b, a + POSTINGS // (self.blocks * self.block) + 1)
             q, row, cosine = self._nearest(term[ends[a] : ends[b]], weight[ends[a] : ends[b]], lengths[a:b], k)
             parts.append((q + a, row, cosine))
+            a = b
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def _nearest(self, term: np.ndarray, weight: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
