@@ -131,19 +131,45 @@ def test_token_files_of_an_empty_table(spark):
 def test_scan_over_chunks_equals_the_library(chunk):
     pieces, rng = sentencepiece_scan.model(tokens.vocabulary_path("piece_bpe_32k.model")), random.Random(0)
     texts = ["".join(rng.choice(list("ab c▁dé漢\n\t\x00Ω") + ["the ", "ing", "  "]) for _ in range(80)) for _ in range(20)]
-    for text in [*texts, "a", " ", "    x", "a" * 60, "hello" * 20]:
+    texts += ["a", " ", "    x", "a" * 60, "hello" * 20, "", "many plain words in a row, as in prose. " * 5]
+    for text in texts:
         s = sentencepiece_scan._normalized(text)
         bounds = [(k, min(k + chunk, len(s))) for k in range(0, len(s), chunk)]
         found = sentencepiece_scan.states([sentencepiece_scan.transfer(pieces, s, a, b) for a, b in bounds])
         traced = [sentencepiece_scan.backtrace(pieces, s, a, b, x, y) for (a, b), x, y in zip(bounds, found, found[1:])]
         assert [i for part in traced for p in part for i in pieces.ids_of(p)] == pieces.library.encode(text)
-
-
-def test_sentencepiece_encodes_giants_in_chunks_and_decodes(spark):
-    rows = cases.near_copies(3)[:60] + cases.ODD + [(5000, "word " * 3000)]
-    encoded = sentencepiece_scan.encode(cases.frame(spark, rows), giant=1_000, chunk=300)
+    for text, (n, ids) in zip(texts, sentencepiece_scan.scan(pieces, texts, chunk)):
+        assert np.frombuffer(ids, "<u4").tolist() == pieces.library.encode(text)
+        assert n == -(-len(sentencepiece_scan._normalized(text)) // chunk)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["the", " ", "  ", "▁", "ing", "é", "漢", "\n", "x", "Hello", "unbelievable", "\x00", "🙂"]), max_size=40).map("".join), st.integers(1, 30))
+def test_any_text_and_chunk_gives_the_librarys_ids(text, chunk):
+    pieces = sentencepiece_scan.model(tokens.vocabulary_path("piece_bpe_32k.model"))
+    ((n, ids),) = sentencepiece_scan.scan(pieces, [text], chunk)
+    assert np.frombuffer(ids, "<u4").tolist() == pieces.library.encode(text)
+    assert n == -(-len(sentencepiece_scan._normalized(text)) // chunk)
+
+
+def test_a_full_store_of_words_starts_anew(monkeypatch):
+    pieces = sentencepiece_scan.Pieces(tokens.vocabulary_path("piece_bpe_32k.model"))
+    monkeypatch.setattr(sentencepiece_scan, "WORDS", 3)
+    for text in ("one two three four", "five six one", "one two"):
+        assert np.frombuffer(sentencepiece_scan.scan(pieces, [text])[0][1], "<u4").tolist() == pieces.library.encode(text)
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_sentencepiece_encodes_in_chunks_and_decodes(spark, monkeypatch, lost):
+    """lost: no document's states are found, so that all go to the library."""
+    if lost:
+        monkeypatch.setattr(sentencepiece_scan, "_scanned", lambda rows: rows[["digest", "k"]].assign(edges=None))
+    rows = cases.near_copies(3)[:60] + cases.ODD + [(5000, "word " * 3000), (5001, "word " * 3000), (None, "x"), (3, "again")]
+    encoded = sentencepiece_scan.encode(cases.frame(spark, rows), spread=4, chunk=300)
     library = sentencepiece_scan.model(tokens.vocabulary_path("piece_bpe_32k.model")).library
-    got = {(r.doc_id): np.frombuffer(r.ids, "<u4").tolist() for r in encoded.collect()}
-    assert got == {i: library.encode(t or "") for i, t in rows}
-    assert {r.doc_id: r.text for r in sentencepiece_scan.decode(encoded).collect()} == {i: t or "" for i, t in rows}
+    got = sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in encoded.collect()), key=repr)
+    assert got == sorted(((i, library.encode(t or "")) for i, t in rows), key=repr)
+    back = sorted(((r.doc_id, r.text) for r in sentencepiece_scan.decode(encoded).collect()), key=repr)
+    assert back == sorted(((i, t or "") for i, t in rows), key=repr)
     assert encoded.where("chunks > 1").count() >= 2
+    assert sentencepiece_scan.encode(cases.frame(spark, rows).limit(0)).count() == 0
