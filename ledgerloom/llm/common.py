@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +24,26 @@ def utf8(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where the session names none (tests).
+    """A new path below spark.checkpoint.dir. Where the session names none, a temporary folder if Spark runs in one process.
 
     The folder goes when the application ends, since results may be read from it until then.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _temporary_folder()
     path = f"{base.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
 
+@cache
+def _temporary_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
+
+
 def cut_lineage(df: DataFrame, name: str, release: bool = True) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read back; lost executors cost no recomputing.
 

@@ -77,20 +77,20 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, cost: float, passes: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise |w|^2 / 2 + cost * (squared hinge losses), one dual variable at a time.
+    """Weights and bias that minimise |w|^2 / 2 + cost * (hinge losses), one dual variable, from 0 to its cost, at a time.
 
     A class's losses count in inverse proportion to its rows.
     """
     values = [_unit(ratios[x]) for x in rows]
     share = {k: len(y) / 2 / max((y == k).sum(), 1) for k in (1, -1)}
-    slack = np.array([1 / (2 * cost * share[k]) for k in y])
-    norms = np.array([v @ v for v in values]) + 1 + slack  # 1: the bias's constant feature
+    most = np.array([cost * share[k] for k in y])
+    norms = np.array([v @ v for v in values]) + 1  # 1: the bias's constant feature
     w, bias, alpha, order = np.zeros(1 << BITS), 0.0, np.zeros(len(y)), np.random.default_rng(0)
     for _ in range(passes):
         for i in order.permutation(len(y)):
             x, v = rows[i], values[i]
-            gradient = y[i] * (w[x] @ v + bias) - 1 + slack[i] * alpha[i]
-            new = max(alpha[i] - gradient / norms[i], 0.0)
+            gradient = y[i] * (w[x] @ v + bias) - 1
+            new = min(max(alpha[i] - gradient / norms[i], 0.0), most[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[x] += step * v

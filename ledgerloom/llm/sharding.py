@@ -80,9 +80,12 @@ def interleave(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: str = SEED, files: int = 1) -> None:
-    """Writes docs (unique ids) below path as shard=0, shard=1, ..., in slot order and in files of about equal rows."""
+    """Writes docs (unique ids) below path as shard=0, shard=1, ..., in slot order and in files of about equal rows.
+
+    The shard and slot written are the placement's; columns of docs with these names are left out.
+    """
     placed = interleave(docs, shards, seed).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    rows = docs.join(placed, docs["doc_id"].eqNullSafe(placed["__id"])).drop("__id")
+    rows = docs.drop("shard", "slot").join(placed, docs["doc_id"].eqNullSafe(placed["__id"])).drop("__id")
     rows = rows.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot")
     rows.write.partitionBy("shard").mode("overwrite").parquet(path)
 

@@ -14,7 +14,7 @@ whole collection. So the column-wise construction runs on short segments that ho
    LENGTH or more hold the same window, and all but the earliest are covered.
 5. Covered bytes are joined to runs per document.
 
-Of an anchor's segments that are equal throughout, by 128 bits of hash, only the first is cut out and sorted; the
+Of an anchor's segments that are equal throughout, by 95 bits of hash, only the first is cut out and sorted; the
 others are covered whole. Windows of segments are compared by their bytes. Anchors with more than ``SEGMENTS`` different
 segments are settled by grouping their windows themselves, on Spark. Nothing is written outside Spark: the rounds' order and prefixes take
 a few bytes per segment and stay in the task's memory instead of external files.
@@ -128,11 +128,11 @@ def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: The first start of the windows that name an anchor lies place - reach // 128 back, and the last reach % 128 after it.
-ANCHOR = "anchor long, content long, row long, place int, reach int, sure boolean"
+ANCHOR = "anchor long, content long, check int, row long, place int, reach int, sure boolean"
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """A row for each anchor; content is a hash of its segment and of where the anchor stands in it.
+    """A row for each anchor; content and check are hashes of its segment and of where the anchor stands in it, of 95 bits together.
 
     Of equal segments in the texts at hand only the first has to meet the other texts'. The others are covered whole for
     sure, and get a number of their own for an anchor: however often a line comes, its rows are dealt out evenly.
@@ -145,16 +145,17 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 h, place, low, high = anchors(block)
                 doc = np.searchsorted(block.starts, place, "right") - 1
                 reach = (place - low) * 128 + high - low
-                content = mixed(block.hashes(low, high + LENGTH) ^ mixed(reach.astype(U64)))
+                content, check = block.both_hashes(low, high + LENGTH)
+                content = mixed(content ^ mixed(reach.astype(U64)))
                 row = np.asarray(batch.column(0)[first:last])[doc].astype(np.int64)
                 place = (place - block.starts[doc]).astype(np.int32)
-                order = np.lexsort((place, row, content, h))
+                order = np.lexsort((place, row, check, content, h))
                 again = np.zeros(len(h), bool)
-                again[order[1:]] = (h[order][1:] == h[order][:-1]) & (content[order][1:] == content[order][:-1])
+                again[order[1:]] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (h, content, check)])
                 h = np.where(again, mixed(content ^ mixed(row.astype(U64)) ^ place.astype(U64)), h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), *map(pa.array, (row, place, reach.astype(np.int32), again))],
-                    ["anchor", "content", "row", "place", "reach", "sure"],
+                    [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), *map(pa.array, (check.astype(np.int32), row, place, reach.astype(np.int32), again))],
+                    ["anchor", "content", "check", "row", "place", "reach", "sure"],
                 )
 
     return docs.mapInArrow(made, ANCHOR)
@@ -274,8 +275,8 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), texts: bool =
 
     A byte goes when some string of LENGTH bytes over it also starts earlier: in a document of a smaller doc_id, or before
     in the same one, overlapping or not. Strings are judged on the texts as they come. Null texts are empty; texts
-    under LENGTH bytes stay whole; rows that repeat a doc_id follow one another by their texts, and a null doc_id comes
-    before all. An empty table gives an empty table; other columns are ignored.
+    under LENGTH bytes stay whole; rows that repeat a doc_id follow one another by the SHA-256 of their texts, and a null
+    doc_id comes before all. An empty table gives an empty table; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     carried = F.struct(*carry).alias("carried") if carry else F.lit(None).cast("struct<none:int>").alias("carried")
@@ -284,17 +285,18 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), texts: bool =
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if ids.isEmpty():
         rows = rows.withColumn("row", F.col("doc_id"))
-    else:
-        ranked = Window.orderBy("doc_id", "utf8")  # ids are repeated: a defined result for small tables, not the path at scale
-        rows = cut_lineage(rows.withColumn("row", F.row_number().over(ranked).cast("long")), "numbered")
+    else:  # numbers in the order of the ids, over ranges of ids and digests, so that no task sees one id's rows alone
+        ranged = rows.withColumn("digest", F.sha2("utf8", 256)).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+        rows = cut_lineage(ranged.drop("digest").withColumn("row", F.monotonically_increasing_id()), "numbered")
     digest = rows.select("row", F.unhex(F.sha2("utf8", 256)).alias("digest"))
     firsts = cut_lineage(digest.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
     copies = digest.join(firsts, "digest").where("row <> first").select("row", F.lit(True).alias("copy"))
     whole = rows.join(copies, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     found = _anchor_rows(whole.where("not copy").select("row", "utf8"))
-    anchor, of_content = Window.partitionBy("anchor"), Window.partitionBy("anchor").orderBy("content", "row", "place")
-    before = F.coalesce(F.lag("content").over(of_content) == F.col("content"), F.lit(False))
-    found = found.withColumn("later", F.col("sure") | before).drop("sure")
+    anchor, of_content = Window.partitionBy("anchor"), Window.partitionBy("anchor").orderBy("content", "check", "row", "place")
+    segment = F.struct("content", "check")
+    before = F.coalesce(F.lag(segment).over(of_content) == segment, F.lit(False))
+    found = found.withColumn("later", F.col("sure") | before).drop("sure", "check")
     found = found.withColumn("contents", F.count_if(~F.col("later")).over(anchor))
     found = found.where("later or contents > 1")
     # Of an anchor's equal segments the first stands for all, and the others are covered whole.

@@ -17,15 +17,29 @@ NOT_WHITE[[0x20, *range(0x09, 0x0E)]] = False
 ALPHANUMERIC = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 LOWER_ASCII = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-_powers = np.ones(1, U64), np.ones(1, U64)
+#: A prime, and a base modulo it. Modulo 2**64 alone, some texts of two letters have equal polynomials for every base.
+_PRIME = U64(2**31 - 1)
+_SMALL = 1_812_433_253 % (2**31 - 1)
 
+_powers: tuple[np.ndarray, ...] = (np.ones(1, U64),) * 4
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base and its inverse mod 2**64, to the powers 0 to n - 1 at least; held for the worker's next texts."""
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """The base to the powers 0 to n - 1 modulo the prime, by doubling."""
+    made = np.ones(1, U64)
+    while len(made) < n:
+        made = np.r_[made, made * U64(pow(base, len(made), int(_PRIME))) % _PRIME]
+    return made[:n]
+
+
+def powers(n: int) -> tuple[np.ndarray, ...]:
+    """Base and inverse modulo 2**64, and modulo the prime, to the powers 0 to n - 1 at least; held for the worker's next texts."""
     global _powers
     if len(_powers[0]) < n:
+        n += n // 4 + 1
         with np.errstate(over="ignore"):
-            _powers = tuple(np.cumprod(np.r_[U64(1), np.full(n + n // 4, x, U64)]) for x in (U64(_BASE), U64(_BACK)))
+            wide = [np.cumprod(np.r_[U64(1), np.full(n - 1, x, U64)]) for x in (U64(_BASE), U64(_BACK))]
+        _powers = (*wide, *(_prime_powers(x, n) for x in (_SMALL, pow(_SMALL, -1, int(_PRIME)))))
     return _powers
 
 
@@ -48,7 +62,7 @@ class TextBlock:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(lengths + 1) - 1
         self.starts = self.ends - lengths
-        self._sums: np.ndarray | None = None
+        self._sums: tuple[np.ndarray, np.ndarray] | None = None
 
     def words(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of each run of bytes that the table marks."""
@@ -57,22 +71,29 @@ class TextBlock:
         start, end = change[::2], change[1::2]
         return start, end, np.searchsorted(self.starts, start, "right") - 1
 
-    def _summed(self) -> np.ndarray:
-        up = powers(len(self.data) + 1)[0]
+    def _summed(self) -> tuple[np.ndarray, np.ndarray]:
         if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, U64)
-            np.cumsum((self.data.astype(U64) + U64(1)) * up[: len(self.data)], out=self._sums[1:])
+            up, _, small, _ = powers(len(self.data) + 1)
+            symbols, n = self.data.astype(U64) + U64(1), len(self.data)
+            self._sums = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+            np.cumsum(symbols * up[:n], out=self._sums[0][1:])
+            np.cumsum(symbols * small[:n] % _PRIME, out=self._sums[1][1:])
         return self._sums
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def both_hashes(self, start: np.ndarray | slice, end: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes, of 64 and of 31 bits, of the bytes from start to end."""
+        (wide, prime), (_, down, _, small) = self._summed(), powers(len(self.data) + 1)
+        return (wide[end] - wide[start]) * down[start], (prime[end] - prime[start]) % _PRIME * small[start] % _PRIME
+
+    def hashes(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         """64-bit hashes of the bytes from start to end: equal bytes have equal hashes wherever they stand."""
-        sums, down = self._summed(), powers(len(self.data) + 1)[1]
-        return mixed((sums[end] - sums[start]) * down[start])
+        wide, prime = self.both_hashes(start, end)
+        return mixed(wide ^ mixed(prime + U64(1)))
 
     def grams(self, n: int) -> np.ndarray:
         """The hashes of the n bytes from each place on."""
-        sums, count = self._summed(), max(len(self.data) - n + 1, 0)
-        return mixed((sums[n:] - sums[:count]) * powers(len(self.data) + 1)[1][:count])
+        count = max(len(self.data) - n + 1, 0)
+        return self.hashes(slice(0, count), slice(n, n + count))
 
 
 def sequences(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
