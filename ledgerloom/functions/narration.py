@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NO_MERCHANT_RAILS
+from .similarity import similarity
 
 BLANKS = "[\\s   ]+"
 
@@ -32,7 +33,7 @@ LONG_DIGITS = r"\b\d{8,}\b"
 SEPARATORS = r"[\-/|:,]{2,}"
 EDGES = r"^[\s\-/|:,.]+|[\s\-/|:,.]+$"
 
-#: Rails by the first pattern that the narration has.
+# Rails by the first pattern that the narration has.
 RAILS = (
     ("upi", r"^\s*upi\b|^\s*upiar\b|\bupi[/\-]"),
     ("card", r"^\s*(?:pos|vps|ecom|ecomm|ips|card)\b"),
@@ -47,8 +48,8 @@ RAILS = (
     ("cash", r"^\s*(?:cash|csh)\b|\bcash\s+dep"),
 )
 
-#: Tokens that name no merchant: rails, fillers and banks; and cities.
-STOP_TOKENS = """
+# Tokens that name no merchant, in two lists: rails, fillers and banks; and cities.
+FILLER_TOKENS = """
 UPI POS VPS ECOM ECOMM IPS CARD NEFT IMPS MMT RTGS ATW NWD CWD ATD ATM CHQ CHEQUE CLG CTS MICR NACH ECS ACH INB IB NETBANKING BIL
 BILLPAY ONL CASH CSH DR CR DEBIT CREDIT PAYMENT PAYMNT PMT PAY PAID TRANSFER TRF TXN TRANSACTION REF REFNO UTR RRN TID MID BATCH
 SEQ AUTH APPROVAL ORDER PURCHASE REVERSAL REFUND CHARGE CHARGES CHG FEE FEES GST IGST CGST SGST TAX TDS INT INTEREST OPENING
@@ -57,12 +58,15 @@ PRIVATE BY INDIA INR RS COLLECT REQUEST MANDATE SI STANDING INSTRUCTION AUTOPAY
 PNB BOB CANARA UNION IDBI YBL OKAXIS OKICICI OKHDFCBANK OKSBI PAYTM IBL AXL UBIN SBIN PYTM APL SUCCESS SUCCESSFUL FAILED PENDING
 REVERSED P2A P2M P2P MB INET NET ONLINE OTHPG MIR CC WDL DEP DEPOSIT WITHDRAWAL SALARY RENT EMI ALERT ALERTS SMS CAPITALISED
 CAPITALIZED DEDUCTED THANK YOU RECEIVED ICIC HDFCBANK SBIN0 UTIB0 KKBK IDFB INDB SHCB
+""".split()
+CITY_TOKENS = """
 MUMBAI DELHI NEWDELHI BANGALORE BENGALURU HYDERABAD CHENNAI KOLKATA PUNE AHMEDABAD JAIPUR LUCKNOW SURAT KANPUR NAGPUR INDORE THANE
 BHOPAL VISAKHAPATNAM PATNA VADODARA GHAZIABAD LUDHIANA AGRA NASHIK FARIDABAD MEERUT RAJKOT GURGAON GURUGRAM NOIDA MYSORE MYSURU
 COIMBATORE KOCHI COCHIN CHANDIGARH
 """.split()
+STOP_TOKENS = FILLER_TOKENS + CITY_TOKENS
 
-#: Rules in order: code, category, movement, whether it is spending, whether a merchant is dropped, pattern.
+# Rules in order: code, category, movement, whether it is spending, whether a merchant is dropped, pattern.
 RULES = (
     ("credit_card_payment", "credit_card_payment", "credit_card_payment", False, True, r"\bcredit\s*card\b|\bcc\s*(?:payment|bill|pmt)\b|\bcard\s*payment\b|billpay.*\bcc\b|\bpayment\s+received\b|\bcc\s*-\s*\d|\bcc\b(?=\s*-)"),
     ("cash_withdrawal", "cash_withdrawal", "cash_withdrawal", False, True, r"\batw\b|\bnwd\b|\bcwd\b|\batd\b|cash\s*wdl|atm\s*(?:cash|wdl|withdrawal)|cash\s*withdrawal|\batm\b\s*[-/]|by\s+cash\s+wdl|cash\s+advance"),
@@ -244,3 +248,44 @@ def normalize_merchants(rows: DataFrame, aliases: DataFrame, key: str, text: str
             "merchant_match": case(F.lit("dictionary_alias"), F.lit("no_merchant_for_rail"), F.lit("upi_handle"), F.lit("unmatched_residue")),
         }
     ).drop("hit", "vpa")
+
+
+def enriched(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """Adds category, category_source, movement and is_expense to rows with description, direction and a merchant's slug.
+
+    categories: slug, merchant_category. The narration rule goes before the merchant's category; without either the
+    category is null, and the direction alone says whether it is spending.
+    """
+    rows = rows.join(categories, "slug", "left").withColumn("_rule", narration_rule("description"))
+    ruled, known = F.col("_rule").isNotNull(), F.col("merchant_category").isNotNull()
+    out = F.col("direction") == "debit"
+    return rows.withColumns(
+        {
+            "category": F.coalesce("_rule.category", "merchant_category"),
+            "category_source": F.when(ruled, "deterministic_rule").when(known, "verified_merchant_rule").otherwise("fallback_other"),
+            "movement": F.coalesce("_rule.movement", F.when(out, "expense").otherwise("income")),
+            "is_expense": F.coalesce(F.col("_rule.is_expense"), out),
+            "merchant": F.when(~F.coalesce(F.col("_rule.drops_merchant"), F.lit(False)), F.col("merchant")),
+        }
+    ).drop("_rule", "merchant_category")
+
+
+FUZZY_FLOOR = 0.88
+SHORT = 6
+
+
+def fuzzy_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """hay, alias, slug and score of the alias most like each name, from 0.88 on; of equals the first by alias.
+
+    Short names and aliases must begin with, or hold, each other. Distinct names meet only aliases with a word in common
+    or the same three letters at a word's start; others cannot come near enough to the floor on words of three letters or more.
+    """
+    heads = lambda c: F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.substring(w, 1, 3)))
+    left = names.where("hay <> ''").select("hay", F.explode(heads(F.col("hay"))).alias("head"))
+    right = aliases.select("alias", "slug", F.explode(heads(F.col("alias"))).alias("head"))
+    both = left.join(right, "head").select("hay", "alias", "slug").distinct().withColumn("score", similarity("hay", "alias"))
+    short = (F.length("hay") <= SHORT) | (F.length("alias") <= SHORT)
+    close = F.contains("hay", "alias") | F.contains("alias", "hay")
+    fit = both.where((F.col("score") >= FUZZY_FLOOR) & (~short | close))
+    best = fit.groupBy("hay").agg(F.min(F.struct((-F.col("score")).alias("less"), "alias", "slug")).alias("b"))
+    return best.select("hay", "b.alias", "b.slug", (-F.col("b.less")).alias("score"))

@@ -34,7 +34,7 @@ MONETARY = (
     r"(?i)(?:(?:₹|INR|Rs\.?)\s*[\d,]+(?:\.\d{1,2})?)|(?<![\w.])\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?(?![\w.])|(?<![\w.])\d+\.\d{2}(?![\w.])",
 )
 
-#: Injection patterns by name, in the order in which they are tried.
+# Injection patterns by name, in the order in which they are tried.
 INJECTIONS = (
     ("instruction_override", r"\b(?:ignore|disregard|forget|override|bypass)\b[^.]{0,40}\b(?:previous|prior|earlier|above|all|any|system|instruction|prompt|rule)"),
     ("role_injection", r"\b(?:system|assistant|user|developer)\s*[:>\]]|<\s*/?\s*(?:system|assistant|user|instruction|untrusted_data)\s*>|\[/?INST\]|<\|[^|]{0,20}\|>"),

@@ -82,11 +82,12 @@ def category_spikes(ledger: DataFrame) -> DataFrame:
 def duplicate_charges(ledger: DataFrame, days: int = DUPLICATE_DAYS) -> DataFrame:
     """Later rows with merchant, amount and direction of an expense one to three days before. The later need be no expense."""
     left = ledger.where("is_expense and merchant is not null and statement_id is not null").select(
-        "tenant_id", "merchant", "amount", "direction", "category", F.col("txn_id").alias("left_id"), F.col("txn_date").alias("left_date")
-    )
+        "tenant_id", "merchant", "amount", "direction", "category", F.col("txn_id").alias("left_id"), F.col("txn_date").alias("left_date"),
+        F.explode(F.sequence(F.date_add("txn_date", 1), F.date_add("txn_date", days))).alias("right_date"),
+    )
     right = ledger.select("tenant_id", "merchant", "amount", "direction", F.col("txn_id").alias("right_id"), F.col("txn_date").alias("right_date"))
-    near = (F.col("right_date") > F.col("left_date")) & (F.col("right_date") <= F.date_add("left_date", days)) & (F.col("left_id") != F.col("right_id"))
-    both = left.join(right, ["tenant_id", "merchant", "amount", "direction"]).where(near)
+    # Each of the next days by equality, so that a hot amount does not meet all of its rows.
+    both = left.join(right, ["tenant_id", "merchant", "amount", "direction", "right_date"]).where("left_id <> right_id")
     gap = F.datediff("right_date", "left_date").cast("string")
     reason = F.concat(
         "merchant", F.lit(" charged "), grouped("amount"), F.lit(" twice within "), gap,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity, token_set_ratio
 from ..schema import SIMILARITY_FLOOR
+from .trust import AUTO_APPROVE_AT, FLAG_AT
 
 HISTORY_THRESHOLD = 3
 HISTORY_CONFIDENCE = "0.90"
@@ -20,22 +21,21 @@ def pending(rows: DataFrame) -> DataFrame:
 
 
 def matched_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """txn_id, rule_id and category of the first rule that each row meets: by priority, then the newest.
+    """tenant_id, txn_id, rule_id and category of the first of its tenant's rules that each row meets: by priority, then the newest.
 
-    rules: rule_id, match_type (exact or contains), pattern, min_amount, max_amount, priority, created_seq, category,
-    is_active. Exact rules join on the merchant. Containing rules compare distinct merchants with patterns, not rows, so
-    the rows meet them by an equality too.
+    rules: tenant_id, rule_id, match_type (exact or contains), pattern, min_amount, max_amount, priority, created_seq,
+    category, is_active. Exact rules join on the merchant. A containing rule's pattern is one of LIKE, so that % and _
+    stand for anything; it is held against the tenant's distinct merchants, not its rows, and rows meet it by an equality.
     """
     active = rules.where("is_active").withColumn("pattern", F.lower("pattern"))
     named = rows.where("merchant is not null").select("tenant_id", "txn_id", "amount", F.lower("merchant").alias("name"))
     exact = active.where("match_type = 'exact'").withColumnRenamed("pattern", "name")
-    names = named.select("name").distinct()
-    within = names.join(active.where("match_type = 'contains'"), F.contains("name", "pattern")).drop("pattern")
-    both = named.join(exact, "name").unionByName(named.join(within, "name"))
+    within = active.where("match_type = 'contains'").join(named.select("tenant_id", "name").distinct(), "tenant_id")
+    within = within.where("name like concat('%', pattern, '%')").drop("pattern")
+    both = named.join(exact, ["tenant_id", "name"]).unionByName(named.join(within, ["tenant_id", "name"]))
     fits = (F.col("min_amount").isNull() | (F.col("amount") >= F.col("min_amount"))) & (F.col("max_amount").isNull() | (F.col("amount") <= F.col("max_amount")))
-    first = Window.partitionBy("txn_id").orderBy("priority", F.desc("created_seq"), "rule_id")
-    hits = both.where(fits).withColumn("n", F.row_number().over(first)).where("n = 1")
-    return hits.select("txn_id", "rule_id", "category")
+    first = F.min(F.struct("priority", (-F.col("created_seq")).alias("newest"), "rule_id", "category")).alias("hit")
+    return both.where(fits).groupBy("tenant_id", "txn_id").agg(first).select("tenant_id", "txn_id", "hit.rule_id", "hit.category")
 
 
 def historical(rows: DataFrame) -> DataFrame:
@@ -46,13 +46,75 @@ def historical(rows: DataFrame) -> DataFrame:
 
 
 def cascade(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """txn_id, category and tier of each pending row: user rule, history, or still open (for a model, which is not called)."""
+    """tenant_id, txn_id, category and tier of each pending row: user rule, history, or still open (for a model, which is not called)."""
     todo = pending(rows).select("tenant_id", "txn_id", "merchant", "amount")
-    by_rule = matched_rules(todo, rules).select("txn_id", F.col("category").alias("by_rule"))
+    by_rule = matched_rules(todo, rules).select("tenant_id", "txn_id", F.col("category").alias("by_rule"))
     by_past = historical(rows).select("tenant_id", "merchant", F.col("category").alias("by_past"))
-    found = todo.join(by_rule, "txn_id", "left").join(by_past, ["tenant_id", "merchant"], "left")
+    found = todo.join(by_rule, ["tenant_id", "txn_id"], "left").join(by_past, ["tenant_id", "merchant"], "left")
     tier = F.when(F.col("by_rule").isNotNull(), "user_rule").when(F.col("by_past").isNotNull(), "historical_pattern").otherwise("open")
-    return found.select("txn_id", F.coalesce("by_rule", "by_past").alias("category"), tier.alias("tier"))
+    return found.select("tenant_id", "txn_id", F.coalesce("by_rule", "by_past").alias("category"), tier.alias("tier"))
+
+
+def cascade_outcomes(decided: DataFrame) -> DataFrame:
+    """Rows of a cascade by tier."""
+    return decided.groupBy("tier").agg(F.count("*").alias("n"))
+
+
+def recategorised(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """rows with the decisions written: category, its source and confidence, and the review status of the least confidence.
+
+    rows: the ledger with is_verified, category_source and confidence_extraction, _merchant, _category and _validation.
+    decided: tenant_id, txn_id, category, tier, confidence. Verified rows, and rows still open, stay as they are.
+    """
+    new = decided.where("category is not null").select("tenant_id", "txn_id", F.col("category").alias("_to"), F.col("tier").alias("_tier"), F.col("confidence").alias("_sure"))
+    both = rows.join(new, ["tenant_id", "txn_id"], "left")
+    hit = F.col("_to").isNotNull() & ~F.col("is_verified")
+    least = F.least("confidence_extraction", "confidence_merchant", "_sure", "confidence_validation")
+    band = F.when(least >= F.lit(AUTO_APPROVE_AT).cast("decimal(6,4)"), "auto_approved").when(least >= F.lit(FLAG_AT).cast("decimal(6,4)"), "flagged").otherwise("review_required")
+    written = {"category": F.col("_to"), "category_source": F.col("_tier"), "confidence_category": F.col("_sure"), "review_status": band}
+    return both.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in written.items()}).select(rows.columns)
+
+
+LEARNED_PRIORITY = 10
+
+
+def learned_rules(rules: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The rules after corrections (tenant_id, seq, merchant, category): each merchant's latest correction is a standing exact rule.
+
+    Where the tenant has rules for the merchant, whatever their case, they point at the new category and are active again;
+    else one is added. Corrections without a merchant teach nothing. New rules are numbered after the last of all.
+    """
+    last = corrections.where("merchant is not null and merchant <> ''").groupBy("tenant_id", F.lower("merchant").alias("_name"))
+    last = last.agg(F.max_by(F.struct("merchant", "category", "seq"), "seq").alias("_new"))
+    old = rules.withColumn("_name", F.lower("pattern")).join(last, ["tenant_id", "_name"], "left")
+    taught = F.col("_new").isNotNull()
+    old = old.withColumns({"category": F.when(taught, F.col("_new.category")).otherwise(F.col("category")), "is_active": taught | F.col("is_active")})
+    fresh = last.join(rules.select("tenant_id", F.lower("pattern").alias("_name")).distinct(), ["tenant_id", "_name"], "left_anti")
+    top = rules.agg(F.coalesce(F.max("rule_id"), F.lit(0)).alias("_top"))
+    fresh = fresh.join(F.broadcast(top)).withColumn("_n", F.row_number().over(Window.orderBy("tenant_id", "_name")))  # a row for each merchant corrected
+    made = {
+        "tenant_id": F.col("tenant_id"), "rule_id": F.col("_top") + F.col("_n"), "match_type": F.lit("exact"), "pattern": F.col("_new.merchant"),
+        "min_amount": F.lit(None), "max_amount": F.lit(None), "priority": F.lit(LEARNED_PRIORITY), "created_seq": F.col("_new.seq"),
+        "category": F.col("_new.category"), "is_active": F.lit(True),
+    }
+    types = {f.name: f.dataType for f in rules.schema}
+    return old.select(rules.columns).unionByName(fresh.select(*(v.cast(types[c]).alias(c) for c, v in made.items())))
+
+
+def saved_rules(rules: DataFrame, changed: DataFrame) -> DataFrame:
+    """The rules with those of the same tenant and number replaced, and others added."""
+    return rules.join(changed.select("tenant_id", "rule_id"), ["tenant_id", "rule_id"], "left_anti").unionByName(changed)
+
+
+def without_rules(rules: DataFrame, removed: DataFrame) -> DataFrame:
+    return rules.join(removed.select("tenant_id", "rule_id"), ["tenant_id", "rule_id"], "left_anti")
+
+
+def rule_list(rules: DataFrame, categories: DataFrame, subcategories: DataFrame) -> DataFrame:
+    """The rules whose category is known, with the names of category and subcategory, the newest first."""
+    named = rules.join(categories.select(F.col("slug").alias("category"), F.col("name").alias("category_name")), "category")
+    named = named.join(subcategories.select(F.col("slug").alias("subcategory"), F.col("name").alias("subcategory_name")), "subcategory", "left")
+    return named.orderBy(F.desc("created_seq"), "tenant_id", "rule_id")
 
 
 def near_duplicates(batch: DataFrame, ledger: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:
@@ -63,10 +125,10 @@ def near_duplicates(batch: DataFrame, ledger: DataFrame, floor: float = SIMILARI
     key = ["tenant_id", "account_id", "txn_date", "amount", "direction"]
     old = ledger.select(*key, F.col("txn_id").alias("like_id"), F.col("fingerprint").alias("old_print"), F.col("description").alias("old_text"))
     both = batch.select(*key, "txn_id", "fingerprint", "description").join(old, key).where("fingerprint <> old_print")
-    by_id = Window.partitionBy("txn_id").orderBy("like_id")
+    by_id = Window.partitionBy("tenant_id", "txn_id").orderBy("like_id")
     both = both.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= NEAR_DUPLICATES)
     both = both.withColumn("score", similarity("description", "old_text")).where(F.col("score") >= floor)
-    return both.groupBy("txn_id").agg(F.min_by("like_id", "n").alias("like_id"), F.min_by("score", "n").alias("score"))
+    return both.groupBy("tenant_id", "txn_id").agg(F.min_by("like_id", "n").alias("like_id"), F.min_by("score", "n").alias("score"))
 
 
 def align(expected: DataFrame, extracted: DataFrame, description_floor: float = 0.60, date_slack: int = 3) -> DataFrame:
@@ -121,3 +183,10 @@ def scorecard(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     )
     share = lambda a, b: F.coalesce(F.bround(F.col(a) / F.nullif(F.col(b), F.lit(0)), 5), F.lit(1.0)).cast("decimal(6,5)")
     return sums.select("fixture", "expected", "extracted", "matched", share("matched", "expected").alias("recall"), share("matched", "extracted").alias("precision"), *(share(f"right_{c}", "expected").alias(f"{c}_rate") for c in fields))
+
+
+def accuracy_gate(scores: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """A row for each target: the overall score's value, the least asked, and whether it passes."""
+    whole = scores.where("fixture is null")
+    rows = [F.struct(F.lit(k).alias("measure"), F.col(k).cast("decimal(6,5)").alias("value"), F.lit(v).cast("decimal(6,5)").alias("least")) for k, v in targets.items()]
+    return whole.select(F.explode(F.array(*rows)).alias("t")).select("t.*", (F.col("t.value") >= F.col("t.least")).alias("passed"))

@@ -21,7 +21,20 @@ def pii_scan(spark, sf_dir):
 
 
 @query(
-    "D2_D3_checksums",
+    "D2_verhoeff",
+    f"""WITH t AS (SELECT {list(D.PRODUCT)} AS product, {list(D.PERMUTATION)} AS permutation),
+ d AS (SELECT event_id, ((2 + event_id % 8)::BIGINT * 100000000000 + (event_id * 7919) % 100000000000)::VARCHAR AS n FROM events)
+SELECT event_id, n AS number, list_reduce(list_prepend(0, list_transform(range(0, 12), lambda i: permutation[(i % 8) * 10 + substr(reverse(n), (i + 1)::INT, 1)::INT + 1])),
+  lambda a, x: product[a * 10 + x + 1]) = 0 AS valid FROM d, t""",
+)
+def verhoeff(spark, sf_dir):
+    k = F.col("event_id")
+    number = ((2 + k % 8) * 100_000_000_000 + (k * 7919) % 100_000_000_000).cast("string")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", number.alias("number"), D.verhoeff_valid(number).alias("valid"))
+
+
+@query(
+    "D3_luhn",
     """WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:\\d[ -]?){12,18}\\d')) AS token FROM documents),
  b AS (SELECT doc_id, token, regexp_replace(token, '\\D', '', 'g') AS n FROM d)
 SELECT doc_id, token, length(n) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i:
@@ -40,14 +53,9 @@ def redaction(spark, sf_dir):
 
 @query(
     "D5_injection_guard",
-    """SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN NULL WHEN length(text) > 160 THEN 'oversized_text'
-  WHEN regexp_matches(text, '(?i)\\b(?:ignore|disregard|forget|override|bypass)\\b[^.]{0,40}\\b(?:previous|prior|earlier|above|all|any|system|instruction|prompt|rule)') THEN 'instruction_override'
-  WHEN regexp_matches(text, '(?i)\\b(?:system|assistant|user|developer)\\s*[:>\\]]|<\\s*/?\\s*(?:system|assistant|user|instruction|untrusted_data)\\s*>|\\[/?INST\\]|<\\|[^|]{0,20}\\|>') THEN 'role_injection'
-  WHEN regexp_matches(text, '(?i)\\byou\\s+(?:are|must|should|will|shall)\\b|\\bact\\s+as\\b|\\bpretend\\b|\\brespond\\s+with\\b|\\breply\\s+with\\b|\\boutput\\s+(?:the|all|only)\\b|\\bprint\\s+(?:the|all)\\b|\\breveal\\b|\\bdisclose\\b|\\bexfiltrat') THEN 'behaviour_directive'
-  WHEN regexp_matches(text, '(?i)\\bselect\\s+.{0,30}\\bfrom\\b|\\bdrop\\s+table\\b|\\bunion\\s+select\\b|\\b(?:api|secret|private)[\\s_-]?key\\b|\\bpassword\\b|\\btoken\\b|\\benv(?:ironment)?\\s+var|\\bos\\.|\\bsubprocess\\b|\\bimport\\s+os\\b') THEN 'data_exfiltration'
-  WHEN regexp_matches(text, '(?i)```|~~~|<script|javascript:|data:text/html|"function_call"|"tool_call"|<function|\\{\\s*"name"\\s*:') THEN 'markup_injection'
-  WHEN regexp_matches(text, '(?i)https?://|www\\.\\w|\\b\\w+\\.(?:com|net|org|io|ai|co)\\b') THEN 'embedded_url'
-  WHEN regexp_matches(text, '[\\x00-\\x1F\\x{200B}-\\x{200F}]') THEN 'hidden_characters' END AS reason FROM conversations""",
+    "SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN NULL WHEN length(text) > 160 THEN 'oversized_text' "
+    + " ".join(f"WHEN regexp_matches(text, '(?i){pattern}') THEN '{name}'" for name, pattern in D.INJECTIONS)
+    + r" WHEN regexp_matches(text, '[\x00-\x1F\x{200B}-\x{200F}]') THEN 'hidden_characters' END AS reason FROM conversations",
 )
 def injection_guard(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", D.injection_reason(F.col("text")).alias("reason"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions import safety as D
+from ..operators import reads as P
 from ..sources import adapters as S
 from ..sources import statement_text as X
 from .ledger import L1
@@ -20,15 +23,24 @@ def _read(spark, sf_dir, name):
 
 
 @query(
-    "A30_R8_privacy_counters",
-    """WITH d AS (SELECT ts::DATE AS day, count(*) AS calls, sum(value) AS cost FROM events GROUP BY ALL)
-SELECT count(*) AS days, sum(calls)::BIGINT AS lifetime, (sum(calls) FILTER (day >= DATE '2024-01-15'))::BIGINT AS recent,
- sum(calls) FILTER (day >= DATE '2024-01-15') > 4000 AS over_ceiling FROM d""",
+    "A30_privacy_counters",
+    """WITH d AS (SELECT ts::DATE AS day, count(*) AS calls FROM events GROUP BY ALL)
+SELECT count(*) AS days, sum(calls)::BIGINT AS lifetime, (sum(calls) FILTER (day >= DATE '2024-01-15'))::BIGINT AS recent FROM d""",
 )
 def privacy_counters(spark, sf_dir):
     days = _read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("calls"))
     recent = F.sum(F.when(F.col("day") >= F.lit("2024-01-15").cast("date"), F.col("calls")))
-    return days.agg(F.count("*").alias("days"), F.sum("calls").alias("lifetime"), recent.alias("recent"), (recent > 4000).alias("over_ceiling"))
+    return days.agg(F.count("*").alias("days"), F.sum("calls").alias("lifetime"), recent.alias("recent"))
+
+
+@query(
+    "R8_spend_against_ceiling",
+    """SELECT coalesce(sum(round_even(abs(value), 2)::DECIMAL(18,2)), 0)::DECIMAL(18,6) AS spent, coalesce(sum(round_even(abs(value), 2)::DECIMAL(18,2)), 0) >= 40000 AS over_ceiling
+FROM events WHERE date_trunc('month', ts)::DATE = DATE '2024-01-01'""",
+)
+def spend_against_ceiling(spark, sf_dir):
+    calls = _read(spark, sf_dir, "events").select(F.to_date("ts").alias("at"), F.bround(F.abs("value"), 2).cast("decimal(18,2)").alias("cost"))
+    return P.spend_against(calls, date(2024, 1, 15), "40000")
 
 
 @query("A31_business_merchants", f"{L1} SELECT tenant_id, merchant, category FROM l1 WHERE merchant IS NOT NULL GROUP BY ALL HAVING bool_and(direction = 'debit' OR amount < 95000)")
@@ -121,7 +133,7 @@ def sendable_merchants(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", D.merchant_sendable(F.when(k % 13 != 0, "SHOP"), k % 5 == 0, rail, text).alias("sendable"))
 
 
-@query("D12_audit_details")
+@query("D12_audit_details", "SELECT event_id, event_type, 'props' AS dropped FROM events")
 def audit_details(spark, sf_dir):
     details = F.create_map(F.lit("event_type"), "event_type", F.lit("props"), "props")
     kept, dropped = D.allowed_details(details, ["event_type"])

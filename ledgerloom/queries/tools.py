@@ -10,8 +10,10 @@ from ..operators import categorize as C
 from ..plans import tools as Q
 from ..sources import adapters as S
 from ..sources import statement_json as J
-from .ledger import L1, SUMMARY, NET, RATE
-from .registry import query
+from .ledger import L1, NET, RATE, SUMMARY
+from .registry import ORACLE_SQL, query
+
+TOP_MERCHANTS_SQL, COMPARE_SQL = ORACLE_SQL["A6_top_merchants"], ORACLE_SQL["A7_compare_months"]
 
 MONTH = date(1997, 6, 1)
 
@@ -38,7 +40,7 @@ def q3(spark, sf_dir):
     return Q.get_transactions(S.lineitem_ledger(spark, sf_dir), MONTH, limit=25, merchant="supplier#00000001", min_amount=20000)
 
 
-@query("Q4_get_top_merchants")
+@query("Q4_get_top_merchants", TOP_MERCHANTS_SQL.replace("FROM l1 WHERE is_expense", "FROM l1 WHERE year(txn_date) = 1997 AND is_expense"))
 def q4(spark, sf_dir):
     return Q.get_top_merchants(S.lineitem_ledger(spark, sf_dir), MONTH, "1997")
 
@@ -48,7 +50,7 @@ def q5(spark, sf_dir):
     return Q.get_recurring_expenses(S.orders_ledger(spark, sf_dir), date(2000, 6, 1))
 
 
-@query("Q6_compare_months")
+@query("Q6_compare_months", f"SELECT *, slug = 'PROMO' AS in_focus FROM ({COMPARE_SQL}) WHERE change <> 0 ORDER BY abs(change) DESC, tenant_id, slug LIMIT 10")
 def q6(spark, sf_dir):
     return Q.compare_months(S.lineitem_ledger(spark, sf_dir), MONTH, "1997-05", "1997-06", "PROMO")
 
@@ -75,27 +77,88 @@ RULES = [
     (1, "exact", "7-1-URGENT", None, None, 10, 1, "EXACT", True), (2, "contains", "-1-urg", 100000, None, 20, 1, "URGENT", True),
     (3, "contains", "-1-URGENT", 100000, None, 20, 2, "NEWER", True), (4, "contains", "low", None, 50000, 30, 1, "SMALL", True), (5, "contains", "-", None, None, 1, 9, "OFF", False),
 ]
-RULE_SCHEMA = "rule_id int, match_type string, pattern string, min_amount int, max_amount int, priority int, created_seq int, category string, is_active boolean"
+#: Tenants of even number have all of these, tenant 1 one of its own, and the others none.
+RULE_SCHEMA = "tenant_id long, rule_id int, match_type string, pattern string, min_amount int, max_amount int, priority int, created_seq int, category string, is_active boolean"
 CASCADE = """r AS (SELECT tenant_id, txn_id, merchant, amount, CASE WHEN txn_id::BIGINT % 3 <> 0 THEN category END AS category, txn_id::BIGINT % 2 = 0 AS is_verified FROM l3),
 h AS (SELECT tenant_id, merchant, category FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, merchant ORDER BY n DESC, category) AS k FROM (
   SELECT tenant_id, merchant, category, count(*) AS n FROM r WHERE is_verified AND category IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)) WHERE k = 1),
-p AS (SELECT *, CASE WHEN lower(merchant) = '7-1-urgent' THEN 'EXACT' WHEN contains(lower(merchant), '-1-urgent') AND amount >= 100000 THEN 'NEWER'
+p AS (SELECT *, CASE WHEN tenant_id % 2 = 1 THEN CASE WHEN tenant_id = 1 AND contains(lower(merchant), 'low') THEN 'ONE' END WHEN lower(merchant) = '7-1-urgent' THEN 'EXACT' WHEN contains(lower(merchant), '-1-urgent') AND amount >= 100000 THEN 'NEWER'
   WHEN contains(lower(merchant), '-1-urg') AND amount >= 100000 THEN 'URGENT' WHEN contains(lower(merchant), 'low') AND amount <= 50000 THEN 'SMALL' END AS ruled
   FROM r WHERE NOT is_verified AND category IS NULL)"""
 
 
 @query(
     "C2_C3_J12_J13_P11_cascade",
-    f"""WITH {S.ORDERS_SQL}, {CASCADE} SELECT txn_id, coalesce(ruled, h.category) AS category,
+    f"""WITH {S.ORDERS_SQL}, {CASCADE} SELECT tenant_id, txn_id, coalesce(ruled, h.category) AS category,
  CASE WHEN ruled IS NOT NULL THEN 'user_rule' WHEN h.category IS NOT NULL THEN 'historical_pattern' ELSE 'open' END AS tier FROM p LEFT JOIN h USING (tenant_id, merchant)""",
 )
 def cascade(spark, sf_dir):
-    return C.cascade(_cascade_rows(spark, sf_dir), spark.createDataFrame(RULES, RULE_SCHEMA))
+    return C.cascade(_cascade_rows(spark, sf_dir), rules(spark))
+
+
+def rules(spark):
+    own = [(1, 6, "contains", "low", None, None, 5, 1, "ONE", True)]
+    return spark.createDataFrame([(t, *r) for t in range(0, 25, 2) for r in RULES] + own, RULE_SCHEMA)
 
 
-@query("C6_cascade_outcomes")
+@query(
+    "C6_cascade_outcomes",
+    f"""WITH {S.ORDERS_SQL}, {CASCADE} SELECT CASE WHEN ruled IS NOT NULL THEN 'user_rule' WHEN h.category IS NOT NULL THEN 'historical_pattern' ELSE 'open' END AS tier,
+ count(*) AS n FROM p LEFT JOIN h USING (tenant_id, merchant) GROUP BY ALL""",
+)
 def cascade_outcomes(spark, sf_dir):
-    return cascade(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"))
+    return C.cascade_outcomes(cascade(spark, sf_dir))
+
+
+@query(
+    "C5_recategorised",
+    f"""WITH {S.ORDERS_SQL}, {CASCADE}, d AS (SELECT tenant_id, txn_id, coalesce(ruled, h.category) AS category, CASE WHEN ruled IS NOT NULL THEN 'user_rule' WHEN h.category IS NOT NULL THEN 'historical_pattern' END AS tier,
+   CASE WHEN ruled IS NOT NULL THEN 0.99 ELSE 0.90 END AS sure FROM p LEFT JOIN h USING (tenant_id, merchant)), e AS (SELECT * FROM d WHERE category IS NOT NULL),
+ b AS (SELECT r.*, e.category AS new, e.tier, e.sure, CASE WHEN txn_id::BIGINT % 10 = 0 THEN 0.80 ELSE 0.98 END AS other FROM r LEFT JOIN e USING (tenant_id, txn_id))
+SELECT tenant_id, txn_id, coalesce(new, category) AS category, coalesce(tier, 'deterministic_rule') AS category_source,
+ CASE WHEN new IS NULL THEN 'flagged' WHEN least(other, sure) >= 0.97 THEN 'auto_approved' WHEN least(other, sure) >= 0.90 THEN 'flagged' ELSE 'review_required' END AS review_status FROM b""",
+)
+def recategorised(spark, sf_dir):
+    rows = _cascade_rows(spark, sf_dir)
+    score = lambda v: F.lit(v).cast("decimal(6,4)")
+    rows = rows.withColumns(
+        {
+            "review_status": F.lit("flagged"), "confidence_category": score("0.60"), "confidence_extraction": F.when(F.col("txn_id").cast("long") % 10 == 0, score("0.80")).otherwise(score("0.98")),
+            "confidence_merchant": score("0.99"), "confidence_validation": score("0.99"),
+        }
+    )
+    decided = C.cascade(rows, rules(spark)).withColumn("confidence", F.when(F.col("tier") == "user_rule", score("0.99")).otherwise(score(C.HISTORY_CONFIDENCE)))
+    return C.recategorised(rows, decided).select("tenant_id", "txn_id", "category", "category_source", "review_status")
+
+
+@query(
+    "U9_learned_rules",
+    f"""WITH {S.ORDERS_SQL}, c AS (SELECT tenant_id, merchant, txn_id::BIGINT AS seq, category FROM l3 WHERE txn_id::BIGINT % 50 = 1 OR merchant = '7-1-URGENT'),
+ k AS (SELECT tenant_id, lower(merchant) AS name, arg_max(category, seq) AS category, max(seq) AS seq, arg_max(merchant, seq) AS merchant FROM c GROUP BY ALL),
+ o AS (SELECT t.tenant_id::BIGINT AS tenant_id, r.* FROM range(0, 25, 2) AS t(tenant_id), (VALUES (1, 'exact', '7-1-URGENT', 'EXACT', true), (2, 'contains', '-1-urg', 'URGENT', true),
+   (3, 'contains', '-1-URGENT', 'NEWER', true), (4, 'contains', 'low', 'SMALL', true), (5, 'contains', '-', 'OFF', false)) AS r(rule_id, match_type, pattern, category, is_active)
+   UNION ALL SELECT 1, 6, 'contains', 'low', 'ONE', true)
+SELECT o.tenant_id, rule_id, match_type, pattern, coalesce(k.category, o.category) AS category, is_active OR k.category IS NOT NULL AS is_active
+FROM o LEFT JOIN k ON k.tenant_id = o.tenant_id AND k.name = lower(o.pattern)
+UNION ALL SELECT tenant_id, (6 + row_number() OVER (ORDER BY tenant_id, name))::INTEGER, 'exact', merchant, category, true FROM k
+WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.tenant_id = k.tenant_id AND lower(o.pattern) = k.name)""",
+)
+def learned_rules(spark, sf_dir):
+    rows = S.orders_ledger(spark, sf_dir).withColumn("seq", F.col("txn_id").cast("int")).where("seq % 50 = 1 or merchant = '7-1-URGENT'")
+    return C.learned_rules(rules(spark), rows.select("tenant_id", "seq", "merchant", "category")).select("tenant_id", "rule_id", "match_type", "pattern", "category", "is_active")
+
+
+@query(
+    "R4_rule_list",
+    """WITH o AS (SELECT t.tenant_id::BIGINT AS tenant_id, r.* FROM range(0, 25, 2) AS t(tenant_id), (VALUES (1, 1, 'EXACT', true), (2, 1, 'URGENT', true), (3, 2, 'NEWER', true), (4, 1, 'SMALL', true), (5, 9, 'OFF', false)) AS r(rule_id, created_seq, category, is_active)
+   UNION ALL SELECT 1, 6, 1, 'ONE', true)
+SELECT tenant_id, rule_id, category, 'Category ' || category AS category_name, CASE WHEN category = 'EXACT' THEN 'Sub' END AS subcategory_name FROM o WHERE category <> 'OFF'""",
+)
+def rule_list(spark, sf_dir):
+    names = spark.createDataFrame([(c, f"Category {c}") for c in ("EXACT", "URGENT", "NEWER", "SMALL", "ONE")], "slug string, name string")
+    sub = rules(spark).withColumn("subcategory", F.when(F.col("category") == "EXACT", "sub"))
+    listed = C.rule_list(sub, names, spark.createDataFrame([("sub", "Sub")], "slug string, name string"))
+    return listed.select("tenant_id", "rule_id", "category", "category_name", "subcategory_name")
 
 
 def _narrated(spark, sf_dir):
@@ -119,7 +182,13 @@ def scorecard(spark, sf_dir):
     return C.scorecard(truth, read)
 
 
-@query("S5_document_classes")
+@query(
+    "S5_document_classes",
+    f"""WITH m AS (SELECT doc_id, {" + ".join(f"contains(lower(coalesce(text, '')), '{m}')::INT" for m in J.MARKERS["bank_statement"])} AS bank,
+ {" + ".join(f"contains(lower(coalesce(text, '')), '{m}')::INT" for m in J.MARKERS["credit_card_statement"])} AS card FROM documents)
+SELECT doc_id, CASE WHEN bank > card THEN 'bank_statement' WHEN card > bank THEN 'credit_card_statement' ELSE 'unknown' END AS kind,
+ CASE WHEN bank + card = 0 THEN 0.0 WHEN bank = card THEN 0.5 ELSE round(greatest(bank, card) / (bank + card), 3) END::DOUBLE AS score FROM m""",
+)
 def document_classes(spark, sf_dir):
     kind, score = J.classify_document(F.coalesce("text", F.lit("")))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", kind.alias("kind"), score.alias("score"))
@@ -128,4 +197,4 @@ def document_classes(spark, sf_dir):
 @query("S20_content_hash_gate", "SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY sha256(html) ORDER BY page_id) AS n FROM pages) WHERE n = 1")
 def content_hash_gate(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.groupBy(F.sha2("html", 256).alias("h")).agg(F.min("page_id").alias("page_id")).select("page_id")
+    return J.new_uploads(pages, "html", "page_id").select("page_id")

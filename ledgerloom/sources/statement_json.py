@@ -19,21 +19,30 @@ STATEMENT = (
     + ",".join(":".join(f.split()) for f in TRANSACTION.split(", "))
     + ">>"
 )
+# Phrases that mark the kinds of documents.
 MARKERS = {
     "bank_statement": ("account statement", "statement of account", "savings account", "current account", "closing balance", "withdrawal"),
     "credit_card_statement": ("credit card", "total amount due", "minimum amount due", "payment due date", "credit limit"),
 }
 
 
-def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """One row per statement file, money as decimals and dates as dates."""
-    rows = spark.read.schema(STATEMENT).option("multiLine", True).json(path)
+def _typed(rows: DataFrame) -> DataFrame:
     meta = {c: F.col(f"metadata.{c}") for c in ("bank_code", "document_type", "account_last4")}
     meta |= {c: F.col(f"metadata.{c}").cast("date") for c in ("period_start", "period_end")}
     meta |= {c: F.col(f"metadata.{c}").cast("decimal(18,2)") for c in ("opening_balance", "closing_balance", "total_amount_due")}
     return rows.select("fixture", "page_count", *(c.alias(n) for n, c in meta.items()), "transactions")
 
 
+def read_statements(spark: SparkSession, path: str) -> DataFrame:
+    """One row per statement file, money as decimals and dates as dates."""
+    return _typed(spark.read.schema(STATEMENT).option("multiLine", True).json(path))
+
+
+def parsed_statements(rows: DataFrame, column: str = "json") -> DataFrame:
+    """As read_statements(), of statements held as JSON text."""
+    return _typed(rows.select(F.from_json(column, STATEMENT).alias("s")).select("s.*"))
+
+
 def statement_rows(statements: DataFrame) -> DataFrame:
     """One row per transaction, with its place in the statement."""
     rows = statements.select("fixture", F.posexplode("transactions").alias("source_row", "t")).select("fixture", "source_row", "t.*")
@@ -59,13 +68,28 @@ def gather_export(rows: DataFrame, cap: int = EXPORT_CAP) -> DataFrame:
     return rows.orderBy("txn_date", "txn_id")
 
 
+def csv_columns(rows: DataFrame) -> DataFrame:
+    """Exact decimals, and yes or no for booleans, as text."""
+    return rows.select([F.when(F.col(c), "yes").otherwise("no").alias(c) if t == "boolean" else F.col(c).cast("string").alias(c) for c, t in rows.dtypes])
+
+
+def json_columns(rows: DataFrame) -> DataFrame:
+    """Money as strings."""
+    return rows.select([F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c) for c, t in rows.dtypes])
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with CRLF line ends, exact decimals and yes or no for booleans."""
-    shown = [F.when(F.col(c), "yes").otherwise("no").alias(c) if t == "boolean" else F.col(c).cast("string").alias(c) for c, t in rows.dtypes]
-    gather_export(rows).select(shown).coalesce(1).write.option("header", True).option("lineSep", "\r\n").mode("overwrite").csv(path)
+    """One CSV file with CRLF line ends."""
+    csv_columns(gather_export(rows)).coalesce(1).write.option("header", True).option("lineSep", "\r\n").mode("overwrite").csv(path)
 
 
 def export_json(rows: DataFrame, path: str) -> None:
-    """One JSON-lines file with money as strings."""
-    shown = [F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c) for c, t in rows.dtypes]
-    gather_export(rows).select(shown).coalesce(1).write.mode("overwrite").json(path)
+    """One JSON-lines file."""
+    json_columns(gather_export(rows)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def new_uploads(uploads: DataFrame, content: str, key: str, live: DataFrame | None = None) -> DataFrame:
+    """hash and key of the first upload of each content, by hash, but for contents that live statements (hash) have."""
+    first = uploads.groupBy(F.sha2(content, 256).alias("hash")).agg(F.min(key).alias(key))
+    return first if live is None else first.join(live.select("hash"), "hash", "left_anti")
+

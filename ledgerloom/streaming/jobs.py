@@ -16,8 +16,9 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def job_progress(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The latest event of each job (job_id, seq, occurred_at, state), repeats dropped within the watermark."""
-    once = events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["job_id", "seq"])
+    """The latest event of each job (job_id, seq, occurred_at, state), repeats dropped: within the watermark of a stream, or in a table of the history."""
+    key = ["job_id", "seq"]
+    once = events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
     latest = once.groupBy("job_id").agg(F.max(F.struct("seq", "occurred_at", "state")).alias("last"))
     return latest.select("job_id", "last.seq", "last.occurred_at", "last.state", F.col("last.state").isin(*TERMINAL).alias("closed"))
 

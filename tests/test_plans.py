@@ -73,7 +73,7 @@ def test_cascade_prefers_rules_and_leaves_settled_rows(spark):
     columns = "tenant_id long, txn_id string, merchant string, amount decimal(18,2), category string, is_verified boolean, category_source string"
     rows = [(1, "a", "Shop", D(5), None, False, "x"), (1, "b", "Cafe", D(5), "misc", False, "fallback_other"), (1, "c", "Shop", D(5), "set", False, "x"), (1, "d", "None", D(5), None, False, "x")]
     rows += [(1, f"v{i}", "Cafe", D(5), "food", True, "x") for i in range(3)] + [(1, f"w{i}", "None", D(5), "y", True, "x") for i in range(2)]
-    rules = spark.createDataFrame([(1, "exact", "shop", None, 10, 1, 1, "ruled", True)], "rule_id int, match_type string, pattern string, min_amount int, max_amount int, priority int, created_seq int, category string, is_active boolean")
+    rules = spark.createDataFrame([(1, 1, "exact", "shop", None, 10, 1, 1, "ruled", True)], "tenant_id long, rule_id int, match_type string, pattern string, min_amount int, max_amount int, priority int, created_seq int, category string, is_active boolean")
     got = {r.txn_id: (r.category, r.tier) for r in C.cascade(spark.createDataFrame(rows, columns), rules).collect()}
     assert got == {"a": ("ruled", "user_rule"), "b": ("food", "historical_pattern"), "d": (None, "open")}
 
