@@ -40,10 +40,10 @@ CHUNK = 4_096
 #: Chunks of a document above which they are dealt over the tasks.
 SPREAD = 16
 SPACE = "▁"
-#: Pairs of pieces, and cut words, whose results a worker holds; some 200 bytes each.
-PAIRS = 200_000
+#: Pairs of pieces, and cut words, whose results a worker holds; some hundred bytes each.
+PAIRS = 50_000
 #: Words whose ids a worker holds.
-WORDS = 1_000_000
+WORDS = 300_000
 WORD_START = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 WHOLE_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
