@@ -64,3 +64,28 @@ def test_registered_queries_return_a_row_for_each_document(spark, small, name):
     rows = queries.QUERIES[name](spark, small)
     ids = [r.doc_id for r in rows.select("doc_id").distinct().collect()]
     assert len(ids) == common.documents(spark, small).count()
+
+
+def test_pipeline_of_an_empty_table_and_of_odd_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows, kept in (("empty", [], []), ("odd", [(None, "a text", "en", "s", 6), (None, None, "en", "s", 0), (5, "b text", "en", "s", 6), (5, "b text", "en", "s", 6)], [None, None, 5])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        none.write.parquet(f"{folder}/labels.parquet")
+        assert sorted((r.doc_id for r in corpus_pipeline.run(spark, folder).collect()), key=lambda x: x or 0) == kept
+
+
+def test_repeated_ids_are_cut_in_the_order_of_their_digests(spark):
+    import hashlib
+
+    from ledgerloom.llm import suffix_dedup
+
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdef ") for _ in range(150))
+    rows = [(None, "x" + shared), (7, shared + "one"), (7, shared + "two"), (7, "three" + shared), (2, shared)]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    want = cases.cut([(k, t) for k, (_, t) in enumerate(ordered)])
+    got = suffix_dedup.dedup_substrings(cases.frame(spark, rows)).collect()
+    found = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.kept_sha256) for r in got)
+    assert found == sorted((ordered[k][0] is not None, ordered[k][0] or 0, n, removed, sha) for k, n, removed, _, sha in want)

@@ -223,3 +223,8 @@ def test_sliding_least():
     x = np.random.default_rng(0).integers(0, 1 << 60, 500).astype(U64)
     for n in (1, 2, 3, 8, 77):
         assert sliding_least(x, n).tolist() == [x[i : i + n].min() for i in range(len(x) - n + 1)]
+
+
+def test_rules_of_null_and_repeated_rows(spark):
+    got = quality_rules.quality_rules(cases.frame(spark, [(None, "a b"), (1, "a b"), (1, "a b"), (1, None)])).collect()
+    assert sorted((r.doc_id is None, r.n_words) for r in got) == [(False, 0), (False, 2), (False, 2), (True, 2)]

@@ -173,3 +173,11 @@ def test_sentencepiece_encodes_in_chunks_and_decodes(spark, monkeypatch, lost):
     assert back == sorted(((i, t or "") for i, t in rows), key=repr)
     assert encoded.where("chunks > 1").count() >= 2
     assert sentencepiece_scan.encode(cases.frame(spark, rows).limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(None, "one two"), (None, None), (3, "again"), (3, "again"), (3, "other")]
+    packed = packing.pack(cases.frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start) for r in packed) == [(False, 3, 0, 0)] * 3 + [(True, 0, 0, 0)] * 2
+    files = token_files.token_files(cases.frame(spark, rows)).orderBy("start").collect()
+    assert [r.doc_id for r in files] == [None, None, 3, 3, 3] and [r.start for r in files] == np.cumsum([0, *(r.n_tokens for r in files)]).tolist()[:-1]
