@@ -60,7 +60,10 @@ def q7(spark, sf_dir):
     return Q.get_anomalies(S.lineitem_ledger(spark, sf_dir), MONTH)
 
 
-@query("Q8_Q10_planned_question")
+APRIL_TO_MAY = COMPARE_SQL.replace("1997-05-01", "1997-04-01").replace("1997-06-01", "1997-05-01")
+
+
+@query("Q8_Q10_planned_question", f"SELECT *, slug = 'PROMO' AS in_focus FROM ({APRIL_TO_MAY}) WHERE change <> 0 ORDER BY abs(change) DESC, tenant_id, slug LIMIT 10")
 def q8(spark, sf_dir):
     tool, arguments = Q.plan("Why did my spending on promo change from April to May 1997?", MONTH, {"PROMO": "Promo"}, [])
     return Q.execute(S.lineitem_ledger(spark, sf_dir), MONTH, tool, arguments)
