@@ -99,27 +99,44 @@ def duplicate_charges(ledger: DataFrame, days: int = DUPLICATE_DAYS) -> DataFram
     )
 
 
+#: Steps of an amount's logarithm for each doubling of the amount.
+STEPS_AN_OCTAVE = 32
+
+
+def _medians_before(months: DataFrame, counts: DataFrame) -> DataFrame:
+    """The median of each (tenant_id, month) over the counts (tenant_id, step, amount, since, n) whose since is not later."""
+    asked = months.join(counts.select("tenant_id", "step").distinct(), "tenant_id").select("tenant_id", "step", "month", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    coarse = counts.groupBy("tenant_id", "step", F.col("since").alias("month")).agg(F.sum("n").alias("n")).withColumn("asked", F.lit(False))
+    so_far = F.sum("n").over(Window.partitionBy("tenant_id", "step").orderBy("month"))  # rows of one month count together
+    seen = asked.unionByName(coarse).withColumn("n", so_far).where("asked and n > 0")
+    whole = Window.partitionBy("tenant_id", "month")
+    seen = seen.withColumns({"all": F.sum("n").over(whole), "ahead": F.sum("n").over(whole.orderBy("step")) - F.col("n")})
+    seen = seen.withColumns({"low": F.expr("(all - 1) div 2 + 1"), "high": F.expr("all div 2 + 1")})
+    middle = seen.where("(ahead < low and low <= ahead + n) or (ahead < high and high <= ahead + n)").select("tenant_id", "month", "step", "ahead", "low", "high")
+    near = middle.join(counts, ["tenant_id", "step"]).where("since <= month").groupBy(*middle.columns, "amount").agg(F.sum("n").alias("n"))
+    near = near.withColumn("to", F.col("ahead") + F.sum("n").over(Window.partitionBy("tenant_id", "month", "step").orderBy("amount")))
+    holds = lambda k: F.min(F.when(F.col("to") >= F.col(k), F.col("amount")))
+    medians = near.groupBy("tenant_id", "month").agg(holds("low").alias("a"), holds("high").alias("b"))
+    return medians.select("tenant_id", "month", money((F.col("a") + F.col("b")).cast("decimal(20,2)") / 2).alias("median"))
+
+
 def first_seen_large(ledger: DataFrame) -> DataFrame:
     """Expenses at merchants without any row before the month, of three times the tenant's median expense or more.
 
-    The median is over expenses before the month's last day. It is taken from amounts counted by value, so a tenant's
-    months read its distinct amounts, not its rows.
+    The median is over expenses before the month's last day. Amounts fall into steps that rise with their logarithm; running
+    counts by step tell which steps hold the middle, and only those steps' amounts, counted by value, are ranked. So a
+    tenant's months meet its steps, some hundreds whatever its rows, and not each of its amounts.
     """
     dated = ledger.withColumn("month", month_of())
     spent = dated.where("is_expense")
     first_month = dated.where("merchant is not null").groupBy("tenant_id", "merchant").agg(F.min("month").alias("month"))
     fresh = spent.join(first_month, ["tenant_id", "merchant", "month"])
     months = fresh.select("tenant_id", "month").distinct()
-    # Running counts by amount are needed up to each month's last day: a row counts for its own month unless on that day.
+    # A row counts for its own month unless on that month's last day.
     from_month = F.when(F.col("txn_date") < F.last_day("txn_date"), F.col("month")).otherwise(F.add_months("month", 1))
-    counts = spent.groupBy("tenant_id", "amount", from_month.alias("since")).agg(F.count("*").alias("n"))
-    seen = months.join(counts, "tenant_id").where("since <= month").groupBy("tenant_id", "month", "amount").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("tenant_id", "month").orderBy("amount")
-    seen = seen.withColumns({"to": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("tenant_id", "month"))})
-    low, high = F.expr("(all - 1) div 2 + 1"), F.expr("all div 2 + 1")
-    holds = lambda k: F.min(F.when(F.col("to") >= k, F.col("amount")))
-    medians = seen.withColumns({"low": low, "high": high}).groupBy("tenant_id", "month").agg(holds(F.col("low")).alias("a"), holds(F.col("high")).alias("b"))
-    medians = medians.select("tenant_id", "month", money((F.col("a") + F.col("b")).cast("decimal(20,2)") / 2).alias("median")).where("median > 0")
+    step = F.floor(F.log2(F.greatest(F.col("amount").cast("double"), F.lit(0.0)) + 1) * STEPS_AN_OCTAVE).cast("int")
+    counts = spent.groupBy("tenant_id", "amount", step.alias("step"), from_month.alias("since")).agg(F.count("*").alias("n"))
+    medians = _medians_before(months, counts).where("median > 0")
     large = fresh.join(medians, ["tenant_id", "month"]).where(F.col("amount") >= F.col("median") * F.lit(FIRST_SEEN_MULTIPLE).cast("decimal(4,1)"))
     reason = F.concat(F.lit("First payment to "), "merchant", F.lit(", for "), grouped("amount"), F.lit(" — well above your typical transaction of "), grouped("median"), F.lit("."))
     return large.select(

@@ -3,34 +3,53 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import PAIRING_DAYS, TRANSFER_MOVEMENTS
+from ..schema import DIRECTIONS, PAIRING_DAYS, TRANSFER_MOVEMENTS
 
 PAIRS = "tenant_id long, amount decimal(18,2), txn_id string, paired_with string, gap_days int"
 
 
+def _transfers(ledger: DataFrame) -> DataFrame:
+    return ledger.where(F.col("movement_type").isin(*TRANSFER_MOVEMENTS)).withColumn("a_date", F.col("txn_date"))
+
+
 def candidates(ledger: DataFrame, days: int = PAIRING_DAYS) -> DataFrame:
-    """Transfers with opposite rows of the same amount on other accounts, so many days apart at most."""
-    left = ledger.where(F.col("movement_type").isin(*TRANSFER_MOVEMENTS)).select(
-        "tenant_id", "amount", F.col("txn_id").alias("a"), F.col("account_id").alias("a_account"), F.col("txn_date").alias("a_date"), F.col("direction").alias("a_way")
+    """Transfers with opposite rows of the same amount on other accounts, so many days apart at most.
+
+    Each day in reach joins by equality, so that a common amount does not meet its rows of all other days.
+    """
+    one, other = DIRECTIONS
+    opposite = F.when(F.col("direction") == one, other).when(F.col("direction") == other, one)
+    left = _transfers(ledger).select(
+        "tenant_id", "amount", F.col("txn_id").alias("a"), F.col("account_id").alias("a_account"), "a_date", opposite.alias("b_way"),
+        F.explode(F.sequence(F.date_sub("a_date", days), F.date_add("a_date", days))).alias("b_date"),
+    )
+    right = ledger.select(
+        "tenant_id", "amount", F.col("txn_id").alias("b"), F.col("account_id").alias("b_account"), F.col("txn_date").alias("b_date"), F.col("direction").alias("b_way")
     )
-    right = ledger.select("tenant_id", "amount", F.col("txn_id").alias("b"), F.col("account_id").alias("b_account"), F.col("txn_date").alias("b_date"), F.col("direction").alias("b_way"))
-    gap = F.abs(F.datediff("a_date", "b_date"))
-    both = left.join(right, ["tenant_id", "amount"]).where("a_account <> b_account and a_way <> b_way").where(gap <= days)
-    return both.select("tenant_id", "amount", "a", "b", "a_date", gap.alias("gap"))
+    both = left.join(right, ["tenant_id", "amount", "b_date", "b_way"]).where("a_account <> b_account")
+    return both.select("tenant_id", "amount", "a", "b", "a_date", F.abs(F.datediff("a_date", "b_date")).alias("gap"))
+
+
+def runs(ledger: DataFrame, days: int = PAIRING_DAYS) -> DataFrame:
+    """tenant_id, amount, a_date and run: transfers of one amount whose dates are more than twice the days apart share no counterpart."""
+    dates = _transfers(ledger).select("tenant_id", "amount", "a_date").distinct()
+    order = Window.partitionBy("tenant_id", "amount").orderBy("a_date")
+    apart = F.datediff("a_date", F.lag("a_date").over(order)) > 2 * days
+    return dates.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).select("tenant_id", "amount", "a_date", F.sum("apart").over(order).alias("run"))
 
 
-#: Buckets of (tenant, amount) for each shuffle partition.
+#: Buckets of runs for each shuffle partition.
 BUCKETS = 4
 
 
 def pair_transfers(ledger: DataFrame, days: int = PAIRING_DAYS) -> DataFrame:
     """One row per pair. Rows are taken by date and id; each takes its nearest free counterpart, of equals the smaller id.
 
-    Only candidates of one tenant and amount can compete. They are settled together with others that fall into the same
-    bucket: blocks are small and many, and a call for each would cost more than its work.
+    Only candidates of one run of a tenant and amount can compete. They are settled together with others that fall into
+    the same bucket: runs are small and many, and a call for each would cost more than its work.
     """
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
@@ -44,8 +63,9 @@ def pair_transfers(ledger: DataFrame, days: int = PAIRING_DAYS) -> DataFrame:
         return pd.DataFrame(pairs, columns=["tenant_id", "amount", "txn_id", "paired_with", "gap_days"])
 
     n = BUCKETS * int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("tenant_id", "amount"), F.lit(n)).alias("bucket")
-    return candidates(ledger, days).groupBy(bucket).applyInPandas(settle, PAIRS)
+    bucket = F.pmod(F.xxhash64("tenant_id", "amount", "run"), F.lit(n)).alias("bucket")
+    both = candidates(ledger, days).join(runs(ledger, days), ["tenant_id", "amount", "a_date"])
+    return both.groupBy(bucket).applyInPandas(settle, PAIRS)
 
 
 def without_paired(ledger: DataFrame, pairs: DataFrame) -> DataFrame:

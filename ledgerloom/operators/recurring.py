@@ -16,16 +16,6 @@ def _mode(c: str) -> Column:
     return F.expr(f"mode() WITHIN GROUP (ORDER BY {c})")
 
 
-def candidates(ledger: DataFrame, since: date) -> DataFrame:
-    """Merchants charged three times or more since a day, with their charges in order."""
-    seen = ledger.where("is_expense and merchant is not null").where(F.col("txn_date") >= F.lit(since))
-    charges = F.array_sort(F.collect_list(F.struct("txn_date", "txn_id", "amount")))
-    rows = seen.groupBy("tenant_id", "merchant").agg(
-        charges.alias("charges"), F.count("*").alias("occurrence_count"), _mode("category").alias("category"), _mode("account_id").alias("account_id")
-    )
-    return rows.where(F.col("occurrence_count") >= MIN_OCCURRENCES)
-
-
 def _cadence(days: Column, place: int) -> Column:
     found = F.lit(None)
     for cadence in reversed(CADENCES):
@@ -38,26 +28,51 @@ def next_charge(last: Column, days: Column, cadence_months: Column) -> Column:
     return F.when(cadence_months > 0, F.add_months(last, cadence_months)).otherwise(F.date_add(last, days.cast("int")))
 
 
-def subscriptions(ledger: DataFrame, today: date, lookback: int = LOOKBACK_DAYS) -> DataFrame:
-    """Merchants whose charges follow a cadence steadily, with the next charge that is due."""
-    rows = candidates(ledger, _days_before(today, lookback))
-    day = lambda k: F.get("charges", k)["txn_date"]
-    gaps = F.transform(F.sequence(F.lit(1), F.size("charges") - 1), lambda k: F.datediff(day(k), day(k - 1)))
-    rows = rows.withColumn("gaps", F.transform(gaps, lambda g: g.cast("decimal(10,1)")))
-    rows = rows.withColumn("typical_gap", exact_median(F.col("gaps")))
-    spread = F.aggregate("gaps", F.lit(0).cast("decimal(20,4)"), lambda a, g: (a + F.abs(g - F.col("typical_gap"))).cast("decimal(20,4)"))
-    steady = 1 - (spread.cast("double") / F.size("gaps")) / F.col("typical_gap").cast("double")
-    score = F.when(F.size("gaps") < 2, F.lit(0.5)).when(F.col("typical_gap") <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), steady))
+KEY = ["tenant_id", "merchant"]
+
+
+def steady_merchants(charges: DataFrame) -> DataFrame:
+    """Merchants charged three times or more at a steady cadence, by the days between their charges.
+
+    Charges are counted by day first, so that a merchant's list has a day once however often it was charged; further
+    charges of a day are gaps of no days, and are counted and not listed.
+    """
+    rows = charges.groupBy(*KEY, "txn_date").agg(F.count("*").alias("n")).groupBy(*KEY)
+    rows = rows.agg(F.array_sort(F.collect_list("txn_date")).alias("days"), F.sum("n").alias("occurrence_count"))
+    rows = rows.where(F.col("occurrence_count") >= MIN_OCCURRENCES)
+    waits = F.transform(F.slice("days", 2, F.size("days")), lambda d, i: F.datediff(d, F.get("days", i)).cast("decimal(10,1)"))
+    rows = rows.withColumns({"waits": F.sort_array(waits), "same_day": F.col("occurrence_count") - F.size("days"), "gaps": F.col("occurrence_count") - 1})
+
+    def nth(place: str) -> Column:
+        k = F.expr(place)
+        return F.when(k < F.col("same_day"), F.lit(0).cast("decimal(10,1)")).otherwise(F.get("waits", (k - F.col("same_day")).cast("int")))
+
+    rows = rows.withColumn("typical_gap", ((nth("(gaps - 1) div 2") + nth("gaps div 2")) / 2).cast("decimal(20,4)"))
+    none = (F.col("same_day") * F.col("typical_gap")).cast("decimal(20,4)")
+    spread = F.aggregate("waits", none, lambda a, g: (a + F.abs(g - F.col("typical_gap"))).cast("decimal(20,4)"))
+    steady = 1 - (spread.cast("double") / F.col("gaps")) / F.col("typical_gap").cast("double")
+    score = F.when(F.col("gaps") < 2, F.lit(0.5)).when(F.col("typical_gap") <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), steady))
     rows = rows.withColumns({"stability": F.bround(score, 3).cast("decimal(4,3)"), "cadence": _cadence(F.col("typical_gap"), 0)})
     rows = rows.where(F.col("cadence").isNotNull() & (F.col("stability") >= F.lit(MIN_STABILITY).cast("decimal(4,3)")))
-    rows = rows.withColumns(
-        {
-            "typical_amount": money(exact_median(F.transform("charges", lambda c: c["amount"]))),
-            "first_charge_on": day(0),
-            "last_charge_on": day(F.size("charges") - 1),
-            "last_amount": F.get("charges", F.size("charges") - 1)["amount"],
-        }
-    )
+    ends = {"first_charge_on": F.get("days", F.lit(0)), "last_charge_on": F.element_at("days", -1)}
+    return rows.withColumns(ends).select(*KEY, "occurrence_count", "typical_gap", "stability", "cadence", *ends)
+
+
+def subscriptions(ledger: DataFrame, today: date, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """Merchants whose charges follow a cadence steadily, with the next charge that is due.
+
+    Amounts are collected of steady merchants only. Half of their gaps are five days or more, what the shortest
+    cadence allows, so their charges are at most two for every five days covered.
+    """
+    since = _days_before(today, lookback)
+    seen = ledger.where("is_expense and merchant is not null").where(F.col("txn_date") >= F.lit(since))
+    steady = steady_merchants(seen)
+    charged = seen.join(steady.select(*KEY), KEY).groupBy(*KEY).agg(
+        money(exact_median(F.collect_list("amount"))).alias("typical_amount"),
+        F.max(F.struct("txn_date", "txn_id", "amount"))["amount"].alias("last_amount"),
+        _mode("category").alias("category"), _mode("account_id").alias("account_id"),
+    )
+    rows = steady.join(charged, KEY)
     rows = rows.withColumn("next_expected_on", next_charge(F.col("last_charge_on"), F.floor("typical_gap"), _cadence(F.col("typical_gap"), 4)))
     lapsed = F.col("next_expected_on") < F.date_sub(F.lit(today), LAPSE_GRACE_DAYS)
     return rows.select(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
+import random
+import statistics
+from datetime import date, timedelta
+from decimal import ROUND_HALF_EVEN
 from decimal import Decimal as D
 
 import pytest
@@ -214,3 +217,47 @@ def test_orphan_guards(spark):
     keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key int")
     refused = lambda live, tenants=(1,): U.orphan_report(keys(*range(8)), keys(*live), keys(*tenants)).first().refused
     assert refused(range(7)) is None and refused(range(5)) == "too_many" and refused([]) == "empty_live_set" and refused(range(8), ()) == "no_tenants"
+
+
+def test_first_seen_medians_equal_a_plain_median(spark):
+    rng = random.Random(4)
+    day = lambda: date(2024, rng.randint(1, 6), rng.choice([1, 9, 28, 29])) if rng.random() < 0.7 else date(2024, rng.choice([1, 3, 5]), 31)
+    spends = [(f"t{i}", day(), D(rng.choice([rng.randint(1, 400), rng.randint(1, 90_000)])) / 100, f"m{rng.randint(0, 60)}") for i in range(300)]
+    got = {(r.txn_id, r.baseline) for r in N.first_seen_large(ledger(spark, [spend(t, str(d), str(a), merchant=m) for t, d, a, m in spends])).collect()}
+    want, first = set(), {}
+    for _, d, _, m in spends:
+        first[m] = min(first.get(m, d.replace(day=1)), d.replace(day=1))
+    for t, d, a, m in spends:
+        month = d.replace(day=1)
+        last = date.fromordinal((month + timedelta(days=32)).replace(day=1).toordinal() - 1)
+        if month == first[m] and (before := [x for _, y, x, _ in spends if y < last]):
+            middle = statistics.median(before).quantize(D("0.01"), ROUND_HALF_EVEN)
+            if middle > 0 and a >= middle * 3:
+                want.add((t, middle))
+    assert got == want and want
+
+
+def test_transfer_pairs_equal_a_plain_greedy_over_all_rows(spark):
+    rng = random.Random(5)
+    rows = [
+        (f"t{i:03}", str(date(2024, 1, 1) + timedelta(days=rng.randint(0, 120))), rng.choice(["100", "100", "250"]), rng.choice(["debit", "credit"]),
+         rng.choice(["transfer", "credit_card_payment", "purchase"]), False, None, None, {"account_id": rng.randint(1, 3)})
+        for i in range(160)
+    ]
+    got = {(r.txn_id, r.paired_with, r.gap_days) for r in J.pair_transfers(ledger(spark, rows)).collect()}
+    gap = lambda a, b: abs((date.fromisoformat(a[1]) - date.fromisoformat(b[1])).days)
+    both = [(a[1], a[0], gap(a, b), b[0]) for a in rows if a[4] != "purchase" for b in rows if a[2] == b[2] and a[3] != b[3] and a[8] != b[8] and gap(a, b) <= 3]
+    taken, want = set(), set()
+    for _, a, days, b in sorted(both):
+        if not taken & {a, b}:
+            taken |= {a, b}
+            want.add((a, b, days))
+    assert got == want and want
+
+
+def test_charges_of_one_day_are_gaps_of_no_days(spark):
+    weekly = [spend(f"w{i}", str(date(2024, 1, 1) + timedelta(days=7 * i)), str(10 + i), merchant="w") for i in range(12)]
+    got = R.subscriptions(ledger(spark, [*weekly, spend("x", "2024-01-08", "99", merchant="w")]), date(2024, 4, 1)).collect()[0]
+    assert (got.cadence, got.occurrence_count, got.stability, got.typical_amount, got.last_amount) == ("weekly", 13, D("0.917"), D("16.00"), D("21.00"))
+    daily = [spend(f"d{i}-{k}", f"2024-01-{i + 1:02}", "5", merchant="d") for i in range(3) for k in range(4)]
+    assert R.subscriptions(ledger(spark, daily), date(2024, 2, 1)).count() == 0
