@@ -31,6 +31,13 @@ def next_charge(last: Column, days: Column, cadence_months: Column) -> Column:
 KEY = ["tenant_id", "merchant"]
 
 
+def candidates(ledger: DataFrame, since: date) -> DataFrame:
+    """Merchants charged three times or more since a day, with their first and last charge and most frequent category."""
+    charges = ledger.where("is_expense and merchant is not null").where(F.col("txn_date") >= F.lit(since)).groupBy(*KEY)
+    ends = F.min("txn_date").alias("first_charge_on"), F.max("txn_date").alias("last_charge_on")
+    return charges.agg(F.count("*").alias("occurrence_count"), *ends, _mode("category").alias("category")).where(F.col("occurrence_count") >= MIN_OCCURRENCES)
+
+
 def steady_merchants(charges: DataFrame) -> DataFrame:
     """Merchants charged three times or more at a steady cadence, by the days between their charges.
 

@@ -134,8 +134,7 @@ SELECT tenant_id, merchant, n AS occurrence_count, first, last, category FROM g
 )
 def recurring_candidates(spark, sf_dir):
     rows = R.candidates(S.orders_ledger(spark, sf_dir), date(1999, 5, 12))
-    ends = lambda k: F.element_at("charges", k)["txn_date"]
-    return rows.select("tenant_id", "merchant", "occurrence_count", ends(1).alias("first"), ends(-1).alias("last"), "category")
+    return rows.withColumnsRenamed({"first_charge_on": "first", "last_charge_on": "last"})
 
 
 SUBS = """g AS (SELECT tenant_id, merchant, list(txn_date ORDER BY txn_date, txn_id) AS days, list(amount ORDER BY txn_date, txn_id) AS amounts, count(*) AS n
