@@ -70,7 +70,8 @@ def table_rows(tables: DataFrame, year_hint: int | None = None, card: bool = Fal
     """
     order = Window.partitionBy("doc_id").orderBy("page_number", "table_no", "row_no")
     within = Window.partitionBy("doc_id", "page_number", "table_no").orderBy("row_no")
-    rows = tables.withColumn("place", F.row_number().over(within)).withColumn("roles", header_roles("cells"))
+    rows = tables.withColumn("place", F.row_number().over(within))
+    rows = rows.withColumn("roles", F.when(F.col("place") <= HEADER_ROWS, header_roles("cells")))
     head = (F.col("place") <= HEADER_ROWS) & usable(F.col("roles"))
     rows = rows.withColumn("head_at", F.min(F.when(head, F.col("place"))).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     is_head = F.coalesce(F.col("place") == F.col("head_at"), F.lit(False))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.narration import IFSC, LEADING_DATE, collapse, parse_amount, parse_date
+from ..functions.narration import IFSC, LEADING_DATE, _let, collapse, parse_amount, parse_date
 
 DISPATCH_FLOOR = 0.35
 MASTHEAD_LINES = 20
@@ -63,15 +63,18 @@ def header_roles(cells: Column) -> Column:
     """The role of each header cell: an exact word, else the longest contained; the first cell of a role has it."""
     flat = lambda c: F.trim(F.regexp_replace(F.lower(collapse(c)), "[^a-z ]+", " "))
 
+    words = sorted(((w, r) for r, ws in ROLES.items() for w in ws), key=lambda x: (len(x[0]), x[0]))
+    exact = F.create_map(*(F.lit(x) for pair in words for x in pair))
+
     def role(cell: Column) -> Column:
-        exact, within = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for word, name in sorted(((w, r) for r, ws in ROLES.items() for w in ws), key=lambda x: (len(x[0]), x[0])):
-            exact = F.when(cell == word, name).otherwise(exact)
+        within = F.lit(None).cast("string")
+        for word, name in words:
             within = F.when(F.contains(cell, F.lit(word)), name).otherwise(within)
-        return F.coalesce(exact, within)
+        return F.when(cell != "", F.coalesce(exact[cell], within))
 
-    roles = F.transform(cells, lambda c: role(flat(c)))
-    return F.transform(roles, lambda r, i: F.when(F.array_position(roles, r) == i + 1, r))
+    # Each step's value is computed once, however often the next one names it.
+    roles = F.transform(F.transform(cells, flat), role)
+    return _let(roles, lambda found: F.transform(found, lambda r, i: F.when(F.array_position(found, r) == i + 1, r)))
 
 
 def usable(roles: Column) -> Column:
