@@ -144,6 +144,13 @@ def test_monthly_charges_are_a_subscription_on_the_same_day(spark):
     assert R.subscriptions(ledger(spark, monthly("s")), date(2024, 6, 30)).collect()[0].status == "lapsed"
 
 
+def test_candidates_have_three_charges_since_the_day_and_the_most_frequent_category(spark):
+    rows = [*monthly("s"), spend("o", "2023-12-09", "1.00", merchant="s"), *monthly("t", n=2), spend("n", "2024-01-01", "1.00", merchant=None)]
+    got = R.candidates(ledger(spark, rows), date(2024, 1, 1)).collect()
+    assert [(r.merchant, r.occurrence_count, r.category) for r in got] == [("s", 4, "c")]
+    assert R.candidates(ledger(spark, rows), date(2025, 1, 1)).count() == 0
+
+
 def test_irregular_or_rare_charges_are_not(spark):
     days = ["2024-01-01", "2024-01-08", "2024-02-20", "2024-02-25", "2024-04-01"]
     rows = [spend(f"i{k}", d, "10", merchant="i") for k, d in enumerate(days)] + monthly("two", 2)
