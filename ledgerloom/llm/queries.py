@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, packing, quality_classifier, quality_rules, sentencepiece_scan, sharding, suffix_dedup, token_files, toxicity
+from . import (
+    exact_dedup,
+    jaccard_join,
+    packing,
+    prefix_trie,
+    quality_classifier,
+    quality_rules,
+    ranked_search,
+    sentencepiece_scan,
+    sharding,
+    simhash_dedup,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 from .common import documents, labels
 
 
@@ -54,6 +68,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_token_files,
         op10_exact_dedup,
+        op11_prefix_trie,
+        op12_ranked_search,
+        op13_simhash_dedup,
     )
 }
 
@@ -74,4 +103,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_sharding": sharding.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_ranked_search": ranked_search.ORACLE_SQL,
 }
