@@ -110,9 +110,31 @@ def confidence(spark, sf_dir):
     return T.confidence(rows).select(kept)
 
 
-@query("J10_transfer_pairs")
+@query(
+    "J10_transfer_pairs",
+    f"""WITH RECURSIVE {S.ORDERS_SQL}, sent AS (
+  SELECT tenant_id, txn_id, account_id, txn_date, 'debit' AS direction, ((txn_id::BIGINT % 5) * 100)::DECIMAL(18,2) AS amount FROM l3 WHERE movement_type = 'transfer'
+), rows_ AS (
+  SELECT 1 AS tenant_id, txn_id, account_id, txn_date, direction, amount FROM sent
+  UNION ALL SELECT 1, 'm' || txn_id, -account_id, txn_date + (txn_id::BIGINT % 6)::INTEGER, 'credit', amount FROM sent
+), edges AS (
+  SELECT a.amount, a.txn_id AS a, b.txn_id AS b, abs(a.txn_date - b.txn_date) AS gap,
+         row_number() OVER (PARTITION BY a.amount ORDER BY a.txn_date, a.txn_id, abs(a.txn_date - b.txn_date), b.txn_id) AS k
+  FROM rows_ a JOIN rows_ b ON a.amount = b.amount AND a.direction <> b.direction AND a.account_id <> b.account_id AND abs(a.txn_date - b.txn_date) <= 3
+), walk AS (
+  SELECT amount, 0::BIGINT AS k, []::VARCHAR[] AS taken, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::BIGINT AS gap FROM (SELECT DISTINCT amount FROM edges)
+  UNION ALL
+  SELECT w.amount, e.k, CASE WHEN list_has_any(w.taken, [e.a, e.b]) THEN w.taken ELSE w.taken || [e.a, e.b] END,
+         CASE WHEN NOT list_has_any(w.taken, [e.a, e.b]) THEN e.a END, e.b, e.gap
+  FROM walk w JOIN edges e ON e.amount = w.amount AND e.k = w.k + 1
+)
+SELECT 1::BIGINT AS tenant_id, amount, a AS txn_id, b AS paired_with, gap::INTEGER AS gap_days FROM walk WHERE a IS NOT NULL""",
+)
 def transfer_pairs(spark, sf_dir):
-    return J.pair_transfers(S.mirrored_ledger(spark, sf_dir))
+    """All transfers as one tenant's and of five amounts, so that many compete."""
+    ledger = S.mirrored_ledger(spark, sf_dir)
+    key = F.regexp_replace("txn_id", "^m", "").cast("long")
+    return J.pair_transfers(ledger.withColumns({"tenant_id": F.lit(1).cast("long"), "amount": (key % 5 * 100).cast("decimal(18,2)")}))
 
 
 L3 = "WITH " + S.ORDERS_SQL
