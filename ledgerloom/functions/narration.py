@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NO_MERCHANT_RAILS
-from .similarity import similarity
+from .similarity import token_set_score
 
 BLANKS = "[\\s   ]+"
 
@@ -220,9 +220,9 @@ def normalize_merchants(rows: DataFrame, aliases: DataFrame, key: str, text: str
     """Adds rail, merchant, slug, merchant_confidence and merchant_match to rows with a unique key.
 
     aliases: alias, slug, name. The longest alias that a narration holds as whole words names the merchant (0.99), else
-    the longest that its payment address holds (0.97); rails without merchants say so (0.90); what is left of the
-    narration is shown as a name (0.50) or nothing is (0.30). Aliases join by their words: each narration meets only
-    aliases whose first word it has, so neither side is compared with all of the other.
+    the longest that its payment address holds (0.97); rails without merchants say so (0.90); else the alias most like what is
+    left of the narration (0.75 to 0.95); else what is left is shown as a name (0.50) or nothing is (0.30). Aliases join by
+    their words: each narration meets only aliases whose first word it has, so neither side is compared with all of the other.
     """
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.upper("alias"), "[^A-Z0-9 ]+", " "), r"\s+", " "))
     aliases = aliases.select(flat.alias("alias"), "slug", "name").where("alias <> ''").withColumn("word", F.substring_index("alias", " ", 1))
@@ -237,17 +237,26 @@ def normalize_merchants(rows: DataFrame, aliases: DataFrame, key: str, text: str
     by_text, by_address = best(haystack(text), "hit"), best(haystack(F.coalesce(upi_name(text), F.lit(""))), "vpa")
     rows = rows.join(by_text, key, "left").join(by_address, key, "left").withColumn("rail", payment_rail(text))
     no_merchant = F.col("hit").isNull() & F.col("rail").isin(*NO_MERCHANT_RAILS)
-    left = titled(F.coalesce(F.nullif(residue(text), F.lit("")), upi_name(text), F.lit("")))
-    case = lambda a, b, c, d: F.when(F.col("hit").isNotNull(), a).when(no_merchant, b).when(F.col("vpa").isNotNull(), c).otherwise(d)
+    open_ = F.col("hit").isNull() & ~no_merchant & F.col("vpa").isNull()
+    rows = rows.withColumn("hay", F.when(open_, F.nullif(residue(text), F.lit(""))))
+    named = aliases.groupBy("alias").agg(F.min(F.struct("slug", "name")).alias("of"))
+    like = fuzzy_matches(rows.where("hay is not null").select("hay").distinct(), aliases.select("alias", "slug")).join(named, "alias")
+    rows = rows.join(like.select("hay", F.struct("of.slug", "of.name", "score").alias("like")), "hay", "left")
+    left = titled(F.coalesce("hay", upi_name(text), F.lit("")))
+
+    def case(alias, rail, address, fuzzy, rest):
+        found = F.when(F.col("hit").isNotNull(), alias).when(no_merchant, rail).when(F.col("vpa").isNotNull(), address)
+        return found.when(F.col("like").isNotNull(), fuzzy).otherwise(rest)
+
     null = F.lit(None).cast("string")
     return rows.withColumns(
         {
-            "merchant": case(F.col("hit.name"), null, F.col("vpa.name"), F.nullif(left, F.lit(""))),
-            "slug": case(F.col("hit.slug"), null, F.col("vpa.slug"), null),
-            "merchant_confidence": case(F.lit(0.99), F.lit(0.90), F.lit(0.97), F.when(left != "", 0.50).otherwise(0.30)),
-            "merchant_match": case(F.lit("dictionary_alias"), F.lit("no_merchant_for_rail"), F.lit("upi_handle"), F.lit("unmatched_residue")),
+            "merchant": case(F.col("hit.name"), null, F.col("vpa.name"), F.col("like.name"), F.nullif(left, F.lit(""))),
+            "slug": case(F.col("hit.slug"), null, F.col("vpa.slug"), F.col("like.slug"), null),
+            "merchant_confidence": case(F.lit(0.99), F.lit(0.90), F.lit(0.97), fuzzy_confidence(F.col("like.score")), F.when(left != "", 0.50).otherwise(0.30)),
+            "merchant_match": case(F.lit("dictionary_alias"), F.lit("no_merchant_for_rail"), F.lit("upi_handle"), F.lit("fuzzy"), F.lit("unmatched_residue")),
         }
-    ).drop("hit", "vpa")
+    ).drop("hit", "vpa", "hay", "like")
 
 
 def enriched(rows: DataFrame, categories: DataFrame) -> DataFrame:
@@ -272,20 +281,81 @@ def enriched(rows: DataFrame, categories: DataFrame) -> DataFrame:
 
 FUZZY_FLOOR = 0.88
 SHORT = 6
+#: Confidence of a fuzzy match at the floor, and what a perfect score adds.
+FUZZY_CONFIDENCE, FUZZY_SPAN = 0.75, 0.20
+
+
+def _parts(frame: DataFrame, name: str, parts: Column, counts: DataFrame) -> DataFrame:
+    """name and its parts (n: occurrences in counts, part), the rarest first."""
+    rows = frame.select(name, F.explode(parts).alias("part")).join(counts, "part", "left")
+    rows = rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part"))).alias("parts"))
+    return rows
+
+
+def _counts(frame: DataFrame, parts: Column) -> DataFrame:
+    return frame.select(F.explode(parts).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
-def fuzzy_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """hay, alias, slug and score of the alias most like each name, from 0.88 on; of equals the first by alias.
+def _joined_length(words: Column) -> Column:
+    return F.aggregate(words, F.lit(-1), lambda n, w: n + F.char_length(w) + 1)
 
-    Short names and aliases must begin with, or hold, each other. Distinct names meet only aliases with a word in common
-    or the same three letters at a word's start; others cannot come near enough to the floor on words of three letters or more.
+
+def fuzzy_candidates(names: DataFrame, aliases: DataFrame, floor: float = FUZZY_FLOOR) -> DataFrame:
+    """Pairs of hay and alias, among them all whose score reaches the floor.
+
+    A score is the best of three ratios r = 2 * common / (lengths) of texts of distinct words. Where two whole texts of n and
+    m characters reach the floor, their common subsequence breaks up in n + m - 2 * common places at most, so that of their
+    words' padded pairs of letters (n + 1 and m + 1, whatever the words' order) a number in proportion to n is common:
+    pairs meet by their rarest letter pairs, as many as leave fewer than that. Where the shared words reach the
+    floor against one side, they are floor / (2 - floor) of its length: pairs meet by the rarest words of one side, as many
+    as leave less than that, and by all words of the other.
+    """
+    cover = floor / (2 - floor)
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+
+    def pairs_of_letters(c: str) -> Column:
+        """Letter pairs of the padded words, the second of equal ones apart from the first."""
+        padded = F.transform(words(c), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+        grams = F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substring(w, i, 2))))
+        nth = lambda g, i: F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("string")
+        return F.transform(grams, lambda g, i: F.concat(g, nth(g, i)))
+
+    def rarest(frame: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+        """The words without which the others are too short to reach the floor."""
+        rows = _parts(frame, name, words(name), counts)
+        rest = lambda i: _joined_length(F.transform(F.slice("parts", i + 1, F.size("parts")), lambda p: p["part"]))
+        whole = _joined_length(F.transform("parts", lambda p: p["part"]))
+        return rows.select(name, F.explode(F.filter("parts", lambda _, i: rest(i) >= cover * whole - 1e-6)).alias("p")).select(name, "p.part")
+
+    def prefix(frame: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+        """The rarest letter pairs, as many as leave fewer than linked texts have in common."""
+        rows = _parts(frame, name, pairs_of_letters(name), counts)
+        n = F.size("parts") - 1
+        least = F.ceil(n * ((1 + cover) * (0.5 - 1.5 * (1 - floor))) + 1 - 1e-6)
+        return rows.select(name, F.explode(F.slice("parts", F.lit(1), F.size("parts") - least.cast("int") + 1)).alias("p")).select(name, "p.part")
+
+    left, right = names.select("hay").distinct().where("hay <> ''"), aliases.select("alias").distinct().where("alias <> ''")
+    all_left, all_right = left.select("hay", F.explode(words("hay")).alias("part")), right.select("alias", F.explode(words("alias")).alias("part"))
+    of_left, of_right, grams = _counts(left, words("hay")), _counts(right, words("alias")), _counts(right, pairs_of_letters("alias"))
+    met = rarest(left, "hay", of_right).join(all_right, "part").select("hay", "alias")
+    met = met.unionByName(all_left.join(rarest(right, "alias", of_left), "part").select("hay", "alias"))
+    return met.unionByName(prefix(left, "hay", grams).join(prefix(right, "alias", grams), "part").select("hay", "alias")).distinct()
+
+
+def fuzzy_matches(names: DataFrame, aliases: DataFrame, floor: float = FUZZY_FLOOR) -> DataFrame:
+    """hay, alias, slug and score of the alias most like each name, from the floor on; of equals the longest, then the first.
+
+    If the best one is short, or the name is, they must hold each other, or the name has no match. Names meet by parts that
+    pairs over the floor must share, so no name is compared with all aliases and none is lost.
     """
-    heads = lambda c: F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.substring(w, 1, 3)))
-    left = names.where("hay <> ''").select("hay", F.explode(heads(F.col("hay"))).alias("head"))
-    right = aliases.select("alias", "slug", F.explode(heads(F.col("alias"))).alias("head"))
-    both = left.join(right, "head").select("hay", "alias", "slug").distinct().withColumn("score", similarity("hay", "alias"))
-    short = (F.length("hay") <= SHORT) | (F.length("alias") <= SHORT)
-    close = F.contains("hay", "alias") | F.contains("alias", "hay")
-    fit = both.where((F.col("score") >= FUZZY_FLOOR) & (~short | close))
-    best = fit.groupBy("hay").agg(F.min(F.struct((-F.col("score")).alias("less"), "alias", "slug")).alias("b"))
-    return best.select("hay", "b.alias", "b.slug", (-F.col("b.less")).alias("score"))
+    scored = fuzzy_candidates(names, aliases, floor).withColumn("score", token_set_score("hay", "alias")).where(F.col("score") >= floor)
+    best = scored.groupBy("hay").agg(F.min(F.struct((-F.col("score")).alias("less"), (-F.char_length("alias")).alias("length"), "alias")).alias("b"))
+    best = best.select("hay", "b.alias", (-F.col("b.less")).alias("score"))
+    short = (F.char_length("hay") <= SHORT) | (F.char_length("alias") <= SHORT)
+    slugs = aliases.groupBy("alias").agg(F.min("slug").alias("slug"))
+    return best.where(~short | F.contains("hay", "alias") | F.contains("alias", "hay")).join(slugs, "alias").select("hay", "alias", "slug", "score")
+
+
+def fuzzy_confidence(score: Column, floor: float = FUZZY_FLOOR) -> Column:
+    """From 0.75 at the floor to 0.95."""
+    return F.round(FUZZY_CONFIDENCE + (score - floor) / (1 - floor) * FUZZY_SPAN, 3)

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a bit for each character of a, all updated at once for each of b."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
+
+
 def _ratio(a: str, b: str) -> float:
     """2 * longest common subsequence / lengths: the share of characters that need no insertion or deletion."""
     if not a or not b:
         return float(a == b)
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * common_subsequence(a, b) / (len(a) + len(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -35,6 +42,11 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = zip(a.fillna("").str.upper(), b.fillna("").str.upper(), strict=True)
-    return pd.Series([round(token_set_ratio(x, y), 4) for x, y in pairs])
+    return pd.Series([token_set_ratio(x, y) for x, y in pairs], dtype=float)
+
+
+def similarity(a: Column | str, b: Column | str) -> Column:
+    """The score to four digits."""
+    return F.round(token_set_score(a, b), 4)

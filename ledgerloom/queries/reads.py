@@ -390,17 +390,39 @@ def enriched(spark, sf_dir):
     rows = narrations(spark, sf_dir)
     aliases = spark.range(40).select(F.concat(F.lit("Customer "), F.lpad(F.col("id").cast("string"), 3, "0")).alias("alias"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("slug"), F.lit("Customer").alias("name"))
     known = spark.range(40).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("slug"), F.lit("shopping").alias("merchant_category"))
-    named = T.normalize_merchants(rows.withColumn("direction", F.lit("debit")), aliases, "o_orderkey").where("slug is not null or description rlike 'CUSTOMER 0[0-3]'")
+    named = T.normalize_merchants(rows.withColumn("direction", F.lit("debit")), aliases, "o_orderkey").where("description rlike 'CUSTOMER 0[0-3]'")
     return T.enriched(named, known).select("o_orderkey", "category", "category_source")
 
 
-@query(
-    "J15_fuzzy_dictionary",
-    "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'corner-bakery' WHEN c_custkey % 4 = 1 THEN 'corner-bakery' END AS slug FROM customer",
+J15_SQL = """WITH names AS (
+  SELECT DISTINCT upper(c_name) AS full_name, 'SHOP ' || upper(c_mktsegment) || CASE c_custkey % 3 WHEN 0 THEN 'S' WHEN 1 THEN '' ELSE ' ' || c_nationkey END AS hay FROM customer
+), aliases AS (
+  SELECT DISTINCT 'SHOP ' || upper(c_mktsegment) AS alias, lower(c_mktsegment) AS slug FROM customer
+), words AS (
+  SELECT DISTINCT hay, alias, slug, list_sort(list_distinct(string_split(hay, ' '))) AS x, list_sort(list_distinct(string_split(alias, ' '))) AS y FROM names, aliases
+), texts AS (
+  SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS common, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS only_x,
+         array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS only_y FROM words
+), sides AS (
+  SELECT *, trim(common || ' ' || only_x) AS one, trim(common || ' ' || only_y) AS two FROM texts
+), lcs AS (
+  SELECT *, list_reduce([range(0, length(two) + 1)] || list_transform(range(1, length(one) + 1), lambda i: [i]), lambda row, i:
+    list_reduce([[0]] || list_transform(range(1, length(two) + 1), lambda j: [j]), lambda made, j:
+      list_append(made, CASE WHEN one[i[1]] = two[j[1]] THEN CASE WHEN i[1] = 1 THEN 0 ELSE row[j[1]] END + 1
+                             ELSE greatest(made[len(made)], CASE WHEN i[1] = 1 THEN 0 ELSE row[j[1] + 1] END) END))) AS last FROM sides
+), scored AS (
+  SELECT hay, alias, slug, CASE WHEN common <> '' AND (only_x = '' OR only_y = '') THEN 1.0::DOUBLE
+    ELSE greatest(2 * last[len(last)] / (length(one) + length(two))::DOUBLE, CASE WHEN common <> '' THEN 2 * length(common) / (length(common) + length(one))::DOUBLE ELSE 0 END,
+                  CASE WHEN common <> '' THEN 2 * length(common) / (length(common) + length(two))::DOUBLE ELSE 0 END) END AS score FROM lcs
 )
+SELECT hay, alias, slug, score FROM scored WHERE score >= 0.88 QUALIFY row_number() OVER (PARTITION BY hay ORDER BY score DESC, length(alias) DESC, alias) = 1"""
+
+
+@query("J15_fuzzy_dictionary", J15_SQL)
 def fuzzy_dictionary(spark, sf_dir):
-    k = F.col("c_custkey") % 4
-    text = F.when(k == 0, "CORNER BAKERIE PUNE").when(k == 1, "BAKERY CORNER").when(k == 2, "ZEPHYR").otherwise("NOTHING LIKE IT AT ALL")
-    aliases = spark.createDataFrame([("CORNER BAKERY PUNE", "corner-bakery"), ("BAKERY CORNER SHOP", "corner-bakery"), ("ZEPTO", "zepto")], "alias string, slug string")
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.alias("hay"))
-    return rows.join(T.fuzzy_matches(rows.select("hay").distinct(), aliases), "hay", "left").select("c_custkey", "slug")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k, segment = F.col("c_custkey") % 3, F.upper("c_mktsegment")
+    ending = F.when(k == 0, "S").when(k == 1, "").otherwise(F.concat(F.lit(" "), F.col("c_nationkey").cast("string")))
+    names = rows.select(F.concat(F.lit("SHOP "), segment, ending).alias("hay")).distinct()
+    aliases = rows.select(F.concat(F.lit("SHOP "), segment).alias("alias"), F.lower("c_mktsegment").alias("slug")).distinct()
+    return T.fuzzy_matches(names, aliases)
