@@ -153,18 +153,45 @@ def allowed_details(details: Column, keys: list[str]) -> tuple[Column, Column]:
     return F.map_filter(details, lambda k, _: F.array_contains(allowed, k)), F.array_sort(F.array_except(F.map_keys(details), allowed))
 
 
-FIGURE = r"₹\s?[\d,]+(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s?%|(?<![\w.])\d[\d,]*(?:\.\d+)?(?![\w%])"
+# How figures are written, currency before percentages before bare numbers, and the numerals that are checked.
+FIGURE = r"(?iU)(?:₹|\bRs\.?|\bINR)\s*[0-9][0-9,]*(?:\.[0-9]+)?|[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:%|per\s?cent)|(?<![\d,.\w])[0-9][0-9,]*(?:\.[0-9]+)?"
+NUMERALS = (
+    "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
+    "sixteen", "seventeen", "eighteen", "nineteen", "twenty",
+)
+YEAR = r"^(?:19\d\d|20\d\d|2100)$"
 
 
 def figures(text: Column) -> Column:
-    """Figures in a text as kind and value: currency, percent or bare; bare years from 1990 to 2100 are left out."""
-    tokens = F.regexp_extract_all(text, F.lit(FIGURE), 0)
-    value = lambda t: F.regexp_replace(F.regexp_replace(t, "[₹,%\\s]", ""), r"(?<=\.\d)0+$|\.0+$", "")
-    kind = lambda t: F.when(t.startswith("₹"), "currency").when(t.endswith("%"), "percent").otherwise("bare")
-    made = F.transform(tokens, lambda t: F.concat_ws(":", kind(t), value(t)))
-    return F.array_distinct(F.filter(made, lambda f: ~f.rlike(r"^bare:(199\d|20\d\d|2100)$")))
+    """The figures that a text writes in digits, in order: kind (currency, percentage or figure), value without commas and idle zeros, and text."""
+    number = lambda t: F.regexp_replace(F.regexp_extract(t, r"[0-9][0-9,]*(?:\.[0-9]+)?", 0), ",", "")
+    value = lambda t: F.regexp_replace(F.regexp_replace(number(t), r"(\.[0-9]*?)0+$|^0+(?=[0-9])", "$1"), r"\.$", "")
+    kind = lambda t: F.when(t.rlike("(?i)^(?:₹|rs|inr)"), "currency").when(t.rlike("(?i)(?:%|cent)$"), "percentage").otherwise("figure")
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FIGURE), 0)
+    return F.transform(tokens, lambda t: F.struct(kind(t).alias("kind"), value(t).alias("value"), t.alias("text")))
+
+
+def numerals(text: Column) -> Column:
+    """The numerals from two to twenty that a text writes out, as figures() has them; one is left out, being a pronoun more often."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?iU)\b(?:{'|'.join(NUMERALS)})\b"), 0)
+    names = F.array(*map(F.lit, NUMERALS))
+    value = lambda w: (F.array_position(names, F.lower(w)) + 1).cast("string")
+    return F.transform(words, lambda w: F.struct(F.lit("word_number").alias("kind"), value(w).alias("value"), w.alias("text")))
 
 
 def untraceable(answer: Column, allowed: Column) -> Column:
-    """Figures of an answer that no allowed text has."""
-    return F.array_except(figures(answer), figures(allowed))
+    """Figures of an answer that the allowed text doesn't have, as kind:text, in order and each time.
+
+    Currency must be there as currency and percentages as percentages; bare numbers and numerals may be there as anything.
+    Bare years from 1900 to 2100 pass.
+    """
+    told = figures(allowed)
+    of = lambda kind: F.transform(F.filter(told, lambda t: t["kind"] == kind), lambda t: t["value"])
+    any_kind = F.transform(told, lambda t: t["value"])
+    there = lambda f: (
+        F.when(f["kind"] == "currency", F.array_contains(of("currency"), f["value"]))
+        .when(f["kind"] == "percentage", F.array_contains(of("percentage"), f["value"]))
+        .otherwise(F.array_contains(any_kind, f["value"]) | ((f["kind"] == "figure") & f["value"].rlike(YEAR)))
+    )
+    found = F.filter(F.concat(figures(answer), numerals(answer)), lambda f: ~there(f))
+    return F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["text"]))

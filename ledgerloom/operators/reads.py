@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import MERCHANT_RAILS
+
 from ..functions.money import grouped, rupees
 
 # Kinds of accounts that are known, and the namespace of URLs for name-based identifiers.
@@ -173,3 +175,15 @@ def narrative_view(report: DataFrame, merchants: DataFrame, most: int = 5) -> Da
 def import_sentence(rows: Column, to_review: Column, total: Column) -> Column:
     """What an import brought, in a sentence."""
     return F.concat(plural(rows, "transaction"), F.lit(" worth "), grouped(total), F.lit(", "), plural(to_review, "row"), F.lit(" to review."))
+
+
+def business_merchants(payments: DataFrame, known: DataFrame) -> DataFrame:
+    """tenant_id, merchant and by (dictionary or rail) of the names that are businesses.
+
+    payments: tenant_id, merchant, rail. known: name, in any case. A name that the dictionary lacks is one if every payment to
+    it went over a rail that no person is on; rails that are not known (null) say nothing.
+    """
+    rails = payments.where("merchant is not null and merchant <> ''").groupBy("tenant_id", "merchant")
+    rails = rails.agg(F.coalesce(F.bool_and(F.col("rail").isin(*MERCHANT_RAILS)), F.lit(False)).alias("by_rail")).withColumn("name", F.lower("merchant"))
+    found = rails.join(known.select(F.lower("name").alias("name"), F.lit(True).alias("known")).distinct(), "name", "left")
+    return found.where("known or by_rail").select("tenant_id", "merchant", F.when(F.col("known"), "dictionary").otherwise("rail").alias("by"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import grouped, percent
@@ -50,17 +50,30 @@ def monthly_insight(ledger: DataFrame, subs: DataFrame, month: date) -> DataFram
     return rows.withColumn("expense_change", change.cast("decimal(18,2)")).withColumn("observations", F.filter(notes, lambda x: x.isNotNull())).drop("was")
 
 
-def timeline(ledger: DataFrame, statements: DataFrame, date_from: date, date_to: date, limit: int = 200, floor: str = "10000") -> DataFrame:
-    """Expenses and statements as one stream, newest first; each source is filtered before the union."""
+def timeline(
+    ledger: DataFrame, statements: DataFrame, date_from: date, date_to: date, limit: int = 200, floor: str = "10000",
+    anomalies: DataFrame | None = None, subs: DataFrame | None = None,
+) -> DataFrame:
+    """Expenses, statements, anomalies and active subscriptions' next charges as one stream, newest first; each source is
+    filtered before the union. anomalies and subs are the rows of their operators; without them their branches are left out."""
     kind = F.when(F.col("amount") >= F.lit(floor).cast("decimal(18,2)"), "large_transaction").otherwise("transaction")
-    spent = ledger.where("is_expense").select(
-        "tenant_id", F.col("txn_date").alias("occurred_on"), kind.alias("kind"), F.coalesce("merchant", F.lit("Transaction")).alias("title"),
-        F.col("category").alias("summary"), "amount", F.col("txn_id").alias("ref"), F.col("direction").alias("detail"),
-    )
-    imported = statements.select(
-        "tenant_id", F.col("period_end").alias("occurred_on"), F.lit("statement_import").alias("kind"),
-        F.concat(F.lit("Account "), F.col("account_id").cast("string")).alias("title"), F.col("document_type").alias("summary"),
-        F.lit(None).cast("decimal(18,2)").alias("amount"), F.col("statement_id").cast("string").alias("ref"), F.lit(None).cast("string").alias("detail"),
-    )
-    rows = spent.unionByName(imported).where(F.col("occurred_on").between(F.lit(date_from), F.lit(date_to)))
-    return rows.orderBy(F.desc("occurred_on"), "kind", "ref").limit(limit)
+    no_amount, nothing = F.lit(None).cast("decimal(18,2)"), F.lit(None).cast("string")
+
+    def branch(rows: DataFrame, on: str, kind: Column, title: Column, summary: Column, amount: Column, ref: Column, detail: Column) -> DataFrame:
+        here = rows.where(F.col(on).between(F.lit(date_from), F.lit(date_to)))
+        return here.select(
+            "tenant_id", F.col(on).alias("occurred_on"), kind.alias("kind"), title.alias("title"), summary.alias("summary"), amount.cast("decimal(18,2)").alias("amount"),
+            ref.alias("ref"), detail.alias("detail"),
+        )
+
+    c = F.col
+    rows = branch(ledger.where("is_expense"), "txn_date", kind, F.coalesce("merchant", F.lit("Transaction")), c("category"), c("amount"), c("txn_id"), c("direction"))
+    account = F.concat(F.lit("Account "), c("account_id").cast("string"))
+    rows = rows.unionByName(branch(statements, "period_end", F.lit("statement_import"), account, c("document_type"), no_amount, c("statement_id").cast("string"), nothing))
+    if anomalies is not None:
+        title = F.coalesce("merchant", "category", F.lit("Unusual activity"))
+        rows = rows.unionByName(branch(anomalies, "detected_on", F.lit("anomaly"), title, c("reason"), c("observed"), c("txn_id"), c("kind")))
+    if subs is not None:
+        summary = F.concat(F.lit("Expected "), "cadence", F.lit(" charge"))
+        rows = rows.unionByName(branch(subs.where("status = 'active'"), "next_expected_on", F.lit("subscription_renewal"), c("merchant"), summary, c("typical_amount"), nothing, c("cadence")))
+    return rows.orderBy(F.desc("occurred_on"), "kind", F.col("ref").asc_nulls_first(), "title").limit(limit)

@@ -11,7 +11,7 @@ from ..operators import recurring as R
 from ..plans import insights as I
 from ..sources import adapters as S
 from .ledger import BREAKDOWN, L1, MONTH, SUMS
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 L2, L3 = "WITH " + S.EVENTS_SQL, "WITH " + S.ORDERS_SQL
 TODAY = date(2000, 6, 15)
@@ -226,3 +226,23 @@ SELECT * FROM e WHERE occurred_on BETWEEN DATE '1998-01-01' AND DATE '1998-03-31
 )
 def timeline(spark, sf_dir):
     return I.timeline(S.orders_ledger(spark, sf_dir), S.statements(spark, sf_dir), date(1998, 1, 1), date(1998, 3, 31), 200, "300000")
+
+
+FIRST_SEEN_SQL = ORACLE_SQL["A11_J5_first_seen_large"]
+SUBSCRIPTIONS_SQL = ORACLE_SQL["A15_A16_W5_F27_subscriptions"]
+
+
+@query(
+    "U1_timeline_of_four",
+    f"""WITH {S.STATEMENTS_SQL}, an AS ({FIRST_SEEN_SQL}), su AS ({SUBSCRIPTIONS_SQL}), e AS (
+  SELECT tenant_id, txn_date AS occurred_on, CASE WHEN amount >= 300000 THEN 'large_transaction' ELSE 'transaction' END AS kind, merchant AS title,
+         category AS summary, amount, txn_id AS ref, direction AS detail FROM l3 WHERE is_expense
+  UNION ALL SELECT tenant_id, period_end, 'statement_import', 'Account ' || account_id, document_type, NULL, statement_id::VARCHAR, NULL FROM l5_statements
+  UNION ALL SELECT tenant_id, detected_on, 'anomaly', merchant, reason, observed, txn_id, kind FROM an
+  UNION ALL SELECT tenant_id, next_expected_on, 'subscription_renewal', merchant, 'Expected ' || cadence || ' charge', typical_amount, NULL, cadence FROM su WHERE status = 'active'
+)
+SELECT * FROM e WHERE occurred_on BETWEEN DATE '1998-01-01' AND DATE '2003-12-31'""",
+)
+def timeline_of_four(spark, sf_dir):
+    ledger = S.orders_ledger(spark, sf_dir)
+    return I.timeline(ledger, S.statements(spark, sf_dir), date(1998, 1, 1), date(2003, 12, 31), 2**31 - 1, "300000", N.first_seen_large(ledger), _subs(spark, sf_dir))

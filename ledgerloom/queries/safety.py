@@ -87,8 +87,8 @@ RAIL_SQL = "CASE o_orderkey % 8 WHEN 0 THEN 'upi' WHEN 1 THEN 'card' WHEN 2 THEN
 @query(
     "F11_F13_F15_J14_merchants",
     f"""WITH o AS (SELECT o_orderkey, lpad((o_custkey % 50)::VARCHAR, 3, '0') AS c, {RAIL_SQL} AS rail FROM orders)
-SELECT o_orderkey, rail, CASE WHEN c < '040' THEN 'Customer No ' || c WHEN rail <> 'atm' THEN 'Customer' END AS merchant,
-  CASE WHEN c < '040' THEN 'c' || c END AS slug, CASE WHEN c < '040' THEN 0.99 WHEN rail = 'atm' THEN 0.90 ELSE 0.50 END::DOUBLE AS merchant_confidence,
+SELECT o_orderkey, rail, CASE WHEN c < '040' THEN 'Customer No ' || c WHEN rail <> 'atm' THEN 'Customer No 000' END AS merchant,
+  CASE WHEN c < '040' THEN 'c' || c WHEN rail <> 'atm' THEN 'c000' END AS slug, CASE WHEN c < '040' THEN 0.99 WHEN rail = 'atm' THEN 0.90 ELSE 0.95 END::DOUBLE AS merchant_confidence,
   CASE o_orderkey % 8 WHEN 3 THEN 'cash_withdrawal' WHEN 6 THEN 'salary' WHEN 7 THEN 'emi' END AS rule FROM o""",
 )
 def merchants(spark, sf_dir):
@@ -142,7 +142,8 @@ def traceability(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     order = Window.partitionBy("conv_id").orderBy("turn")
     told = rows.withColumn("told", F.coalesce(F.lag("text").over(order), F.lit("")))
-    return told.select("conv_id", "turn", F.size(D.untraceable(F.coalesce("text", F.lit("")), F.col("told"))).alias("untraceable"))
+    # Every turn is held against the one before, as an answer against what it was told.
+    return told.select("conv_id", "turn", D.untraceable(F.col("text"), F.col("told")).alias("untraceable"))
 
 
 @query("U1_union_counts", "SELECT 'documents' AS source, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'conversations', count(*) FROM conversations")

@@ -43,10 +43,18 @@ def spend_against_ceiling(spark, sf_dir):
     return P.spend_against(calls, date(2024, 1, 15), "40000")
 
 
-@query("A31_business_merchants", f"{L1} SELECT tenant_id, merchant, category FROM l1 WHERE merchant IS NOT NULL GROUP BY ALL HAVING bool_and(direction = 'debit' OR amount < 95000)")
+@query(
+    "A31_business_merchants",
+    f"""{L3}, known AS (SELECT DISTINCT c_custkey || '-1-urgent' AS name FROM customer WHERE c_custkey % 10 = 0), p AS (
+  SELECT tenant_id, merchant, bool_and(CASE txn_id::BIGINT % 5 WHEN 0 THEN false WHEN 4 THEN NULL ELSE true END) AS by_rail FROM l3 GROUP BY ALL)
+SELECT tenant_id, merchant, CASE WHEN lower(merchant) IN (SELECT name FROM known) THEN 'dictionary' ELSE 'rail' END AS by
+FROM p WHERE by_rail OR lower(merchant) IN (SELECT name FROM known)""",
+)
 def business_merchants(spark, sf_dir):
-    rows = S.lineitem_ledger(spark, sf_dir).where("merchant is not null").groupBy("tenant_id", "merchant", "category")
-    return rows.agg(F.bool_and((F.col("direction") == "debit") | (F.col("amount") < 95000)).alias("ok")).where("ok").drop("ok")
+    rails = F.array(*map(F.lit, ("upi", "card", "nach", "ach")))
+    rail = F.get(rails, (F.col("txn_id").cast("long") % 5).cast("int"))
+    known = _read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat("c_custkey", F.lit("-1-URGENT")).alias("name"))
+    return P.business_merchants(S.orders_ledger(spark, sf_dir).withColumn("rail", rail), known)
 
 
 @query("A36_unread", "SELECT count(*) AS unread FROM events WHERE (user_id = 7 OR user_id IS NULL) AND event_type <> 'click'")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import re
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -119,6 +122,48 @@ def test_injection_guard(spark, text, reason):
     assert one(spark, text, D.injection_reason) == reason
 
 
-def test_untraceable_figures(spark):
-    row = spark.createDataFrame([("You spent ₹1,200.00 in 2024, 15% more", "total ₹1200 and 20%")], "a string, b string")
-    assert row.select(D.untraceable(F.col("a"), F.col("b"))).first()[0] == ["percent:15"]
+def plain_untraceable(answer, told):
+    """The rule in plain Python, over decimals."""
+    token = re.compile(r"(?P<c>(?:₹|\bRs\.?|\bINR)\s*(?P<cv>[0-9][0-9,]*(?:\.[0-9]+)?))|(?P<p>(?P<pv>[0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:%|per\s?cent))|(?P<b>(?<![\d,.\w])(?P<bv>[0-9][0-9,]*(?:\.[0-9]+)?))", re.I)
+    def found(text):
+        for m in token.finditer(text or ""):
+            kind = "currency" if m["c"] else "percentage" if m["p"] else "figure"
+            yield kind, Decimal((m["cv"] or m["pv"] or m["bv"]).replace(",", "")), m[0]
+    have = list(found(told))
+    anywhere = {v for _, v, _ in have}
+    made = []
+    for kind, v, text in found(answer):
+        if v in (anywhere if kind == "figure" else {x for k, x, _ in have if k == kind}) or kind == "figure" and v == int(v) and 1900 <= v <= 2100:
+            continue
+        made.append(f"{kind}:{text}")
+    for m in re.finditer(rf"\b({'|'.join(D.NUMERALS)})\b", answer or "", re.I):
+        if Decimal(D.NUMERALS.index(m[0].lower()) + 2) not in anywhere:
+            made.append(f"word_number:{m[0]}")
+    return made
+
+
+FIGURES = [
+    ("You spent ₹1,200.00 in 2024, 15% more", "total ₹1200 and 20%", ["percentage:15%"]),
+    ("In 1950 you paid Rs 500, twelve times, 5 per cent", "", ["currency:Rs 500,", "percentage:5 per cent", "word_number:twelve"]),
+    ("₹2,024 in 2024", "2024", ["currency:₹2,024"]),
+    ("You spent ₹40", "share 40%", ["currency:₹40"]),
+    ("40 of them, INR 40.50, Rs.7 and 0.5%", "40% INR40.5 rs 7.00 .5% 00.50 %", []),
+    ("one or TWO", "2 rows", []),
+    ("x12 3.4.5 1,2", "", ["figure:3.4", "figure:1,2"]),
+    (None, None, []),
+]
+
+
+@pytest.mark.parametrize(("answer", "told", "want"), FIGURES)
+def test_untraceable_figures(spark, answer, told, want):
+    row = spark.createDataFrame([(answer, told)], "a string, b string")
+    assert row.select(D.untraceable(F.col("a"), F.col("b"))).first()[0] == want == plain_untraceable(answer, told)
+
+
+def test_untraceable_figures_of_random_texts(spark):
+    rng = random.Random(4)
+    bits = ["₹", "Rs ", "rs.", "INR", "1", "2,000", "2000.0", ".5", "007", "7", "%", " per cent", "percent", " ", " ", "two", "Seven", "x", "1999", "-", "("]
+    rows = [tuple("".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(2)) for _ in range(800)]
+    frame = spark.createDataFrame(rows, "a string, b string").select("a", "b", D.untraceable(F.col("a"), F.col("b")).alias("f"))
+    for r in frame.collect():
+        assert r.f == plain_untraceable(r.a, r.b), (r.a, r.b)
