@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TERMINAL = ("completed", "failed", "cancelled")
+TERMINAL = ("completed", "failed", "review_required")
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
