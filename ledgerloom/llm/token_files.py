@@ -103,7 +103,9 @@ def _tokenized(docs: DataFrame, vocabulary: str, keeps_space: bool, end_id: int,
 
     small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "utf8")
+    # Rows of one id, null ids above all, are dealt on by how their texts begin, which keeps the order by id and text.
+    ordered = ordered.withColumn("begin", F.substring("utf8", 1, 64)).repartitionByRange("doc_id", "begin")
+    ordered = ordered.drop("begin").sortWithinPartitions("doc_id", "utf8")
     return ordered.mapInArrow(encode, f"{BLOCK}, width int, ids binary")
 
 

@@ -181,3 +181,17 @@ def test_null_and_repeated_ids_are_documents_of_their_own(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start) for r in packed) == [(False, 3, 0, 0)] * 3 + [(True, 0, 0, 0)] * 2
     files = token_files.token_files(cases.frame(spark, rows)).orderBy("start").collect()
     assert [r.doc_id for r in files] == [None, None, 3, 3, 3] and [r.start for r in files] == np.cumsum([0, *(r.n_tokens for r in files)]).tolist()[:-1]
+
+
+def test_rows_without_an_id_are_dealt_over_the_tasks(spark):
+    """Half of the rows lack an id; no task may take them all, and what is read back is whole."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(4_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" text")).alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = token_files._tokenized(docs, tokens.vocabulary_path("byte_bpe_50k.json"), True, 2, 500).where("block >= 0").groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(r.n for r in blocks) == 4_000 and max(r.n for r in blocks) < 1_700
