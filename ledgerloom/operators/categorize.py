@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similarity, token_set_ratio
+from ..functions.similarity import similarity, token_set_score
 from ..schema import SIMILARITY_FLOOR
 from .trust import AUTO_APPROVE_AT, FLAG_AT
 
@@ -131,42 +133,72 @@ def near_duplicates(batch: DataFrame, ledger: DataFrame, floor: float = SIMILARI
     return both.groupBy("tenant_id", "txn_id").agg(F.min_by("like_id", "n").alias("like_id"), F.min_by("score", "n").alias("score"))
 
 
+PAIRED = "fixture string, expected_row long, extracted_row long"
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges in the order in which they may be taken (fixture, expected and extracted row): those whose rows are both free.
+
+    An edge that lacks a side stands for its row alone and is taken if the row is free. Holds the rows taken of one fixture.
+    """
+    fixture, expected, extracted = None, set(), set()
+    for batch in batches:
+        made = []
+        for own, t, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if own != fixture:
+                fixture, expected, extracted = own, set(), set()
+            if t in expected or x in extracted:
+                continue
+            if t is not None:
+                expected.add(t)
+            if x is not None:
+                extracted.add(x)
+            made.append((own, t, x))
+        columns = zip(*made, strict=True) if made else ([],) * 3
+        types = (pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["fixture", "expected_row", "extracted_row"])
+
+
 def align(expected: DataFrame, extracted: DataFrame, description_floor: float = 0.60, date_slack: int = 3) -> DataFrame:
     """Pairs of expected and extracted rows (fixture, row, txn_date, amount, direction, description), fixture by fixture.
 
     First rows of equal date, amount and direction, the most alike narrations together; what is left pairs with rows
-    read wrong: alike enough, and of equal amount or near date. Unpaired rows come with the other side null.
-    """
+    read wrong: alike enough, and of equal amount or near date. Expected rows choose by their number, of equals the first.
+    Unpaired rows come with the other side null. Rows are unique in a fixture; null dates and amounts equal nothing.
 
-    def pair(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, pairs, later = list(right.sort_values("row").itertuples()), [], []
-        for t in left.sort_values("row").itertuples():
-            same = [x for x in free if (x.txn_date, x.amount, x.direction) == (t.txn_date, t.amount, t.direction)]
-            if not same:
-                later.append(t)
-                continue
-            best = max(same, key=lambda x: token_set_ratio(t.description.upper(), x.description.upper()))
-            free.remove(best)
-            pairs.append((t.row, best.row))
-        for t in later:
-            best, top = None, 0.0
-            for x in free:
-                score = token_set_ratio(t.description.upper(), x.description.upper())
-                days = abs((x.txn_date - t.txn_date).days)
-                if score < description_floor or not (x.amount == t.amount or days <= date_slack):
-                    continue
-                score += 0.05 * (x.amount == t.amount) - min(days, 30) * 0.001
-                if score > top:
-                    best, top = x, score
-            if best is not None:
-                free.remove(best)
-            pairs.append((t.row, None if best is None else best.row))
-        pairs += [(None, x.row) for x in free]
-        frame = pd.DataFrame(pairs, columns=["expected_row", "extracted_row"], dtype="Int64")
-        return frame.assign(fixture=key[0])[["fixture", "expected_row", "extracted_row"]]
-
-    extracted = extracted.select(*(F.col(c).alias(c) for c in extracted.columns))  # also where both are made of one frame
-    return expected.groupBy("fixture").cogroup(extracted.groupBy("fixture")).applyInPandas(pair, "fixture string, expected_row long, extracted_row long")
+    How many rows of a key find no equal one is known from the key's counts, so that only what both sides have over is
+    compared for the second step, and both steps are one walk over the edges in the order in which they may be taken.
+    """
+    key = ["fixture", "txn_date", "amount", "direction"]
+    sides = {}
+    for name, rows in (("t", expected), ("x", extracted)):
+        text = F.upper(F.coalesce("description", F.lit(""))).alias(f"{name}_text")
+        sides[name] = rows.select(*key, F.col("row").cast("long").alias(f"{name}_row"), text)
+    t, x = sides["t"], sides["x"]
+    n_t, n_x = (f.groupBy(*key).agg(F.count("*").alias(f"n_{n}")) for n, f in sides.items())
+    over_t = t.join(n_t, key, "left").join(n_x, key, "left").where("coalesce(n_x, 0) < coalesce(n_t, 1)").drop("n_t", "n_x")
+    over_x = x.join(n_x, key, "left").join(n_t, key, "left").where("coalesce(n_t, 0) < coalesce(n_x, 1)").drop("n_t", "n_x")
+
+    def edges(rows: DataFrame, kind: int, score: Column) -> DataFrame:
+        return rows.select("fixture", F.lit(kind).alias("kind"), "t_row", "x_row", (-score).alias("less"))
+
+    equal = t.join(x, key).join(n_x, key)
+    found = edges(equal.where("n_x = 1"), 1, F.lit(0.0))
+    found = found.unionByName(edges(equal.where("n_x > 1").withColumn("score", token_set_score("t_text", "x_text")), 1, F.col("score")))
+    near = over_x.select("fixture", F.col("txn_date").alias("x_date"), F.col("amount").alias("x_amount"), "x_row", "x_text")
+    reach = over_t.select("fixture", F.col("txn_date").alias("t_date"), F.col("amount").alias("t_amount"), "t_row", "t_text")
+    by_amount = reach.join(near.withColumn("t_amount", F.col("x_amount")), ["fixture", "t_amount"])
+    days = F.explode(F.sequence(F.date_sub("t_date", date_slack), F.date_add("t_date", date_slack)))
+    by_date = reach.where("t_date is not null").withColumn("x_date", days).join(near, ["fixture", "x_date"])
+    names = ["fixture", "t_row", "x_row", "t_date", "x_date", "t_amount", "x_amount", "t_text", "x_text"]
+    both = by_amount.select(names).unionByName(by_date.select(names)).distinct().withColumn("score", token_set_score("t_text", "x_text"))
+    apart = F.coalesce(F.abs(F.datediff("x_date", "t_date")), F.lit(30))
+    better = F.col("score") + F.when(F.col("x_amount") == F.col("t_amount"), 0.05).otherwise(0.0) - F.least(apart, F.lit(30)) * F.lit(0.001)
+    found = found.unionByName(edges(both.where(F.col("score") >= description_floor), 2, better))
+    alone = edges(t.withColumn("x_row", F.lit(None).cast("long")), 3, F.lit(0.0))
+    found = found.unionByName(alone).unionByName(edges(x.withColumn("t_row", F.lit(None).cast("long")), 3, F.lit(0.0)))
+    order = ["fixture", "kind", "t_row", "less", "x_row"]
+    return found.repartition("fixture").sortWithinPartitions(*order).select("fixture", "t_row", "x_row").mapInArrow(_settled, PAIRED)
 
 
 def scorecard(expected: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import narration as T
 from ledgerloom.functions.similarity import common_subsequence, token_set_ratio
+from ledgerloom.operators import categorize as C
 from ledgerloom.operators import movement as J
 
 ROWS = "tenant_id long, txn_id string, account_id long, txn_date date, amount decimal(18,2), direction string, movement_type string, is_expense boolean"
@@ -118,3 +119,45 @@ def test_normalised_merchants_have_a_fuzzy_tier(spark):
     assert got[2] == ("Netflix", "netflix", 0.99, "dictionary_alias") and got[3][2:] == (0.5, "unmatched_residue")
     assert got[4] == ("Netflix", "netflix", 0.95, "fuzzy")
     assert got[1][3] == "fuzzy" and 0.75 <= got[1][2] < 0.95
+
+
+TRUTH = "fixture string, row long, txn_date date, amount decimal(18,2), direction string, description string"
+
+
+def plain_alignment(expected, extracted, floor=0.60, slack=3):
+    made = []
+    for fixture in sorted({r[0] for r in expected + extracted}):
+        free = sorted((r for r in extracted if r[0] == fixture), key=lambda r: r[1])
+        later = []
+        like = lambda t, x: token_set_ratio((t[5] or "").upper(), (x[5] or "").upper())
+        for t in sorted((r for r in expected if r[0] == fixture), key=lambda r: r[1]):
+            same = [x for x in free if x[2:5] == t[2:5]]
+            if same:
+                best = max(same, key=lambda x: like(t, x))
+                free.remove(best)
+                made.append((fixture, t[1], best[1]))
+            else:
+                later.append(t)
+        for t in later:
+            best, top = None, 0.0
+            for x in free:
+                days, score = abs((x[2] - t[2]).days), like(t, x)
+                if score >= floor and (x[3] == t[3] or days <= slack) and (score := score + 0.05 * (x[3] == t[3]) - min(days, 30) * 0.001) > top:
+                    best, top = x, score
+            if best:
+                free.remove(best)
+            made.append((fixture, t[1], best and best[1]))
+        made += [(fixture, None, x[1]) for x in free]
+    return sorted(made, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_alignment_equals_a_plain_walk(spark, seed):
+    rng = random.Random(seed)
+    day = date(2024, 3, 1)
+    row = lambda i: (rng.choice("fgh"), i, day + timedelta(rng.randint(0, 12)), Decimal(rng.randint(1, 4)), rng.choice(["debit", "credit"]), rng.choice([None, "POS SHOP", "POS SHOP A", "shop pos b", "UPI ASHA", "UPI ASHA K", "NEFT"]))
+    expected = [row(i) for i in range(70)]
+    extracted = [r if rng.random() < 0.6 else row(r[1]) for r in expected if rng.random() < 0.9] + [row(i) for i in range(100, 120)]
+    got = C.align(spark.createDataFrame(expected, TRUTH), spark.createDataFrame(extracted, TRUTH)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == plain_alignment(expected, extracted)
+    assert C.align(spark.createDataFrame([], TRUTH), spark.createDataFrame(extracted[:2], TRUTH)).count() == 2
