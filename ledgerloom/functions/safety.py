@@ -6,6 +6,7 @@ over Arrow batches; it runs only on rows that the flags let through.
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -132,6 +133,31 @@ def redact_for_logs(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _redacted(t, (MONETARY, *DETECTORS)))
 
 
+def log_record(allowed: list[str], exempt: list[str]):
+    """A function of log records as JSON objects: allowed keys stay, the others' names are listed under dropped_fields, and all text
+    below a key that is not exempt is redacted, in lists and objects of any depth. Null for what is no object."""
+
+    def clean(value):
+        if isinstance(value, str):
+            return _redacted(value, (MONETARY, *DETECTORS))
+        if isinstance(value, list):
+            return [clean(v) for v in value]
+        return {k: clean(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+    def written(text: str | None) -> str | None:
+        try:
+            record = json.loads(text or "")
+        except ValueError:
+            return None
+        if not isinstance(record, dict):
+            return None
+        kept = {k: v if k in exempt else clean(v) for k, v in record.items() if k in allowed}
+        dropped = sorted(k for k in record if k not in allowed)
+        return json.dumps(kept | ({"dropped_fields": dropped} if dropped else {}), ensure_ascii=False)
+
+    return F.pandas_udf(lambda texts: texts.map(written), T.StringType())
+
+
 def injection_reason(text: Column) -> Column:
     """Why a text must not reach a model, or null; the first reason wins."""
     found = F.when(text.rlike("[\\x00-\\x1F\\u200B-\\u200F]"), "hidden_characters")

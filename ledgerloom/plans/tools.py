@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from calendar import month_name, monthrange
 from dataclasses import dataclass
@@ -251,6 +252,20 @@ def suggested(name: str, default: date) -> tuple[str, dict] | None:
     return tool, {k: common[k] for k in takes.get(tool, ())} | extra.get(tool, {})
 
 
+def suggestions_for(ledger: DataFrame) -> DataFrame:
+    """tenant_id, id, tool and arguments (JSON) of the questions offered to each tenant, for its latest month with rows."""
+    this, before = "{month}", "{month before}"
+    latest = ledger.groupBy("tenant_id").agg(F.trunc(F.max("txn_date"), "MM").alias("month"))
+    offers = []
+    for name in SUGGESTIONS:
+        tool, arguments = suggested(name, date(2000, 2, 1))
+        marked = {k: {"2000-02": this, "2000-01": before}.get(v, v) if isinstance(v, str) else v for k, v in arguments.items()}
+        text = F.replace(F.lit(json.dumps(marked, default=int)), F.lit(this), F.date_format("month", "yyyy-MM"))
+        text = F.replace(text, F.lit(before), F.date_format(F.add_months("month", -1), "yyyy-MM"))
+        offers.append(F.struct(F.lit(name).alias("id"), F.lit(tool).alias("tool"), text.alias("arguments")))
+    return latest.select("tenant_id", F.explode(F.array(*offers)).alias("o")).select("tenant_id", "o.*")
+
+
 MOST_MONTHS, MOST_ROWS = 36, 50
 
 
