@@ -19,7 +19,7 @@ class JobFollower(StatefulProcessor):
     """Of each job: its new events in order, then done after a terminal one, or timeout when none came for so long.
 
     What the job has shown last is its state, so events that come again, after a restart or from a history that overlaps, are
-    shown once. Jobs that are done show nothing more.
+    shown once. Jobs that are done show nothing more. A job has one timer; when it runs out after later events, it is set anew.
     """
 
     def __init__(self, timeout_ms: int):
@@ -30,7 +30,8 @@ class JobFollower(StatefulProcessor):
         self.last = handle.getValueState("last", "at_us long, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, done = self.last.get() if self.last.exists() else (None, False)
+        known = self.last.exists()
+        at, done = self.last.get() if known else (None, False)
         if done:
             for _ in rows:
                 pass
@@ -49,18 +50,20 @@ class JobFollower(StatefulProcessor):
                 break
         if made:
             self.last.update((at, done))
-            self._wait(at, done)
+            if not known and not done:
+                self.handle.registerTimer(self._due(at))
             yield _frame(made)
 
-    def _wait(self, at: int, done: bool) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if not done:
-            self.handle.registerTimer(at // 1000 + self.timeout_ms)
+    def _due(self, at: int) -> int:
+        return at // 1000 + self.timeout_ms
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at, done = self.last.get()
-        if not done:
+        if done:
+            return
+        if self._due(at) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._due(at))
+        else:
             self.last.update((at, True))
             yield _frame([(key[0], None, pd.Timestamp(at, unit="us"), None, "timeout")])
 
@@ -68,7 +71,8 @@ class JobFollower(StatefulProcessor):
         row = initialState.sort_values("occurred_at").iloc[-1]
         at, done = row["occurred_at"].value // 1000, row["state"] in TERMINAL
         self.last.update((at, bool(done)))
-        self._wait(at, bool(done))
+        if not done:
+            self.handle.registerTimer(self._due(at))
 
     def close(self) -> None:
         pass

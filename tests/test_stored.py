@@ -37,11 +37,14 @@ def test_followed_jobs_show_nothing_twice_over_restarts_and_close(spark, tmp_pat
     # The same again and more; job 1 ends, what comes later is not shown.
     arrive((1, 3, 6, "validating"), (1, 4, 7, "completed"), (1, 5, 8, "queued"), (3, 1, 2, "queued"))
     rows = arrive((1, 6, 9, "queued"), (4, 1, 600, "queued"))  # ten hours on: job 3 has been silent for an hour
-    rows = arrive((4, 2, 601, "queued"))
+    rows = arrive((4, 2, 601, "queued"))  # job 4 goes on, and its timer with it
+    rows = arrive((5, 1, 670, "queued"))
+    assert rows.where("job_id = 4 and kind = 'timeout'").count() == 0  # the watermark is at 650, the hour ends at 661
+    rows = arrive((5, 2, 690, "completed"))
     got = sorted((r.job_id, r.kind, r.seq or 0, r.state or "") for r in rows.collect())
     assert got == [
         (1, "done", 4, "completed"), (1, "event", 3, "validating"), (1, "event", 4, "completed"), (3, "event", 1, "queued"), (3, "timeout", 0, ""),
-        (4, "event", 1, "queued"), (4, "event", 2, "queued"),
+        (4, "event", 1, "queued"), (4, "event", 2, "queued"), (4, "timeout", 0, ""), (5, "done", 2, "completed"), (5, "event", 1, "queued"), (5, "event", 2, "completed"),
     ]
 
 
