@@ -12,13 +12,14 @@
 4. A block above ``SHINGLES_A_SLICE`` is sliced. Its hub joins every slice and is queried there; what is not linked to the
    hub is then queried in all slices. So large groups of near copies cost one query a slice, not all pairs.
 
-Shingles, sets and parts are compared by 64-bit hashes, classes by 128 bits.
+Shingles, sets and parts are compared by 64-bit hashes, classes by 128 bits. Each run draws the key of its words' hashes, so
+that no texts can be written beforehand that collide.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import groupby
 from math import exp, log2
@@ -26,12 +27,12 @@ from math import exp, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, small_batches, utf8
 from .components import components
-from .textblock import NOT_WHITE, U64, TextBlock, mixed, sequences, text_blocks
+from .textblock import FIXED_KEY, NOT_WHITE, U64, TextBlock, mixed, new_key, sequences, text_blocks
 
 SHINGLES_A_SLICE = 1_500_000
 #: Size classes: the largest size over the smallest. Wider ones repeat fewer sets but need more parts.
@@ -44,11 +45,11 @@ WEIGHT = 0.0085
 HEAP_ENTRIES = 4_096
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], n: int, key: int = FIXED_KEY) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-word shingles; all words as one where there are fewer."""
-    block = TextBlock(texts, lower=True)
+    block = TextBlock(texts, lower=True, key=key)
     start, end, doc = block.words(NOT_WHITE)
-    words = block.hashes(start, end)
+    words = block.sure_hashes(start, end)
     h, of = sequences(words, doc, n)
     ends = np.searchsorted(of, np.arange(len(texts) + 1))
     counts = np.bincount(doc, minlength=len(texts))
@@ -135,20 +136,20 @@ def signatures(tokens: np.ndarray, common: np.ndarray, num: int, den: int) -> np
     return np.concatenate(made)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int, key: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows and sets; the texts are in the last column."""
     for batch in batches:
         for first, last, texts in text_blocks(batch.column(batch.num_columns - 1)):
-            yield batch.slice(first, last - first), shingle_sets(texts, n)
+            yield batch.slice(first, last - first), shingle_sets(texts, n, key)
 
 
-def _digests(docs: DataFrame, n: int) -> DataFrame:
+def _digests(docs: DataFrame, n: int, key: int) -> DataFrame:
     """kind 0: doc_id, size and fingerprint of each document's set. kind 1: shingles (size) by counter (doc_id), per task."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "size", "fp1", "fp2", "sketch"]
         counters = np.zeros(COUNTERS, np.int64)
-        for rows, sets in _sets(batches, n):
+        for rows, sets in _sets(batches, n, key):
             prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
             seen = set()
             new = [s for s, p in zip(sets, map(tuple, prints.tolist()), strict=True) if not (p in seen or seen.add(p))]
@@ -172,7 +173,7 @@ def _common_counters(digests: DataFrame) -> np.ndarray:
     return counts > middle + 12 * np.sqrt(middle) + 12
 
 
-def _near_sets(docs: DataFrame, sketches: DataFrame, n: int, common: np.ndarray, num: int, den: int) -> DataFrame:
+def _near_sets(docs: DataFrame, sketches: DataFrame, n: int, key: int, common: np.ndarray, num: int, den: int) -> DataFrame:
     """Edges (a, b) between the first fingerprints of sets that share a part and whose sketches allow a link.
 
     sketches: node, size and sketch of each set.
@@ -181,7 +182,7 @@ def _near_sets(docs: DataFrame, sketches: DataFrame, n: int, common: np.ndarray,
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs, nodes, seen = [], [], set()
-            for _, sets in _sets([batch], n):
+            for _, sets in _sets([batch], n, key):
                 for tokens in sets:
                     node = fingerprint(tokens)[0]
                     if len(tokens) and node not in seen:
@@ -195,17 +196,17 @@ def _near_sets(docs: DataFrame, sketches: DataFrame, n: int, common: np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(node)], ["sign", "node"])
 
     signs = docs.mapInArrow(made, "sign long, node long")
-    part = Window.partitionBy("sign")
-    before = F.lag("node").over(part.orderBy("node"))
-    rows = signs.withColumns({"before": before, "least": F.min("node").over(part), "most": F.max("node").over(part)})
-    # One row for each set and part, where the part has other sets too.
-    rows = rows.where("least <> most and (before is null or before <> node)")
-    rows = rows.select("sign", "node").join(sketches, "node")
+    signs = cut_lineage(signs.distinct(), "signs")
+    # What a part holds is counted before the map side's shuffle; its rows meet these counts by a join that splits hot parts.
+    parts = signs.groupBy("sign").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rows = signs.hint("merge").join(parts, "sign")
+    large = rows.where(F.col("n") > NEAR).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    rows = rows.where(F.col("n") <= NEAR).select("sign", "node").join(sketches, "node")
     rows = rows.repartition("sign").sortWithinPartitions("sign", "node")
-    return rows.mapInArrow(_near(num, den), "a long, b long").where("a <> b").distinct()
+    return rows.mapInArrow(_near(num, den), "a long, b long").unionByName(large).where("a <> b").distinct()
 
 
-#: Sets of one part that are compared by their sketches; those of a larger part are all taken as near.
+#: Sets of one part that are compared by their sketches; those of a larger part are all taken as near, and meet in no task.
 NEAR = 4_000
 
 
@@ -216,9 +217,6 @@ def _near(num: int, den: int):
     """
 
     def ties(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, int]]:
-        if len(nodes) > NEAR:
-            yield from ((x, nodes[0]) for x in nodes[1:])
-            return
         width = min(map(len, sketches)) // 2
         bins = np.stack([np.frombuffer(x, "<u2").astype(np.int32).reshape(width, -1).sum(axis=1) for x in sketches])
 
@@ -260,9 +258,6 @@ def _near(num: int, den: int):
                     if len(nodes) > 1:
                         found += connecting(ties(np.array(nodes), np.array(sizes), sketches))
                     sign, nodes, sizes, sketches = s, [], [], []
-                if len(nodes) > NEAR:  # held no further: tied to the first one
-                    found += connecting([(node, nodes[0])])
-                    continue
                 nodes.append(node)
                 sizes.append(size)
                 sketches.append(own)
@@ -290,8 +285,11 @@ class InvertedIndex:
         self.tokens, self.first = np.unique(tokens[order], return_index=True)
         self.first = np.r_[self.first, len(tokens)]
 
-    def search(self, query: np.ndarray, num: int, den: int, skip: np.ndarray) -> list[int]:
-        """Numbers of the sets that link with the query, but for those that skip marks: DivideSkip."""
+    def search(self, query: np.ndarray, num: int, den: int, fresh: Callable[[np.ndarray], np.ndarray]) -> list[int]:
+        """Numbers of the sets that link with the query, of those that fresh marks among the ones it is given: DivideSkip.
+
+        Costs as much as the lists of the query hold, not as the index.
+        """
         at = np.searchsorted(self.tokens, query)
         at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == query] if len(self.tokens) else at[:0]
         n, least = len(query), -(-num * len(query) // den)  # a linked set shares num / den of the query at least
@@ -302,29 +300,31 @@ class InvertedIndex:
         longest = int(lengths[by_length[-1]])
         n_long = min(least - 1, int(least / (WEIGHT * log2(longest + 1) + 1)), len(at) - 1)
         short, long = at[by_length[: len(at) - n_long]], at[by_length[len(at) - n_long :]]
-        able = ~skip & (den * self.sizes >= num * n) & (num * self.sizes <= den * n)
+        members, counts = self._merged(short, least - n_long, int(lengths[by_length[: len(short)]].sum()))
+        able = (den * self.sizes[members] >= num * n) & (num * self.sizes[members] <= den * n)
+        able[able] = fresh(members[able])
         found = []
-        for member, count in self._merged(short, least - n_long, int(lengths[by_length[: len(short)]].sum())):
-            if able[member]:
-                own = self.sets[member]
-                probe = np.searchsorted(own, self.tokens[long])
-                count += int((own[np.minimum(probe, len(own) - 1)] == self.tokens[long]).sum())
-                if den * count >= num * (n + len(own) - count):
-                    found.append(member)
+        for member, count in zip(members[able].tolist(), counts[able].tolist(), strict=True):
+            own = self.sets[member]
+            probe = np.searchsorted(own, self.tokens[long])
+            count += int((own[np.minimum(probe, len(own) - 1)] == self.tokens[long]).sum())
+            if den * count >= num * (n + len(own) - count):
+                found.append(member)
         return found
 
-    def _merged(self, short: np.ndarray, least: int, entries: int) -> Iterator[tuple[int, int]]:
+    def _merged(self, short: np.ndarray, least: int, entries: int) -> tuple[np.ndarray, np.ndarray]:
         """Members of at least so many of the short lists, and of how many."""
         lists = [self.members[self.first[t] : self.first[t + 1]] for t in short.tolist()]
         if entries <= HEAP_ENTRIES:
-            for member, run in groupby(heapq.merge(*(x.tolist() for x in lists))):
-                count = sum(1 for _ in run)
-                if count >= least:
-                    yield member, count
-        else:  # the same merge by counting
-            counts = np.bincount(np.concatenate(lists), minlength=len(self.sets))
-            for member in np.flatnonzero(counts >= least).tolist():
-                yield member, int(counts[member])
+            runs = [(member, sum(1 for _ in run)) for member, run in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+            merged = np.array([x for x in runs if x[1] >= least], np.int64).reshape(-1, 2)
+            return merged[:, 0], merged[:, 1]
+        # The same merge by counting, over the members at hand.
+        held = np.concatenate(lists)
+        low = int(held.min())
+        counts = np.bincount(held - low)
+        members = np.flatnonzero(counts >= least)
+        return members + low, counts[members]
 
 
 class Union:
@@ -340,11 +340,13 @@ class Union:
         i, j = sorted((self.root(i), self.root(j)))
         self.up[j] = i
 
-    def roots(self) -> np.ndarray:
-        """The root of each; also shortens all ways."""
-        while (self.up[self.up] != self.up).any():
-            self.up = self.up[self.up]
-        return self.up
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        """The root of each of these; also shortens their ways."""
+        found = self.up[of]
+        while ((above := self.up[found]) != found).any():
+            found = above
+        self.up[of] = found
+        return found
 
 
 LINKED = "rep long, root long, open boolean"
@@ -361,12 +363,12 @@ def _linked(num: int, den: int):
         asks, sliced = rows["asks"].to_numpy(bool), bool((rows["slices"] > 1).any())
         # In a sliced block only what asks is queried; else all but the first one's component.
         for i in range(int(asks.sum()) if sliced else len(sets)):
-            roots = union.roots()
-            if not sliced and i and roots[i] == roots[0]:
+            own = union.root(i)
+            if not sliced and i and own == union.root(0):
                 continue
-            for j in index.search(sets[i], num, den, roots == roots[i]):
+            for j in index.search(sets[i], num, den, lambda members: union.roots(members) != own):  # noqa: B023
                 union.join(i, j)
-        roots = union.roots()
+        roots = union.roots(np.arange(len(sets)))
         # Roots are the first rows of their components; the least rep of a component names it.
         least = pd.Series(reps).groupby(roots).transform("min").to_numpy() if len(reps) else reps
         single = np.bincount(roots, minlength=len(roots))[roots] == 1
@@ -375,11 +377,11 @@ def _linked(num: int, den: int):
     return link
 
 
-def _of_members(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+def _of_members(docs: DataFrame, members: DataFrame, n: int, key: int) -> DataFrame:
     """members with the sets of their texts (tokens, as bytes)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sets in _sets(batches, n):
+        for rows, sets in _sets(batches, n, key):
             prints = [fingerprint(s) for s in sets]
             same = [p == q for p, q in zip(prints, zip(rows["fp1"].to_pylist(), rows["fp2"].to_pylist(), strict=True), strict=True)]
             own = [rows.column(c) for c in range(rows.num_columns - 1)]
@@ -403,17 +405,18 @@ def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, shingles
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"))
-    digests = cut_lineage(_digests(docs, n), "digests")
+    hashed = new_key()
+    digests = cut_lineage(_digests(docs, n, hashed), "digests")
     rows = digests.where("kind = 0").drop("kind")
     classes = rows.where("size > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"))
     sketches = rows.where("size > 0 and doc_id is not null").groupBy(F.col("fp1").alias("node")).agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"))
-    blocks = components(_near_sets(docs.where("doc_id is not null"), sketches, n, _common_counters(digests), num, den))
+    blocks = components(_near_sets(docs.where("doc_id is not null"), sketches, n, hashed, _common_counters(digests), num, den))
     blocks = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
     members = classes.join(blocks, classes["fp1"] == blocks["node"]).select("rep", "fp1", "fp2", "size", F.col("component").alias("block"))
     sizes = members.groupBy("block").agg(F.sum("size").alias("total"), F.min(F.struct("rep", "fp1", "fp2")).alias("hub"))
     sizes = sizes.withColumn("slices", F.ceil(F.col("total") / shingles_a_slice))
     members = cut_lineage(members.join(sizes, "block"), "members")
-    sets = _of_members(docs, members.select("block", "slices", "rep", "fp1", "fp2"), n)
+    sets = _of_members(docs, members.select("block", "slices", "rep", "fp1", "fp2"), n, hashed)
     key, link = ["block", "slice", "turn"], _linked(num, den)
     alone = {"slice": F.lit(0), "turn": F.lit(0), "asks": F.lit(False)}
     if members.where("slices > 1").isEmpty():

@@ -14,8 +14,8 @@ whole collection. So the column-wise construction runs on short segments that ho
    LENGTH or more hold the same window, and all but the earliest are covered.
 5. Covered bytes are joined to runs per document.
 
-Of an anchor's segments that are equal throughout, by 95 bits of hash, only the first is cut out and sorted; the
-others are covered whole. Windows of segments are compared by their bytes. Anchors with more than ``SEGMENTS`` different
+Of an anchor's segments that are equal throughout, by 95 bits of a hash whose key each run draws anew, only the first is
+cut out and sorted; the others are covered whole. Windows of segments are compared by their bytes. Anchors with more than ``SEGMENTS`` different
 segments are settled by grouping their windows themselves, on Spark. Nothing is written outside Spark: the rounds' order and prefixes take
 a few bytes per segment and stay in the task's memory instead of external files.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, small_batches, utf8
-from .textblock import U64, TextBlock, mixed, text_blocks
+from .textblock import U64, TextBlock, mixed, new_key, text_blocks
 
 LENGTH = 100
 GRAM = 24
@@ -137,11 +137,12 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     Of equal segments in the texts at hand only the first has to meet the other texts'. The others are covered whole for
     sure, and get a number of their own for an anchor: however often a line comes, its rows are dealt out evenly.
     """
+    key = new_key()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, texts in text_blocks(batch.column(1)):
-                block = TextBlock(texts)
+                block = TextBlock(texts, key=key)
                 h, place, low, high = anchors(block)
                 doc = np.searchsorted(block.starts, place, "right") - 1
                 reach = (place - low) * 128 + high - low

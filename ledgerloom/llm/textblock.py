@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
+#: Key of hashes that are features or orders only. Where equal hashes stand for equal texts, a run draws its own with new_key().
+FIXED_KEY = 0x9E3779B97F4A7C15
 
 #: Word characters by byte: all but ASCII white space; and letters, digits and all bytes of non-ASCII characters.
 NOT_WHITE = np.ones(256, bool)
@@ -17,11 +19,17 @@ NOT_WHITE[[0x20, *range(0x09, 0x0E)]] = False
 ALPHANUMERIC = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 LOWER_ASCII = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-#: A prime, and a base modulo it. Modulo 2**64 alone, some texts of two letters have equal polynomials for every base.
+#: A prime. Modulo 2**64 alone, some texts of two letters have equal polynomials for every base.
 _PRIME = U64(2**31 - 1)
-_SMALL = 1_812_433_253 % (2**31 - 1)
 
-_powers: tuple[np.ndarray, ...] = (np.ones(1, U64),) * 4
+
+def new_key() -> int:
+    """A key for the hashes of one run. Drawn on the driver and sent with the work, so that tasks run again hash alike.
+
+    Texts are written before the key is known. Of two different texts of n bytes both primes' hashes are equal with a chance of
+    (n / 2**31) ** 2 at most, whatever the texts.
+    """
+    return secrets.randbits(64)
 
 
 def _prime_powers(base: int, n: int) -> np.ndarray:
@@ -32,15 +40,32 @@ def _prime_powers(base: int, n: int) -> np.ndarray:
     return made[:n]
 
 
-def powers(n: int) -> tuple[np.ndarray, ...]:
-    """Base and inverse modulo 2**64, and modulo the prime, to the powers 0 to n - 1 at least; held for the worker's next texts."""
+def _wide_powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.r_[U64(1), np.full(n - 1, base, U64)])
+
+
+def _bases(key: int) -> tuple[int, int, int]:
+    """An odd number modulo 2**64 and two numbers modulo the prime, neither 0 nor 1."""
+    if key == FIXED_KEY:
+        return FIXED_KEY, 1_812_433_253, 1_103_515_245
+    drawn = random.Random(key)
+    return drawn.getrandbits(64) | 1, drawn.randrange(2, int(_PRIME)), drawn.randrange(2, int(_PRIME))
+
+
+_powers: tuple[int, int, list[tuple[np.ndarray, np.ndarray]]] = (FIXED_KEY, 0, [])
+
+
+def powers(n: int, key: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers from 0 to n - 1 at least of the key's bases and of their inverses; held for the worker's next texts."""
     global _powers
-    if len(_powers[0]) < n:
+    if _powers[0] != key or _powers[1] < n:
         n += n // 4 + 1
-        with np.errstate(over="ignore"):
-            wide = [np.cumprod(np.r_[U64(1), np.full(n - 1, x, U64)]) for x in (U64(_BASE), U64(_BACK))]
-        _powers = (*wide, *(_prime_powers(x, n) for x in (_SMALL, pow(_SMALL, -1, int(_PRIME)))))
-    return _powers
+        wide, *small = _bases(key)
+        made = [(_wide_powers(wide, n), _wide_powers(pow(wide, -1, 1 << 64), n))]
+        made += [(_prime_powers(x, n), _prime_powers(pow(x, -1, int(_PRIME)), n)) for x in small]
+        _powers = key, n, made
+    return _powers[2]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -56,13 +81,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class TextBlock:
     """data: the bytes; starts, ends: of each text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, key: int = FIXED_KEY):
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.data = LOWER_ASCII[data] if lower else data
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(lengths + 1) - 1
         self.starts = self.ends - lengths
-        self._sums: tuple[np.ndarray, np.ndarray] | None = None
+        self._key, self._sums = key, {}
 
     def words(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of each run of bytes that the table marks."""
@@ -71,24 +96,29 @@ class TextBlock:
         start, end = change[::2], change[1::2]
         return start, end, np.searchsorted(self.starts, start, "right") - 1
 
-    def _summed(self) -> tuple[np.ndarray, np.ndarray]:
-        if self._sums is None:
-            up, _, small, _ = powers(len(self.data) + 1)
-            symbols, n = self.data.astype(U64) + U64(1), len(self.data)
-            self._sums = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
-            np.cumsum(symbols * up[:n], out=self._sums[0][1:])
-            np.cumsum(symbols * small[:n] % _PRIME, out=self._sums[1][1:])
-        return self._sums
-
-    def both_hashes(self, start: np.ndarray | slice, end: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes, of 64 and of 31 bits, of the bytes from start to end."""
-        (wide, prime), (_, down, _, small) = self._summed(), powers(len(self.data) + 1)
-        return (wide[end] - wide[start]) * down[start], (prime[end] - prime[start]) % _PRIME * small[start] % _PRIME
+    def _polynomial(self, base: int, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        """The bytes from start to end as a polynomial in the key's base of that number; the first base counts modulo 2**64."""
+        up, down = powers(len(self.data) + 1, self._key)[base]
+        if base not in self._sums:
+            n = len(self.data)
+            terms = (self.data.astype(U64) + U64(1)) * up[:n]
+            self._sums[base] = np.zeros(n + 1, U64)
+            np.cumsum(terms % _PRIME if base else terms, out=self._sums[base][1:])
+        part = self._sums[base][end] - self._sums[base][start]
+        return part % _PRIME * down[start] % _PRIME if base else part * down[start]
 
     def hashes(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         """64-bit hashes of the bytes from start to end: equal bytes have equal hashes wherever they stand."""
-        wide, prime = self.both_hashes(start, end)
-        return mixed(wide ^ mixed(prime + U64(1)))
+        return mixed(self._polynomial(0, start, end) ^ mixed(self._polynomial(1, start, end) + U64(1)))
+
+    def both_hashes(self, start: np.ndarray | slice, end: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes by different bases, of 64 and of 31 bits, of the bytes from start to end."""
+        return self.hashes(start, end), self._polynomial(2, start, end)
+
+    def sure_hashes(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        """64-bit hashes of the bytes from start to end, made of both of both_hashes()."""
+        wide, small = self.both_hashes(start, end)
+        return mixed(wide ^ mixed(small + U64(1)))
 
     def grams(self, n: int) -> np.ndarray:
         """The hashes of the n bytes from each place on."""

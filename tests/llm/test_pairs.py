@@ -28,6 +28,60 @@ def test_similar_takes_empty_tables_null_ids_and_repeated_rows(spark):
     assert len(got) == 5
 
 
+def _colliding_words():
+    """Two words of 34 blocks with equal hashes by the fixed key: blocks are equal modulo 2**64, and the prime falls to a birthday search."""
+    import numpy as np
+
+    from ledgerloom.llm.textblock import FIXED_KEY, TextBlock, _bases
+
+    block = b"a"
+    while len(block) < 2_048:
+        block += block.translate(bytes.maketrans(b"ab", b"ba"))
+    blocks, prime, base = (block, block.translate(bytes.maketrans(b"ab", b"ba"))), 2**31 - 1, _bases(FIXED_KEY)[1]
+    apart = sum((blocks[1][i] - blocks[0][i]) * pow(base, i, prime) for i in range(2_048))
+    steps = np.array([apart * pow(base, 2_048 * i, prime) % prime for i in range(34)])
+    chosen = np.random.default_rng(0).integers(0, 2, (1 << 18, 34))
+    sums, at, n = np.unique((chosen @ steps) % prime, return_index=True, return_counts=True)
+    one = at[n > 1][0]
+    same = np.flatnonzero((chosen @ steps) % prime == (chosen[one] @ steps) % prime)
+    other = next(i for i in same if (chosen[i] != chosen[one]).any())
+    words = [b"".join(blocks[k] for k in chosen[i]) for i in (one, other)]
+    held = TextBlock(words)
+    assert words[0] != words[1] and len(set(held.hashes(held.starts, held.ends).tolist())) == 1
+    return words
+
+
+def test_words_made_to_collide_under_the_known_key_do_not_link(spark):
+    rows = [(i, w.decode()) for i, w in enumerate(_colliding_words())]
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.similar(cases.frame(spark, rows)).collect()) == [(0, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_parts_that_many_sets_share_are_tied_unseen(spark, monkeypatch, n):
+    monkeypatch.setattr(jaccard_join, "NEAR", 3)
+    rows = cases.near_copies(6)
+    assert sorted(tuple(r) for r in jaccard_join.similar(cases.frame(spark, rows), n, 85, 100, 2_000).collect()) == cases.linked(rows, n, 85, 100)
+
+
+def test_merges_by_heap_and_by_counting_find_the_same():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    whole = np.sort(rng.choice(1 << 40, 400, replace=False)).astype(np.uint64)
+    sets = [np.sort(rng.choice(whole, 395 - i % 40, replace=False)) for i in range(120)]
+    index = jaccard_join.InvertedIndex(sets)
+    even = lambda members: members % 2 == 0
+    for entries in (0, 10**9):
+        jaccard_join.HEAP_ENTRIES, before = entries, jaccard_join.HEAP_ENTRIES
+        try:
+            for i in (0, 7, 39):
+                shared = [len(np.intersect1d(sets[i], s)) for s in sets]
+                want = [j for j, k in enumerate(shared) if j % 2 == 0 and 100 * k >= 90 * (len(sets[i]) + len(sets[j]) - k)]
+                assert index.search(sets[i], 90, 100, even) == want
+        finally:
+            jaccard_join.HEAP_ENTRIES = before
+
+
 def test_of_linked_documents_the_smallest_stays(spark):
     rows = cases.near_copies(5)
     kept = {r.doc_id for r in jaccard_join.dedup_similar(cases.frame(spark, rows)).collect()}
