@@ -78,6 +78,28 @@ def recategorised(rows: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 LEARNED_PRIORITY = 10
+TENANTS_A_BLOCK = 4_096
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """Adds _n, the rank of each row (tenant_id, _name) among all, from 1 without gaps.
+
+    Ranks are counted within the tenant's names of the same first letters; what stands before those is summed by the heads of
+    a tenant, the tenants of a block and the blocks. Only the last of these is one task's, a row for each block.
+    """
+    named = names.withColumns({"_head": F.substring("_name", 1, 3), "_block": F.floor(F.col("tenant_id") / TENANTS_A_BLOCK)})
+    heads = named.groupBy("_block", "tenant_id", "_head").agg(F.count("*").alias("n"))
+    tenants = heads.groupBy("_block", "tenant_id").agg(F.sum("n").alias("n"))
+    blocks = tenants.groupBy("_block").agg(F.sum("n").alias("n"))
+
+    def before(rows: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        return rows.withColumn(name, F.sum("n").over(Window.partitionBy(*within).orderBy(by)) - F.col("n")).drop("n")
+
+    named = named.join(before(heads, ["_block", "tenant_id"], "_head", "_b1"), ["_block", "tenant_id", "_head"])
+    named = named.join(before(tenants, ["_block"], "tenant_id", "_b2"), ["_block", "tenant_id"])
+    named = named.join(before(blocks, [], "_block", "_b3"), "_block")
+    own = F.row_number().over(Window.partitionBy("tenant_id", "_head").orderBy("_name"))
+    return named.withColumn("_n", own + F.col("_b1") + F.col("_b2") + F.col("_b3")).select(*names.columns, "_n")
 
 
 def learned_rules(rules: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -93,7 +115,7 @@ def learned_rules(rules: DataFrame, corrections: DataFrame) -> DataFrame:
     old = old.withColumns({"category": F.when(taught, F.col("_new.category")).otherwise(F.col("category")), "is_active": taught | F.col("is_active")})
     fresh = last.join(rules.select("tenant_id", F.lower("pattern").alias("_name")).distinct(), ["tenant_id", "_name"], "left_anti")
     top = rules.agg(F.coalesce(F.max("rule_id"), F.lit(0)).alias("_top"))
-    fresh = fresh.join(F.broadcast(top)).withColumn("_n", F.row_number().over(Window.orderBy("tenant_id", "_name")))  # a row for each merchant corrected
+    fresh = _numbered(fresh).join(F.broadcast(top))  # one row
     made = {
         "tenant_id": F.col("tenant_id"), "rule_id": F.col("_top") + F.col("_n"), "match_type": F.lit("exact"), "pattern": F.col("_new.merchant"),
         "min_amount": F.lit(None), "max_amount": F.lit(None), "priority": F.lit(LEARNED_PRIORITY), "created_seq": F.col("_new.seq"),
@@ -126,6 +148,9 @@ def near_duplicates(batch: DataFrame, ledger: DataFrame, floor: float = SIMILARI
     """
     key = ["tenant_id", "account_id", "txn_date", "amount", "direction"]
     old = ledger.select(*key, F.col("txn_id").alias("like_id"), F.col("fingerprint").alias("old_print"), F.col("description").alias("old_text"))
+    # A row passes over one fingerprint, its own. With five rows at most of each, the first ten of a key hold its first five others.
+    for of, most in (([*key, "old_print"], NEAR_DUPLICATES), (key, 2 * NEAR_DUPLICATES)):
+        old = old.withColumn("n", F.row_number().over(Window.partitionBy(*of).orderBy("like_id"))).where(F.col("n") <= most).drop("n")
     both = batch.select(*key, "txn_id", "fingerprint", "description").join(old, key).where("fingerprint <> old_print")
     by_id = Window.partitionBy("tenant_id", "txn_id").orderBy("like_id")
     both = both.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= NEAR_DUPLICATES)

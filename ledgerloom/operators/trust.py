@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,22 @@ def fingerprinted(rows: DataFrame, text: Column, order: str = "source_row") -> D
     return rows.withColumn("fingerprint", F.sha2(parts, 256))
 
 
+def keyed_hash(message: Column, key: bytes) -> Column:
+    """HMAC-SHA256 (RFC 2104) of a string's UTF-8 bytes, in lowercase hex; null for null.
+
+    The padded key becomes a literal, so whoever may read the plan's literals may forge it.
+    """
+    whole = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in whole)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def account_fingerprint(tenant: Column, bank: Column, kind: Column, last4: Column, key: bytes) -> Column:
+    """What names an account within a deployment, of parts that are no secrets; null if one of them is."""
+    parts = [F.lit(":") if i % 2 else (tenant, bank, kind, last4)[i // 2].cast("string") for i in range(7)]
+    return keyed_hash(F.concat(*parts), key)
+
+
 def new_rows(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows of the batch whose fingerprint neither the ledger nor an earlier row of the batch has."""
     first = Window.partitionBy("tenant_id", "account_id", "fingerprint").orderBy("statement_id", "source_row")

@@ -74,6 +74,20 @@ def fingerprints(spark, sf_dir):
     return _prints(spark, sf_dir).select("statement_id", "source_row", "occurrence", "fingerprint")
 
 
+ACCOUNT_KEY = b"key of the query"
+_PADS = ["".join(f"\\x{b ^ pad:02X}" for b in ACCOUNT_KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(
+    "F19_account_fingerprint",
+    f"""SELECT c_custkey, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(concat_ws(':', c_nationkey, c_mktsegment, 'savings', lpad(right(c_custkey::VARCHAR, 4), 4, '0')))))) AS fingerprint FROM customer""",
+)
+def account_fingerprints(spark, sf_dir):
+    """Every customer as an account of its nation's tenant."""
+    made = T.account_fingerprint(F.col("c_nationkey"), F.col("c_mktsegment"), F.lit("savings"), F.lpad(F.expr("right(cast(c_custkey as string), 4)"), 4, "0"), ACCOUNT_KEY)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", made.alias("fingerprint"))
+
+
 @query("U3_new_rows", f"{L5}, {PRINTS} SELECT statement_id, source_row, fingerprint FROM f WHERE source_row > 3")
 def new_rows(spark, sf_dir):
     rows = _prints(spark, sf_dir)

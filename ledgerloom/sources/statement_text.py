@@ -44,14 +44,20 @@ def masthead(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.slice("held", 1, n), "\n").alias("masthead"))
 
 
+PARSERS = 1_000
+
+
 def dispatch(docs: DataFrame, parsers: DataFrame) -> DataFrame:
     """The parser (code, signatures, ifsc_prefix, priority) of each document by its masthead: the best score of 0.35 or more, then the
-    higher priority, then the code; the parser of priority 0 where none scores enough."""
+    higher priority, then the code; the parser of priority 0 where none scores enough.
+
+    Parsers are declarations, of which every document meets each; more than PARSERS of them are an error."""
+    if parsers.limit(PARSERS + 1).count() > PARSERS:
+        raise ValueError(f"more than {PARSERS} parsers")
     heads = masthead(docs).withColumn("lower", F.lower("masthead"))
     hits = F.aggregate("signatures", F.lit(0), lambda a, s: a + F.contains("lower", F.lower(s)).cast("int"))
     code = F.exists(F.regexp_extract_all("masthead", F.lit(IFSC), 0), lambda x: x.startswith(F.col("ifsc_prefix")))
     score = F.round(F.least(hits / F.greatest(F.size("signatures"), F.lit(1)), F.lit(1.0)) * 0.8 + F.when(code, 0.2).otherwise(0.0), 3)
-    # The parsers are declarations, some dozens of them; every document is scored against each.
     scored = heads.join(F.broadcast(parsers)).withColumn("score", score)
     scored = scored.where((F.col("score") >= DISPATCH_FLOOR) | (F.col("priority") == 0))
     enough = F.when(F.col("score") >= DISPATCH_FLOOR, F.col("score")).otherwise(-1.0)

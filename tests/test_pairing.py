@@ -161,3 +161,39 @@ def test_alignment_equals_a_plain_walk(spark, seed):
     got = C.align(spark.createDataFrame(expected, TRUTH), spark.createDataFrame(extracted, TRUTH)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == plain_alignment(expected, extracted)
     assert C.align(spark.createDataFrame([], TRUTH), spark.createDataFrame(extracted[:2], TRUTH)).count() == 2
+
+
+def test_near_duplicates_look_at_the_first_five_others_of_a_hot_key(spark):
+    """Every row has the same key; fingerprints repeat, and a row passes over those equal to its own."""
+    rng = random.Random(5)
+    old = [(f"l{i:03}", f"f{rng.randrange(4) if i < 30 else i}", rng.choice(["ALPHA STORE", "BETA SHOP"])) for i in range(60)]
+    new = [(f"n{i}", f"f{i}", "ALPHA STORES") for i in range(6)]
+    schema = "txn_id string, fingerprint string, description string"
+    key = {"tenant_id": F.lit(1), "account_id": F.lit(2), "txn_date": F.lit("2024-01-01").cast("date"), "amount": F.lit(5), "direction": F.lit("debit")}
+    frames = [spark.createDataFrame(rows, schema).withColumns(key) for rows in (new, old)]
+    got = {r.txn_id: r.like_id for r in C.near_duplicates(*frames).collect()}
+    firsts = {i: [r for r in old if r[1] != f][:5] for i, f, _ in new}
+    assert got == {i: next(r[0] for r in rows if r[2] == "ALPHA STORE") for i, rows in firsts.items() if any(r[2] == "ALPHA STORE" for r in rows)}
+
+
+def test_learned_rules_are_numbered_without_gaps_over_tenants_blocks(spark):
+    schema = "tenant_id long, rule_id int, match_type string, pattern string, min_amount int, max_amount int, priority int, created_seq int, category string, is_active boolean"
+    rules = spark.createDataFrame([(1, 7, "exact", "known", None, None, 5, 1, "A", True)], schema)
+    rng = random.Random(6)
+    named = sorted({(rng.choice([1, 2, 5_000, 5_001, 90_000]), "".join(rng.choices("abé ", k=rng.randint(1, 5)))) for _ in range(200)} | {(1, "known")})
+    corrections = spark.createDataFrame([(t, i, m, "B") for i, (t, m) in enumerate(named)], "tenant_id long, seq int, merchant string, category string")
+    got = {r.rule_id: (r.tenant_id, r.pattern) for r in C.learned_rules(rules, corrections).collect()}
+    fresh = sorted(((t, m) for t, m in named if (t, m) != (1, "known")), key=lambda x: (x[0], x[1].encode()))
+    assert got == {7: (1, "known")} | {8 + i: x for i, x in enumerate(fresh)}
+
+
+def test_keyed_hash_equals_the_library(spark):
+    import hashlib
+    import hmac
+
+    from ledgerloom.operators.trust import keyed_hash
+
+    texts = ["", "a:b", "é" * 100]
+    for key in (b"", b"short", b"k" * 64, b"long" * 40):
+        got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(keyed_hash(F.col("t"), key).alias("h")).collect()
+        assert [r.h for r in got] == [*(hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in texts), None]
