@@ -129,6 +129,31 @@ def sweep(spark: SparkSession, windows: dict[str, tuple[StoredTable, str, int]],
     """
     counts = []
     for name, (table, column, days) in windows.items():
-        old = F.col(column).cast("date") < F.date_sub(F.lit(today).cast("date"), days)
-        counts.append((name, delete_rows(spark, table, where(old), f"{log}/{name}", f"sweep-{today}", at_once)))
+        counts.append((name, delete_rows(spark, table, where(_past(column, today, days)), f"{log}/{name}", f"sweep-{today}", at_once)))
     return spark.createDataFrame(counts, "frame string, removed long")
+
+
+def _past(column: str, today: str, days: int) -> Column:
+    return F.col(column).cast("date") < F.date_sub(F.lit(today).cast("date"), days)
+
+
+def storage_keys(statements: DataFrame, tenant_id: int) -> DataFrame:
+    """A tenant's statements (tenant_id, storage_key) that have a stored object."""
+    return statements.where((F.col("tenant_id") == tenant_id) & F.col("storage_key").isNotNull())
+
+
+def sweep_with_objects(
+    spark: SparkSession, windows: dict[str, tuple[StoredTable, str, int]], statements: str, today: str, log: str, at_once: int = 16
+) -> tuple[DataFrame, DataFrame]:
+    """sweep() of all tenants, and tenant_id and storage_key of the objects that its statements (that window's name) leave behind.
+
+    The keys are written down before the first row goes, once for a day: a sweep that was stopped and runs again still knows
+    the objects of the rows that are gone already.
+    """
+    table, column, days = windows[statements]
+    keys = f"{log}/objects-{today}"
+    if not _Files(spark, keys).exists(f"{keys}/_SUCCESS"):
+        gone = table.read(spark).where(_past(column, today, days) & F.col("storage_key").isNotNull())
+        gone.select("tenant_id", "storage_key").write.mode("overwrite").parquet(keys)
+    schema = T.StructType([f for f in table.schema.fields if f.name in ("tenant_id", "storage_key")])
+    return sweep(spark, windows, today, log, at_once), spark.read.schema(schema).parquet(keys)

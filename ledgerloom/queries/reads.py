@@ -350,6 +350,21 @@ def daily_insight(spark, sf_dir):
     return Q.insight(S.lineitem_ledger(spark, sf_dir), "daily", MONTH)
 
 
+@query("Q12_trend_insight", ORACLE_SQL["A3_trend"])
+def trend_insight(spark, sf_dir):
+    return Q.insight(S.lineitem_ledger(spark, sf_dir), "trend", MONTH, months=24)
+
+
+@query("Q12_compare_insight", ORACLE_SQL["A7_compare_months"])
+def compare_insight(spark, sf_dir):
+    return Q.insight(S.lineitem_ledger(spark, sf_dir), "compare", MONTH)
+
+
+@query("Q12_merchants_insight", ORACLE_SQL["A6_top_merchants"].replace("FROM l1 WHERE is_expense", "FROM l1 WHERE txn_date BETWEEN DATE '1997-06-01' AND DATE '1997-06-30' AND is_expense"))
+def merchants_insight(spark, sf_dir):
+    return Q.insight(S.lineitem_ledger(spark, sf_dir), "top_merchants", MONTH)
+
+
 @query("T2_rate_windows", """WITH w AS (SELECT user_id, epoch(ts)::BIGINT AS sec FROM events), s AS (SELECT user_id, divide(sec, 86400) * 86400 - 86400 * k AS since FROM w, range(0, 7) AS r(k))
 SELECT user_id, make_timestamp(since * 1000000) AS since, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 10""")
 def rate_windows(spark, sf_dir):
