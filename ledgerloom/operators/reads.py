@@ -66,6 +66,21 @@ def statement_states(statements: DataFrame, rows: DataFrame) -> DataFrame:
     return both.withColumn("state", state)
 
 
+def statement_list(statements: DataFrame, accounts: DataFrame, extracted: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Live statements, each with its account's bank and type, how many rows were extracted (0 if unknown) and its newest job.
+
+    accounts: account_id (each once), bank_name, account_type; extracted: statement_id (each once), extracted_count, which is
+    what was read and not what reached the ledger; jobs: job_id, statement_id, created_at, state, progress. Of jobs of one
+    time the greatest job_id counts; a statement without a job stays, with nulls.
+    """
+    newest_job = F.max(F.struct("created_at", "job_id", "state", "progress")).alias("j")
+    last = jobs.where("statement_id is not null").groupBy("statement_id").agg(newest_job)
+    rows = live(statements).join(accounts.select("account_id", "bank_name", "account_type"), "account_id", "left")
+    rows = rows.join(extracted.select("statement_id", "extracted_count"), "statement_id", "left").join(last, "statement_id", "left")
+    job = {"job_id": F.col("j.job_id"), "job_state": F.col("j.state"), "progress": F.col("j.progress")}
+    return rows.withColumns({"extracted_count": F.coalesce("extracted_count", F.lit(0)), **job}).drop("j")
+
+
 def account_type(document_type: Column, known: Column) -> Column:
     """A card document wins, else the known type, else savings."""
     return F.when(document_type == "credit_card_statement", "credit_card").when(known.isin(*ACCOUNT_TYPES), known).otherwise("savings")

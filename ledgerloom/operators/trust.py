@@ -68,6 +68,19 @@ def reconcile(statements: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def balance_movement(lines: DataFrame) -> DataFrame:
+    """Lines with the confidence of amount and direction (0.90), and a warning and 0.50 for both where the balance moved by another amount.
+
+    A printed balance is held against the one printed before it in the statement; without either there is nothing to check.
+    """
+    before = Window.partitionBy("statement_id").orderBy("source_row").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.abs(F.col("balance_after") - F.last("balance_after", ignorenulls=True).over(before))
+    wrong = F.coalesce(moved != F.col("amount"), F.lit(False))
+    sure = F.when(F.col("_wrong"), F.lit("0.50")).otherwise(F.lit("0.90")).cast("decimal(3,2)")
+    warning = F.when(F.col("_wrong"), "balance_movement_mismatch")
+    return lines.withColumn("_wrong", wrong).withColumns({"amount_confidence": sure, "direction_confidence": sure, "warning": warning}).drop("_wrong")
+
+
 def validation_score() -> Column:
     """One score for all rows of a statement, over reconcile()'s columns."""
     exact = F.when(F.col("balance_checked") & F.col("balance_continuous"), _score("0.99")).when(F.col("balance_checked"), _score("0.70")).otherwise(_score("0.97"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy as V
 from ..operators import perimeter as P
+from ..operators import reads as D
 from ..operators import storage as B
 from ..operators import trust as T
 from ..sources import adapters as S
@@ -195,3 +196,32 @@ def storage_keys(spark, sf_dir):
     key = F.when(F.col("o_orderkey") % 4 != 0, F.concat_ws("/", F.col("o_custkey") % 7, F.col("o_orderkey")))
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 7).alias("tenant_id"), "o_orderkey", key.alias("storage_key"))
     return B.storage_keys(rows, 3).select("o_orderkey", "storage_key")
+
+
+@query(
+    "W4_balance_confidence",
+    f"""{L5}, b AS (SELECT *, last_value(balance_after IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY source_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS printed FROM l5_lines),
+w AS (SELECT *, coalesce(abs(balance_after - printed) <> amount, false) AS wrong FROM b)
+SELECT statement_id, source_row, CASE WHEN wrong THEN 0.5 ELSE 0.9 END::DECIMAL(3,2) AS amount_confidence, CASE WHEN wrong THEN 0.5 ELSE 0.9 END::DECIMAL(3,2) AS direction_confidence,
+  CASE WHEN wrong THEN 'balance_movement_mismatch' END AS warning FROM w""",
+)
+def balance_confidence(spark, sf_dir):
+    return T.balance_movement(S.statement_lines(spark, sf_dir)).select("statement_id", "source_row", "amount_confidence", "direction_confidence", "warning")
+
+
+@query(
+    "R1_J7_listed_statements",
+    f"""{L5}, c AS (SELECT statement_id, count(*) AS n FROM l5_lines WHERE statement_id % 17 <> 0 GROUP BY ALL),
+j AS (SELECT user_id AS statement_id, arg_max(event_id, (ts, event_id)) AS job_id, arg_max(event_type, (ts, event_id)) AS job_state FROM events WHERE user_id IS NOT NULL GROUP BY ALL)
+SELECT statement_id, page_count, c_name AS bank_name, c_mktsegment AS account_type, coalesce(n, 0) AS extracted_count, job_id, job_state, job_id % 100 AS progress
+FROM l5_statements LEFT JOIN customer ON c_custkey = account_id LEFT JOIN c USING (statement_id) LEFT JOIN j USING (statement_id) WHERE statement_id % 19 <> 0""",
+)
+def listed_statements(spark, sf_dir):
+    """Every event as a job of the statement that has its user's number; some statements are deleted, some have no health record."""
+    k = F.col("statement_id")
+    statements = S.statements(spark, sf_dir).withColumn("deleted_at", F.when(k % 19 == 0, F.lit("2024-01-01").cast("date")))
+    accounts = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("bank_name"), F.col("c_mktsegment").alias("account_type"))
+    extracted = S.statement_lines(spark, sf_dir).where(k % 17 != 0).groupBy("statement_id").agg(F.count("*").alias("extracted_count"))
+    jobs = _events(spark, sf_dir).select(F.col("event_id").alias("job_id"), F.col("user_id").alias("statement_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("state"), (F.col("event_id") % 100).alias("progress"))
+    rows = D.statement_list(statements, accounts, extracted, jobs)
+    return rows.select("statement_id", "page_count", "bank_name", "account_type", "extracted_count", "job_id", "job_state", "progress")

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import perimeter as P
+from ledgerloom.operators import reads, trust
 from ledgerloom.operators import storage as B
 
 AT = datetime(2024, 1, 28, 10)
@@ -101,3 +102,20 @@ def test_a_sweep_knows_the_objects_of_what_it_removed_also_when_run_again(spark,
         assert [tuple(r) for r in counts.collect()] == [("statements", 3)]
         assert sorted(r.storage_key for r in keys.collect()) == ["1/a", "x"]
     assert sorted(r.storage_key for r in B.storage_keys(table.read(spark), 2).collect()) == ["2/b", "2/c"]
+
+
+def test_a_balance_that_moved_by_another_amount_halves_the_confidence(spark):
+    rows = [(1, 1, "5.00", None), (1, 2, "5.00", "10.00"), (1, 3, "2.00", None), (1, 4, "3.00", "7.00"), (1, 5, "3.00", "5.00"), (2, 1, "9.00", "1.00")]
+    lines = spark.createDataFrame(rows, "statement_id long, source_row int, a string, b string").selectExpr("statement_id", "source_row", "cast(a as decimal(18,2)) amount", "cast(b as decimal(18,2)) balance_after")
+    got = {(r.statement_id, r.source_row): (str(r.amount_confidence), str(r.direction_confidence), r.warning) for r in trust.balance_movement(lines).collect()}
+    assert [k for k, v in got.items() if v == ("0.50", "0.50", "balance_movement_mismatch")] == [(1, 5)]
+    assert all(v == ("0.90", "0.90", None) for k, v in got.items() if k != (1, 5))
+
+
+def test_listed_statements_have_their_newest_job(spark):
+    statements = spark.createDataFrame([(1, 7, None), (2, 8, None), (3, 7, "2024-01-01")], "statement_id long, account_id long, deleted_at string")
+    accounts = spark.createDataFrame([(7, "Bank", "savings")], "account_id long, bank_name string, account_type string")
+    extracted = spark.createDataFrame([(1, 4)], "statement_id long, extracted_count long")
+    jobs = spark.createDataFrame([(10, 1, 5, "queued", 0), (11, 1, 5, "failed", 9), (12, 1, 4, "completed", 100), (13, None, 9, "queued", 0)], "job_id long, statement_id long, created_at long, state string, progress int")
+    rows = {r.statement_id: (r.bank_name, r.extracted_count, r.job_id, r.job_state, r.progress) for r in reads.statement_list(statements, accounts, extracted, jobs).collect()}
+    assert rows == {1: ("Bank", 4, 11, "failed", 9), 2: (None, 0, None, None, None)}
