@@ -47,6 +47,7 @@ def amount_outliers(ledger: DataFrame) -> DataFrame:
     median = money("median")
     size = F.when(F.col("amount") > median, "large").otherwise("small")
     who = F.coalesce("merchant", F.lit("an unnamed payee"))
+    # The sentences that are shown.
     reason = F.concat(grouped("amount"), F.lit(" at "), who, F.lit(" is unusually "), size, F.lit(" for "), "category", F.lit(", where you typically spend "), grouped(median), F.lit("."))
     found = scored.withColumn("robust_z", z.cast("decimal(18,2)")).where(F.col("robust_z") >= F.lit(Z_THRESHOLD).cast("decimal(4,2)"))
     return found.select(
@@ -67,6 +68,7 @@ def category_spikes(ledger: DataFrame) -> DataFrame:
     base = base.withColumn("baseline", money(F.col("sum").cast("decimal(20,2)") / F.col("months")))
     both = monthly.join(base, KEY).where("baseline > 0").withColumn("increase", F.col("total") - F.col("baseline"))
     both = both.where((F.col("total") >= F.col("baseline") * F.lit(SPIKE_RATIO).cast("decimal(4,1)")) & (F.col("increase") >= F.lit(SPIKE_MINIMUM).cast("decimal(8,2)")))
+    # The sentences that are shown.
     reason = F.concat(
         "category", F.lit(" came to "), grouped("total"), F.lit(" this month, against an average of "), grouped("baseline"),
         F.lit(" over the previous "), F.col("months").cast("string"), F.lit(" months — "), grouped("increase"), F.lit(" more than usual."),
@@ -89,6 +91,7 @@ def duplicate_charges(ledger: DataFrame, days: int = DUPLICATE_DAYS) -> DataFram
     # Each of the next days by equality, so that a hot amount does not meet all of its rows.
     both = left.join(right, ["tenant_id", "merchant", "amount", "direction", "right_date"]).where("left_id <> right_id")
     gap = F.datediff("right_date", "left_date").cast("string")
+    # The sentences that are shown.
     reason = F.concat(
         "merchant", F.lit(" charged "), grouped("amount"), F.lit(" twice within "), gap,
         F.lit(" day(s). This may be a genuine repeat purchase, or a double charge worth checking."),
@@ -138,6 +141,7 @@ def first_seen_large(ledger: DataFrame) -> DataFrame:
     counts = spent.groupBy("tenant_id", "amount", step.alias("step"), from_month.alias("since")).agg(F.count("*").alias("n"))
     medians = _medians_before(months, counts).where("median > 0")
     large = fresh.join(medians, ["tenant_id", "month"]).where(F.col("amount") >= F.col("median") * F.lit(FIRST_SEEN_MULTIPLE).cast("decimal(4,1)"))
+    # The sentences that are shown.
     reason = F.concat(F.lit("First payment to "), "merchant", F.lit(", for "), grouped("amount"), F.lit(" — well above your typical transaction of "), grouped("median"), F.lit("."))
     return large.select(
         "tenant_id", "month", F.lit("merchant_first_large").alias("kind"), F.col("txn_date").alias("detected_on"), "txn_id", "category", "merchant",

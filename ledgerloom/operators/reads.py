@@ -139,6 +139,7 @@ def explanation(source: Column, merchant: Column, category: Column, detail: Colu
     """Why a row has its category, by what decided it. detail: the alias, the matched text, the samples or the model; score: the model's."""
     who, what = F.coalesce(merchant, F.lit("this transaction")), F.coalesce(category, F.lit("Other"))
     quoted = lambda before: F.when(F.coalesce(detail, F.lit("")) != "", F.concat(F.lit(before), detail, F.lit('"'))).otherwise("")
+    # The sentences that are shown.
     sentences = {
         "user_rule": F.concat(F.lit("You set this. "), who, F.lit(" → "), what, F.lit(".")),
         "verified_merchant_rule": F.concat(F.lit("Recognised "), who, F.lit(" in the merchant dictionary"), quoted(' — the statement said "'), F.lit(", which is categorised as "), what, F.lit(".")),
@@ -163,6 +164,7 @@ def findings(anomalies: DataFrame, budgets: DataFrame, month: date, most: int =
     odd = anomalies.where(F.col("month") == first).withColumn("ref", F.coalesce("txn_id", "category")).withColumn("n", F.row_number().over(largest)).where(F.col("n") <= most)
     odd = odd.select("tenant_id", F.lit("anomaly_detected").alias("kind"), F.lit("Something stands out").alias("title"), F.col("reason").alias("body"), F.col("ref").alias("resource"))
     over = budgets.where("state = 'exceeded'")
+    # The sentences that are shown.
     body = F.concat(F.lit("₹"), F.col("spent").cast("string"), F.lit(" spent against a ₹"), F.col("amount").cast("string"), F.lit(" budget this month."))
     key = monthly_key("budget", F.concat_ws(":", "tenant_id", "category"), first)
     over = over.select("tenant_id", F.lit("budget_breach").alias("kind"), F.concat("category", F.lit(" is over budget")).alias("title"), body.alias("body"), key.alias("resource"))

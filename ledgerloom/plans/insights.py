@@ -32,6 +32,7 @@ def monthly_insight(ledger: DataFrame, subs: DataFrame, month: date) -> DataFram
     for part in (earlier, largest, grown, biggest, load):
         rows = rows.join(part, "tenant_id", "left")
     change = F.col("net_expenses") - F.coalesce("was", F.lit(0))
+    # The sentences that are shown.
     both = F.concat_ws(
         ", and ",
         F.when(F.col("untrusted") > 0, F.concat("untrusted", F.lit(" transactions came from statements that have not reconciled"))),
