@@ -143,13 +143,13 @@ def canonical_json(spark, sf_dir):
 @query("S21_O6_csv_export", "SELECT o_orderkey::VARCHAR AS txn_id, o_orderdate::DATE::VARCHAR AS txn_date, o_totalprice::DECIMAL(18,2)::VARCHAR AS amount, CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS is_verified FROM orders WHERE o_orderdate::DATE = DATE '1995-03-15'")
 def csv_export(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("date(o_orderdate) = date '1995-03-15'")
-    return J.csv_columns(J.gather_export(_exported(rows)))
+    return J.csv_columns(J.gather_export(_exported(rows), cap=None))
 
 
 @query("S22_S24_json_export", """SELECT '{"txn_id":"' || o_orderkey || '","txn_date":"' || o_orderdate::DATE || '","amount":"' || o_totalprice::DECIMAL(18,2) || '","is_verified":' || (o_orderstatus = 'F') || '}' AS line FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) = 3""")
 def json_export(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("trunc(o_orderdate, 'MM') = date '1995-03-01'")
-    return J.json_columns(J.gather_export(_exported(rows))).select(F.to_json(F.struct("*")).alias("line"))
+    return J.json_columns(J.gather_export(_exported(rows), cap=None)).select(F.to_json(F.struct("*")).alias("line"))
 
 
 def _exported(rows):
