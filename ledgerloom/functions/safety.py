@@ -158,11 +158,22 @@ def log_record(allowed: list[str], exempt: list[str]):
     return F.pandas_udf(lambda texts: texts.map(written), T.StringType())
 
 
+_WORD, _BLANK = "[A-Za-z0-9_]", r"\t\n\f\r "
+_AS_ASCII = {r"\b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))", r"\s": f"[{_BLANK}]", "s": "[s\u017f]", "k": "[k\u212a]"}
+
+
+def _portable(pattern: str) -> str:
+    """An injection pattern for Java's engine, to the sense it has in RE2 whatever the Java version: ends of words and blanks are
+    ASCII's, a dot passes all but a line feed, and letters in either case include the long s and the Kelvin sign."""
+    piece = lambda m: m[0].replace(r"\s", _BLANK) if m[0][0] == "[" else _AS_ASCII.get(m[0].lower(), m[0])
+    return "(?id)" + re.sub(r"\\.|\[(?:\\.|[^\]])*\]|[sSkK]", piece, pattern)
+
+
 def injection_reason(text: Column) -> Column:
     """Why a text must not reach a model, or null; the first reason wins."""
     found = F.when(text.rlike("[\\x00-\\x1F\\u200B-\\u200F]"), "hidden_characters")
     for name, pattern in reversed(INJECTIONS):
-        found = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(found)
+        found = F.when(text.rlike(_portable(pattern)), name).otherwise(found)
     return F.when((text != ""), F.when(F.char_length(text) > LONGEST_SAFE, "oversized_text").otherwise(found))
 
 
