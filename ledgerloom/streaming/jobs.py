@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "review_required")
@@ -23,6 +23,11 @@ def job_progress(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return latest.select("job_id", "last.seq", "last.occurred_at", "last.state", F.col("last.state").isin(*TERMINAL).alias("closed"))
 
 
+def whole_second(c: str) -> Column:
+    """The second nearest to a time, as seconds since 1970; halves go to the even one, as SQL casts them."""
+    return F.rint(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000).cast("long")
+
+
 def rate_windows(events: DataFrame, key: str, length: str = "60 seconds", slide: str = "10 seconds", limit: int = 30, delay: str = "5 minutes") -> DataFrame:
     """Sliding windows in which a key has more events than the limit."""
     counted = events.withWatermark("ts", delay).groupBy(F.window("ts", length, slide), key).agg(F.count("*").alias("n"))
