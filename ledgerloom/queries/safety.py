@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import narration as T
 from ..functions import safety as D
+from ..streaming import jobs
 from .registry import query
 
 
@@ -128,7 +129,7 @@ def latest_per_key(spark, sf_dir):
     "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events",
 )
 def sliding_rate(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", jobs.whole_second("ts"))
     return rows.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("at").rangeBetween(-3600, 0)).alias("n"))
 
 
