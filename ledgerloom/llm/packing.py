@@ -25,6 +25,8 @@ from .tokens import coder, slices, vocabulary_path
 CAPACITY = 4096
 END_ID = 1
 PIECES_A_PARTITION = 20_000
+#: Words that a worker's cache holds here: six workers stay within the memory that a pipeline's other stages leave.
+CACHE_WORDS = 500_000
 ROUNDS = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,6 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = coder(vocabulary, False)
+        encoder.most = CACHE_WORDS
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             made = []

@@ -17,7 +17,8 @@ from collections.abc import Iterable
 from functools import cache
 
 
-#: Words after which a worker starts a new cache; they take about 300 bytes each.
+#: Words that a worker's cache holds at most; they take about 300 bytes each. Half of them are the newest, and when these are full
+#: they take the place of the older half, of which words that came again are among the newest.
 CACHE_WORDS = 1_400_000
 #: New words that are encoded in one call.
 BATCH_WORDS = 20_000
@@ -90,6 +91,7 @@ class WordCoder:
         self.apart: dict[bytes, bytes] = {}  # ids of marks and of words at the start of a line
         self.lowers = self.library([b"LEDGER"]) == self.library([b"ledger"])
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = CACHE_WORDS
 
     def library(self, texts: list[bytes], ordinary: bool = False) -> list[bytes]:
@@ -177,12 +179,15 @@ class WordCoder:
         ids = [list(map(self.known.get, words)) for words in cut]
         holes = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in ids]
         if any(holes):
-            self.learn({words[i] for words, at in zip(cut, holes, strict=True) for i in at})
+            new = {words[i] for words, at in zip(cut, holes, strict=True) for i in at}
+            again = new.intersection(self.older)
+            self.known.update(zip(again, map(self.older.get, again), strict=True))
+            self.learn(new - again)
             for words, found, at in zip(cut, ids, holes, strict=True):
                 for i in at:
                     found[i] = self.known[words[i]]
-        if len(self.known) + len(self.apart) > self.most:
-            self.known, self.apart = {}, {}
+        if len(self.known) + len(self.apart) > self.most // 2:
+            self.known, self.older, self.apart = {}, self.known, {}
         return [h + b"".join(x) for h, x in zip(heads, ids, strict=True)]
 
 
