@@ -227,15 +227,14 @@ def normalize_merchants(rows: DataFrame, aliases: DataFrame, key: str, text: str
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.upper("alias"), "[^A-Z0-9 ]+", " "), r"\s+", " "))
     aliases = aliases.select(flat.alias("alias"), "slug", "name").where("alias <> ''").withColumn("word", F.substring_index("alias", " ", 1))
 
-    def best(hay: Column, name: str) -> DataFrame:
-        words = rows.select(key, hay.alias("hay")).where("hay <> ''")
-        words = words.select(key, "hay", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
-        hits = words.join(aliases, "word").where(F.contains(F.concat(F.lit(" "), "hay", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" "))))
-        order = Window.partitionBy(key).orderBy(F.desc(F.length("alias")), "alias", "slug")
-        return hits.withColumn("n", F.row_number().over(order)).where("n = 1").select(key, F.struct("alias", "slug", "name").alias(name))
-
-    by_text, by_address = best(haystack(text), "hit"), best(haystack(F.coalesce(upi_name(text), F.lit(""))), "vpa")
-    rows = rows.join(by_text, key, "left").join(by_address, key, "left").withColumn("rail", payment_rail(text))
+    # The narration's words and its address's in one pass, so that rows meet their aliases over one exchange.
+    hays = F.array(F.struct(F.lit(True).alias("whole"), haystack(text).alias("hay")), F.struct(F.lit(False).alias("whole"), haystack(F.coalesce(upi_name(text), F.lit(""))).alias("hay")))
+    words = rows.select(key, F.inline(F.filter(hays, lambda h: h["hay"] != "")))
+    words = words.select(key, "whole", "hay", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
+    hits = words.join(aliases, "word").where(F.contains(F.concat(F.lit(" "), "hay", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" "))))
+    hit = F.struct((-F.length("alias")).alias("less"), "alias", "slug", "name")
+    best = hits.groupBy(key).agg(F.min(F.when(F.col("whole"), hit)).alias("hit"), F.min(F.when(~F.col("whole"), hit)).alias("vpa"))
+    rows = rows.join(best, key, "left").withColumn("rail", payment_rail(text))
     no_merchant = F.col("hit").isNull() & F.col("rail").isin(*NO_MERCHANT_RAILS)
     open_ = F.col("hit").isNull() & ~no_merchant & F.col("vpa").isNull()
     rows = rows.withColumn("hay", F.when(open_, F.nullif(residue(text), F.lit(""))))
