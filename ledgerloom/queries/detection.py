@@ -10,6 +10,7 @@ from ..operators import anomaly as N
 from ..operators import recurring as R
 from ..plans import insights as I
 from ..sources import adapters as S
+from ..streaming import tables as W
 from .ledger import BREAKDOWN, L1, MONTH, SUMS
 from .registry import ORACLE_SQL, query
 
@@ -121,7 +122,7 @@ def first_seen_large(spark, sf_dir):
 
 @query("A13_anomaly_sweep")
 def sweep(spark, sf_dir):
-    return N.sweep(S.lineitem_ledger(spark, sf_dir))
+    return N.sweep(W.kept(S.lineitem_ledger(spark, sf_dir), "swept"))
 
 
 @query(

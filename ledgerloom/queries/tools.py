@@ -10,6 +10,7 @@ from ..operators import categorize as C
 from ..plans import tools as Q
 from ..sources import adapters as S
 from ..sources import statement_json as J
+from ..streaming import tables as W
 from .ledger import L1, NET, RATE, SUMMARY
 from .registry import ORACLE_SQL, query
 
@@ -57,7 +58,7 @@ def q6(spark, sf_dir):
 
 @query("Q7_get_anomalies")
 def q7(spark, sf_dir):
-    return Q.get_anomalies(S.lineitem_ledger(spark, sf_dir), MONTH)
+    return Q.get_anomalies(W.kept(S.lineitem_ledger(spark, sf_dir), "swept"), MONTH)
 
 
 APRIL_TO_MAY = COMPARE_SQL.replace("1997-05-01", "1997-04-01").replace("1997-06-01", "1997-05-01")

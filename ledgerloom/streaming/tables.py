@@ -38,6 +38,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of the shared folder, for what reads them many times."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @contextmanager
 def keyed_state(spark: SparkSession):
     """Holds the session to the state store that processors with timers and lists need, and gives the caller's setting back."""
