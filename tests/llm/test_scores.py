@@ -157,6 +157,24 @@ def test_block_max_index_finds_the_exact_neighbours():
         assert np.allclose(cosine[q == i], dots[want])
 
 
+def test_common_terms_lie_as_rows_of_a_matrix_and_not_in_the_lists():
+    rng = np.random.default_rng(1)
+    common = np.where(rng.random((400, 60)) < 0.5, rng.random((400, 60)), 0)
+    rare = np.where(rng.random((400, 900)) < 0.01, 3 * rng.random((400, 900)), 0)
+    dense = np.hstack([rare, common])
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    row, term = np.nonzero(dense)
+    ids, lengths = rng.permutation(400), np.bincount(row, minlength=400)
+    index = toxicity.BlockMaxIndex(ids, term, row, dense[row, term], 960, block=16)
+    assert len(index.weight) == np.count_nonzero(rare) and len(index.matrix) == 60
+    q, near, cosine = index.nearest(term, dense[row, term], lengths, 5)
+    for i in range(0, 400, 7):
+        dots = dense @ dense[i]
+        want = [k for k in np.lexsort((ids, -np.round(dots, 9))) if dots[k] > 0][:5]
+        assert index.ids[near[q == i]].tolist() == ids[want].tolist()
+        assert np.allclose(cosine[q == i], dots[want])
+
+
 def test_toxicity_equals_a_dense_brute_force(spark):
     docs, labels = corpus(150, seed=3)
     docs += [(1000, ""), (1001, None), (1002, "scumbag " * 30_000), (1003, "zzz yyy xxx")]
