@@ -25,8 +25,8 @@ from .tokens import coder, slices, vocabulary_path
 CAPACITY = 4096
 END_ID = 1
 PIECES_A_PARTITION = 20_000
-#: Words that a worker's cache holds here: six workers stay within the memory that a pipeline's other stages leave.
-CACHE_WORDS = 500_000
+#: Words that a worker holds here, in some 50 bytes each: its memory stays within what a pipeline's other stages leave.
+CACHE_WORDS = 1_500_000
 ROUNDS = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

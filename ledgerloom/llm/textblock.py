@@ -139,7 +139,11 @@ def sequences(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray,
     return mixed(total[whole]), doc[:count][whole]
 
 
-def text_blocks(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
+#: Bytes of texts that lie in one block: some fifty times that is held at once, powers of the key's bases included.
+TEXT_BYTES = 250_000
+
+
+def text_blocks(texts: pa.Array, most: int = TEXT_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """First, past-last and bytes of consecutive texts of a binary array, about ``most`` bytes or one text at a time."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0]
     start = 0

@@ -16,10 +16,13 @@ from array import array
 from collections.abc import Iterable
 from functools import cache
 
+import numpy as np
 
-#: Words that a worker's cache holds at most; they take about 300 bytes each. Half of them are the newest, and when these are full
-#: they take the place of the older half, of which words that came again are among the newest.
-CACHE_WORDS = 1_400_000
+from .textblock import NOT_WHITE, TEXT_BYTES, U64, TextBlock, new_key
+
+#: Words that a worker's stores hold at most. Half of them are the newest, and when these are full they take the place of
+#: the older half, of which words that came again are among the newest. Words are held by hashes whose key each worker draws.
+CACHE_WORDS = 3_000_000
 #: New words that are encoded in one call.
 BATCH_WORDS = 20_000
 
@@ -90,8 +93,9 @@ class WordCoder:
         self.keeps_space = keeps_space
         self.apart: dict[bytes, bytes] = {}  # ids of marks and of words at the start of a line
         self.lowers = self.library([b"LEDGER"]) == self.library([b"ledger"])
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.key = new_key()
+        self.known: list[Store] = []
+        self.older: list[Store] = []
         self.most = CACHE_WORDS
 
     def library(self, texts: list[bytes], ordinary: bool = False) -> list[bytes]:
@@ -122,12 +126,6 @@ class WordCoder:
             ids[i] = x
         return ids
 
-    def words(self, text: bytes) -> list[bytes]:
-        """The text's words; where they keep their space, the first stands without one, and a newline begins a word."""
-        if not self.keeps_space:
-            return (text.lower() if self.lowers else text).split()
-        return text.replace(b"\n", b" \n").split(b" ") if plain_space(text) else [text]
-
     def parts(self, word: bytes) -> list[bytes]:
         """The word, and its last marks apart where both tokenizers part them."""
         base = word.rstrip(MARKS)
@@ -139,20 +137,48 @@ class WordCoder:
                 return [word]
         return [base, word[len(base) :]]
 
-    def learn(self, new: set[bytes]) -> None:
-        """Takes in words; in those that begin with a newline it stands for itself and no space follows."""
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words, and of the words that some are made of; a newline stands for itself and no space follows it."""
+        new = set(words)
         lines = {w: [b"\n", *self.parts(w[1:])] for w in new if w[:1] == b"\n"} if self.keeps_space else {}
         cut = {w: p for w in new.difference(lines) if len(p := self.parts(w)) > 1}
-        first = (new.difference(cut, lines) | {p[0] for p in cut.values()}).difference(self.known)
-        after = ({x for p in cut.values() for x in p[1:]} | {x for p in lines.values() for x in p}).difference(self.apart)
-        for known, words, space in ((self.known, list(first), b" " if self.keeps_space else b""), (self.apart, list(after), b"")):
-            for i in range(0, len(words), BATCH_WORDS):
-                part = words[i : i + BATCH_WORDS]
-                known.update(zip(part, self.encode_words(part, space), strict=True))
+        known = self._met({p[0] for p in cut.values()})
+        first = list((new.difference(cut, lines) | {p[0] for p in cut.values()}).difference(known))
+        after = list(({x for p in cut.values() for x in p[1:]} | {x for p in lines.values() for x in p}).difference(self.apart))
+        made: dict[bytes, bytes] = {}
+        for ids, group, space in ((made, first, b" " if self.keeps_space else b""), (self.apart, after, b"")):
+            for i in range(0, len(group), BATCH_WORDS):
+                part = group[i : i + BATCH_WORDS]
+                ids.update(zip(part, self.encode_words(part, space), strict=True))
         for w, p in cut.items():
-            self.known[w] = self.known[p[0]] + b"".join([self.apart[x] for x in p[1:]])
+            made[w] = (made[p[0]] if p[0] in made else known[p[0]]) + b"".join([self.apart[x] for x in p[1:]])
         for w, p in lines.items():
-            self.known[w] = b"".join([self.apart[x] for x in p])
+            made[w] = b"".join([self.apart[x] for x in p])
+        return made
+
+    def _met(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of those of the words that are in a store."""
+        words = list(words)
+        h = self._hashes(words)
+        order = np.argsort(h)
+        n, ids = _found([*self.known, *self.older], h[order])
+        ends, held = np.cumsum(n), ids.tobytes()
+        return {words[i]: held[4 * (e - k) : 4 * e] for i, e, k in zip(order.tolist(), ends.tolist(), n.tolist(), strict=True) if k}
+
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        return self._hashed(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends)
+
+    def _hashed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words from start to end, some of a long text's at a time."""
+        found, i = [np.zeros(0, U64)], 0
+        while i < len(start):
+            j = max(int(np.searchsorted(end, start[i] + 2 * TEXT_BYTES, "right")), i + 1)
+            block = TextBlock([data[start[i] : end[j - 1]].tobytes()], key=self.key)
+            found.append(block.sure_hashes(start[i:j] - start[i], end[i:j] - start[i]))
+            i = j
+        return np.concatenate(found)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Millions of short-lived objects, none in cycles, are no work for the garbage collector."""
@@ -171,24 +197,80 @@ class WordCoder:
         return [b"".join([self.added[x] if k % 2 else next(ids) for k, x in enumerate(parts)]) for parts in cut]
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [self.words(t) for t in texts]
+        return [x for own in slices(texts, TEXT_BYTES) for x in self._encode_block(texts[own])]
+
+    def _encode_block(self, texts: list[bytes]) -> list[bytes]:
+        """Words are looked up by their hashes, each distinct one of the block once."""
         heads = [b""] * len(texts)
-        if self.keeps_space:
-            heads = self.library([words[0] for words in cut], True)
-            cut = [words[1:] for words in cut]
-        ids = [list(map(self.known.get, words)) for words in cut]
-        holes = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in ids]
-        if any(holes):
-            new = {words[i] for words, at in zip(cut, holes, strict=True) for i in at}
-            again = new.intersection(self.older)
-            self.known.update(zip(again, map(self.older.get, again), strict=True))
-            self.learn(new - again)
-            for words, found, at in zip(cut, ids, holes, strict=True):
-                for i in at:
-                    found[i] = self.known[words[i]]
-        if len(self.known) + len(self.apart) > self.most // 2:
-            self.known, self.older, self.apart = {}, self.known, {}
-        return [h + b"".join(x) for h, x in zip(heads, ids, strict=True)]
+        if self.keeps_space:  # the first word stands without a space, and a newline begins a word; other texts go whole
+            plain = [t.replace(b"\n", b" \n") if plain_space(t) else None for t in texts]
+            heads = self.library([t if p is None else p.partition(b" ")[0] for t, p in zip(texts, plain, strict=True)], True)
+            words = np.array([1 if p is None else p.count(b" ") + 1 for p in plain])
+            block = TextBlock([b" ".join([p or b"" for p in plain])])
+            space = np.flatnonzero(block.data == 0x20)
+            later = np.ones(len(space) + 1, bool)
+            later[np.cumsum(words) - words] = False
+            start, end, words = np.r_[0, space + 1][later], np.r_[space, len(block.data) - 1][later], words - 1
+        else:
+            block = TextBlock(texts, lower=self.lowers)
+            start, end, doc = block.words(NOT_WHITE)
+            words = np.bincount(doc, minlength=len(texts))
+        h, place, of = np.unique(self._hashed(block.data, start, end), return_index=True, return_inverse=True)
+        n, ids = _found(self.known, h)
+        if len(new := np.flatnonzero(n == 0)):
+            again_n, again = _found(self.older, h[new])
+            fresh, data = new[again_n == 0], block.data.tobytes()
+            named = [data[a:b] for a, b in zip(start[place[fresh]].tolist(), end[place[fresh]].tolist(), strict=True)]
+            made = self.learn(named)
+            own = [made.pop(w) for w in named]
+            self._take(h[new[again_n > 0]], again_n[again_n > 0], again)
+            self._take(h[fresh], np.fromiter(map(len, own), np.int64, len(own)) // 4, np.frombuffer(b"".join(own), "<u4"))
+            rest = self._hashes(list(made))
+            order = np.argsort(rest)
+            own = [x for _, x in sorted(zip(rest.tolist(), made.values(), strict=True))]
+            self._take(rest[order], np.fromiter(map(len, own), np.int64, len(own)) // 4, np.frombuffer(b"".join(own), "<u4"))
+            n, ids = _found(self.known, h)
+        at = np.cumsum(n) - n
+        held = ids[_ranges(at[of], n[of])].astype("<u4").tobytes()
+        ends = 4 * np.r_[0, np.cumsum(n[of])][np.r_[0, np.cumsum(words)]]
+        if sum(len(s[0]) for s in self.known) + len(self.apart) > self.most // 2:
+            self.known, self.older, self.apart = [], self.known, {}
+        return [x + held[a:b] for x, a, b in zip(heads, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _take(self, h: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """Adds words as a store of their own; stores of like sizes become one, so there are few."""
+        if len(h):
+            self.known.append((h, n.astype(np.int32), np.cumsum(n) - n, ids))
+        while len(self.known) > 1 and len(self.known[-2][0]) < 2 * len(self.known[-1][0]):
+            two = self.known[-2:]
+            h = np.concatenate([s[0] for s in two])
+            order = np.argsort(h, kind="stable")
+            n, at = np.concatenate([s[1] for s in two])[order], np.r_[two[0][2], two[1][2] + len(two[0][3])][order]
+            self.known[-2:] = [(h[order], n, at, np.concatenate([s[3] for s in two]))]
+
+
+#: Words in the order of their hashes: hash, number of ids, place of the first one, and the ids.
+Store = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from each start on, one after another."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def _found(stores: list[Store], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each hash has in the stores (0: none holds it), and these ids one after another. h is in order."""
+    n, where, parts, before = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), [np.zeros(0, "<u4")], 0
+    todo = np.arange(len(h))
+    for hashes, counts, at, ids in stores:
+        place = np.minimum(np.searchsorted(hashes, h[todo]), len(hashes) - 1)
+        hit = hashes[place] == h[todo]
+        place, own, todo = place[hit], todo[hit], todo[~hit]
+        n[own] = counts[place]
+        parts.append(ids[_ranges(at[place], n[own])])
+        where[own] = before + np.cumsum(n[own]) - n[own]
+        before += len(parts[-1])
+    return n, np.concatenate(parts)[_ranges(where, n)]
 
 
 @cache

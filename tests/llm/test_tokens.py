@@ -52,6 +52,19 @@ def test_added_tokens_encode_as_by_an_untouched_tokenizer(name, keeps):
         assert np.frombuffer(coder.encode([texts[0].encode()])[0], "<u4").tolist() == [437, 286, 2393, 220, 50256, 1306]
 
 
+@pytest.mark.parametrize("name, keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_are_held_in_few_bytes_and_long_texts_in_parts(monkeypatch, name, keeps):
+    coder = tokens.WordCoder(tokens.vocabulary_path(name), keeps)
+    texts = [b" ".join(b"word%d, x%dy" % (i, i * i) for i in range(k, k + 4_000)) for k in (0, 4_000)]
+    assert coder.encode(texts) == coder.library(texts)
+    held = [len(s[0]) for s in coder.known]
+    assert sum(held) >= 16_000 and len(held) < 12
+    assert sum(x.nbytes for s in coder.known for x in s) < 50 * sum(held)
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 1_000)
+    more = [t.replace(b"word", b"\nword") + b"  end\n" for t in texts] + [b"", b" a \n b", b"\n\nx "]
+    assert coder.encode(more) == coder.library(more)
+
+
 def test_a_full_cache_starts_anew():
     coder = tokens.WordCoder(tokens.vocabulary_path("word_bpe_49k.json"), False)
     coder.most = 3
