@@ -11,7 +11,14 @@ from ..streaming import jobs
 from .registry import query
 
 
+#: Rows of whole texts that go to a Python worker at once, which bounds a worker's memory whatever a partition holds.
+TEXTS_A_BATCH = 1_000
+
+
 def _docs(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS_A_BATCH:
+        spark.conf.set(key, TEXTS_A_BATCH)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
