@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import quality_classifier, quality_rules, sharding, toxicity
-from ledgerloom.llm.textblock import U64
+from ledgerloom.llm.textblock import U64, text_blocks
 from tests.llm import cases
 
 SOURCED = "text string, doc_id long, source string, size string"
@@ -157,6 +158,18 @@ def test_block_max_index_finds_the_exact_neighbours():
         assert np.allclose(cosine[q == i], dots[want])
 
 
+def test_texts_go_in_small_blocks_and_scores_do_not_depend_on_them():
+    texts = [b"Some words %d of text " % i * 40 for i in range(1_000)]
+    blocks = list(text_blocks(pa.array(texts, pa.binary())))
+    assert b"".join(t for _, _, own in blocks for t in own) == b"".join(texts)
+    assert max(sum(map(len, own)) for _, _, own in blocks) < 300_000
+    model = quality_classifier.Model([], np.zeros(0), {})
+    model.slope = 1.0
+    model.ratios, model.weights = np.random.default_rng(0).normal(size=(2, 1 << quality_classifier.BITS)).astype(np.float32)
+    whole = model.scores(texts)
+    assert np.array_equal(np.concatenate([model.scores(own) for _, _, own in blocks]), whole) and len(set(whole.tolist())) > 1
+
+
 def test_common_terms_lie_as_rows_of_a_matrix_and_not_in_the_lists():
     rng = np.random.default_rng(1)
     common = np.where(rng.random((400, 60)) < 0.5, rng.random((400, 60)), 0)
