@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +41,14 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(_ratio(one, two), _ratio(both, one) if both else 0.0, _ratio(both, two) if both else 0.0)
 
 
-@F.pandas_udf(T.DoubleType())
-def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = zip(a.fillna("").str.upper(), b.fillna("").str.upper(), strict=True)
-    return pd.Series([token_set_ratio(x, y) for x, y in pairs], dtype=float)
+def _scores(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([token_set_ratio((x or "").upper(), (y or "").upper()) for x, y in pairs], pa.float64())
+
+
+#: Called nondeterministic so that a filter on the score is not pushed below it: it would be computed anew for the rows that
+#: pass, by a second Python worker of each task.
+token_set_score = F.arrow_udf(_scores, T.DoubleType()).asNondeterministic()
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
