@@ -14,7 +14,8 @@ from .trust import AUTO_APPROVE_AT, FLAG_AT
 
 HISTORY_THRESHOLD = 3
 HISTORY_CONFIDENCE = "0.90"
-NEAR_DUPLICATES = 5
+#: First rows of texts of one key that one task holds against the rows of that key.
+TEXTS_A_SLICE = 1_000
 
 
 def pending(rows: DataFrame) -> DataFrame:
@@ -144,18 +145,26 @@ def rule_list(rules: DataFrame, categories: DataFrame, subcategories: DataFrame)
 def near_duplicates(batch: DataFrame, ledger: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:
     """Rows of the batch with a ledger row of equal account, date, amount and direction whose narration is nearly the same.
 
-    The first five such rows by id are looked at, and the first that passes is named. Such rows are flagged, never dropped.
+    All such rows with another fingerprint are looked at, and the first by id that passes is named. Such rows are flagged,
+    never dropped. Equal narrations of a key stand for each other, so a row meets each of them once, in slices of a key that
+    has many of them.
     """
     key = ["tenant_id", "account_id", "txn_date", "amount", "direction"]
-    old = ledger.select(*key, F.col("txn_id").alias("like_id"), F.col("fingerprint").alias("old_print"), F.col("description").alias("old_text"))
-    # A row passes over one fingerprint, its own. With five rows at most of each, the first ten of a key hold its first five others.
-    for of, most in (([*key, "old_print"], NEAR_DUPLICATES), (key, 2 * NEAR_DUPLICATES)):
-        old = old.withColumn("n", F.row_number().over(Window.partitionBy(*of).orderBy("like_id"))).where(F.col("n") <= most).drop("n")
-    both = batch.select(*key, "txn_id", "fingerprint", "description").join(old, key).where("fingerprint <> old_print")
-    by_id = Window.partitionBy("tenant_id", "txn_id").orderBy("like_id")
-    both = both.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= NEAR_DUPLICATES)
-    both = both.withColumn("score", similarity("description", "old_text")).where(F.col("score") >= floor)
-    return both.groupBy("tenant_id", "txn_id").agg(F.min_by("like_id", "n").alias("like_id"), F.min_by("score", "n").alias("score"))
+    old = ledger.where("fingerprint is not null").select(*key, F.col("txn_id").alias("like_id"), F.col("fingerprint").alias("old_print"), F.coalesce("description", F.lit("")).alias("old_text"))
+    # A row passes over one fingerprint, its own: of each text the first row and the first of another fingerprint are enough.
+    so_far = Window.partitionBy(*key, "old_text").orderBy("like_id").rowsBetween(Window.unboundedPreceding, 0)
+    other = F.col("old_print") != F.col("print")
+    old = old.withColumns({"n": F.count("*").over(so_far), "print": F.first("old_print").over(so_far)}).withColumn("others", F.count_if(other).over(so_far))
+    old = old.where((F.col("n") == 1) | (other & (F.col("others") == 1))).drop("n", "print", "others")
+    old = old.withColumn("slices", F.ceil(F.count("*").over(Window.partitionBy(*key)) / TEXTS_A_SLICE).cast("int"))
+    new = batch.select(*key, "txn_id", "fingerprint", F.coalesce("description", F.lit("")).alias("text"))
+    hot = old.where("slices > 1").withColumn("slice", F.expr("pmod(xxhash64(old_text), slices)"))
+    asked = new.join(hot.groupBy(*key).agg(F.max("slices").alias("of")), key).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    pairs = [new.join(old.where("slices = 1"), key), asked.join(hot, [*key, "slice"])]
+    pairs = [p.where("fingerprint <> old_print").select("tenant_id", "txn_id", "text", "like_id", "old_text") for p in pairs]
+    both = pairs[0].unionByName(pairs[1]).withColumn("score", similarity("text", "old_text")).where(F.col("score") >= floor)
+    first = both.groupBy("tenant_id", "txn_id").agg(F.min(F.struct("like_id", (-F.col("score")).alias("less"))).alias("of"))
+    return first.select("tenant_id", "txn_id", "of.like_id", (-F.col("of.less")).alias("score"))
 
 
 PAIRED = "fixture string, expected_row long, extracted_row long"
