@@ -72,11 +72,11 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 def sketch(tokens: np.ndarray) -> bytes:
     """How many shingles fall into each of some bins, the more the larger the set, by the leading bits of a hash.
 
-    Two sets differ in as many shingles at least as their counts do.
+    Two sets differ in as many shingles at least as their counts do, also where counts end at 255 (a bin has some eight).
     """
     bits = max(6, (len(tokens) >> 3).bit_length())
     at = (mixed(tokens ^ U64(0x2545F4914F6CDD1D)) >> U64(64 - bits)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=1 << bits), 65_535).astype("<u2").tobytes()
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 @cache
@@ -201,7 +201,9 @@ def _near_sets(docs: DataFrame, sketches: DataFrame, n: int, key: int, common: n
     rows = signs.withColumns({"before": before, "least": F.min("node").over(part), "most": F.max("node").over(part)})
     # One row for each set and part, where the part has other sets too.
     rows = rows.where("least <> most and (before is null or before <> node)")
-    rows = rows.select("sign", "node").join(sketches, "node")
+    # Near copies share most of their parts: parts with the same sets are one, and only it meets the sketches.
+    rows = rows.select(F.bit_xor(F.xxhash64("node")).over(part).alias("sign"), "node").distinct()
+    rows = cut_lineage(rows, "parts").join(sketches, "node")
     rows = rows.repartition("sign").sortWithinPartitions("sign", "node")
     return rows.mapInArrow(_near(num, den), "a long, b long").where("a <> b").distinct()
 
@@ -220,8 +222,8 @@ def _near(num: int, den: int):
         if len(nodes) > NEAR:
             yield from ((x, nodes[0]) for x in nodes[1:])
             return
-        width = min(map(len, sketches)) // 2
-        bins = np.stack([np.frombuffer(x, "<u2").astype(np.int32).reshape(width, -1).sum(axis=1) for x in sketches])
+        width = min(map(len, sketches))
+        bins = np.stack([np.frombuffer(x, np.uint8).astype(np.int32).reshape(width, -1).sum(axis=1) for x in sketches])
 
         def near(i: int) -> np.ndarray:
             apart = np.abs(bins - bins[i]).sum(axis=1)
