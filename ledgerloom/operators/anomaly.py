@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,10 @@ def amount_outliers(ledger: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("ahead", F.coalesce(F.sum(F.size("amounts")).over(newer), F.lit(0))).where(F.col("ahead") < HISTORY_ROWS)
     pairs = pairs.withColumn("amounts", F.slice("amounts", 1, (HISTORY_ROWS - F.col("ahead")).cast("int")))
     history = pairs.groupBy(*KEY).agg(F.flatten(F.collect_list("amounts")).alias("history")).where(F.size("history") >= MIN_HISTORY)
-    history = history.withColumn("median", exact_median(F.col("history")))
-    history = history.withColumn("mad", exact_median(F.transform("history", lambda x: F.abs(x - F.col("median")))))
-    scored = spent.join(history.where("mad > 0").drop("history"), KEY)
+    # The median as a variable: named as a column it would be computed anew for each amount.
+    apart = lambda m: F.struct(m.alias("median"), exact_median(F.transform("history", lambda x: F.abs(x - m))).alias("mad"))
+    history = history.select(*KEY, F.inline(F.transform(F.array(exact_median(F.col("history"))), apart)))
+    scored = spent.join(history.where("mad > 0"), KEY)
     z = F.bround(F.abs(F.col("amount") - F.col("median")).cast("decimal(20,4)") / (F.col("mad") * F.lit(MAD_SCALE).cast("decimal(6,4)")).cast("decimal(20,8)"), 2)
     median = money("median")
     size = F.when(F.col("amount") > median, "large").otherwise("small")
@@ -149,10 +152,38 @@ def first_seen_large(ledger: DataFrame) -> DataFrame:
     )
 
 
-def sweep(ledger: DataFrame) -> DataFrame:
-    """All four kinds of anomaly in one frame."""
-    kinds = [amount_outliers(ledger), category_spikes(ledger), duplicate_charges(ledger), first_seen_large(ledger)]
-    frame = kinds[0]
-    for other in kinds[1:]:
-        frame = frame.unionByName(other, allowMissingColumns=True)
+#: What the kinds read of a ledger.
+SWEPT = ["tenant_id", "txn_id", "statement_id", "txn_date", "amount", "direction", "is_expense", "merchant", "category"]
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def swept(ledger: DataFrame) -> DataFrame:
+    """What sweep() reads: no kind looks at a row that is no expense and has no merchant."""
+    return ledger.where("is_expense or merchant is not null").select(*SWEPT)
+
+
+def _with_neighbours(ledger: DataFrame, keep: Keep, days: int = DUPLICATE_DAYS) -> DataFrame:
+    """Rows whose merchant, amount and direction come again within the days, among them all that duplicate_charges() pairs.
+
+    Between the rows of a pair no gap is longer than the days, so each has a neighbour within them; most rows have none. Keys
+    meet by a hash, so that whole rows need not move; equal hashes of different keys only let more rows through.
+    """
+    rows = ledger.where("merchant is not null").withColumn("_at", F.xxhash64("tenant_id", "merchant", "amount", "direction"))
+    before = F.lag("txn_date").over(Window.partitionBy("_at").orderBy("txn_date"))
+    near = rows.select("_at", F.datediff("txn_date", before).alias("gap")).where(F.col("gap") <= days).select("_at").distinct()
+    return keep(rows.join(keep(near, "swept-near"), "_at", "left_semi").drop("_at"), "swept-near")
+
+
+def sweep(ledger: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """All four kinds of anomaly in one frame.
+
+    keep(rows, name) stores rows: with it the kinds are found one after another, so that what one has shuffled can go before
+    the next.
+    """
+    kinds = {"outliers": amount_outliers, "spikes": category_spikes, "duplicates": duplicate_charges, "first": first_seen_large}
+    frame = None
+    for name, find in kinds.items():
+        rows = _with_neighbours(ledger, keep) if keep and find is duplicate_charges else ledger
+        found = keep(find(rows), f"swept-{name}") if keep else find(rows)
+        frame = found if frame is None else frame.unionByName(found, allowMissingColumns=True)
     return frame.select("tenant_id", "month", "kind", "detected_on", "txn_id", "category", "merchant", "observed", "baseline", "deviation", "reason")

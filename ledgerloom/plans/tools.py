@@ -85,9 +85,9 @@ def compare_months(ledger: DataFrame, default: date, left: str, right: str, cate
     return rows.orderBy(F.desc(F.abs("change")), "tenant_id", "slug").limit(10)
 
 
-def get_anomalies(ledger: DataFrame, default: date, limit: int = 10) -> DataFrame:
+def get_anomalies(ledger: DataFrame, default: date, limit: int = 10, keep: N.Keep | None = None) -> DataFrame:
     month = month_period(default).first
-    return N.sweep(ledger).where(F.col("month") == F.lit(month)).orderBy(F.desc_nulls_last("deviation"), F.desc("observed"), "txn_id").limit(limit)
+    return N.sweep(ledger, keep).where(F.col("month") == F.lit(month)).orderBy(F.desc_nulls_last("deviation"), F.desc("observed"), "txn_id").limit(limit)
 
 
 TOOLS = {

@@ -122,7 +122,7 @@ def first_seen_large(spark, sf_dir):
 
 @query("A13_anomaly_sweep")
 def sweep(spark, sf_dir):
-    return N.sweep(W.kept(S.lineitem_ledger(spark, sf_dir), "swept"))
+    return N.sweep(W.kept(N.swept(S.lineitem_ledger(spark, sf_dir)), "swept"), W.kept)
 
 
 @query(

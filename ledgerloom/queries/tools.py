@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..operators import anomaly as N
 from ..operators import categorize as C
 from ..plans import tools as Q
 from ..sources import adapters as S
@@ -58,7 +59,7 @@ def q6(spark, sf_dir):
 
 @query("Q7_get_anomalies")
 def q7(spark, sf_dir):
-    return Q.get_anomalies(W.kept(S.lineitem_ledger(spark, sf_dir), "swept"), MONTH)
+    return Q.get_anomalies(W.kept(N.swept(S.lineitem_ledger(spark, sf_dir)), "swept"), MONTH, keep=W.kept)
 
 
 APRIL_TO_MAY = COMPARE_SQL.replace("1997-05-01", "1997-04-01").replace("1997-06-01", "1997-05-01")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -39,10 +40,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def kept(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a table of the shared folder, for what reads them many times."""
-    path = shared_path(rows.sparkSession, name)
+    """The rows as a table of the shared folder, for what reads them many times.
+
+    Spark's cleaner drops the shuffle files behind the table once the driver has collected its garbage.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, name)
     rows.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    for _ in range(2):  # the second time for what listeners still held the first time
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @contextmanager
