@@ -7,6 +7,7 @@ within a line where the cells hold no line breaks any more.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..schema import NO_MERCHANT_RAILS
 from .similarity import token_set_score
 
+#: All but capitals, digits and the space. Java tests a class of single characters by a table, which ranges in it would prevent.
+NOT_PLAIN = "[^ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ]+"
 BLANKS = "[\\s   ]+"
 
 # Patterns of statement cells.
@@ -187,7 +190,7 @@ def narration_rule(c: Column | str) -> Column:
 
 def haystack(c: Column | str) -> Column:
     """Upper case, with everything but letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(collapse(c)), "[^A-Z0-9 ]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(collapse(c)), NOT_PLAIN, " "), " {2,}", " "))
 
 
 def residue(c: Column | str, stops: list[str] | None = None) -> Column:
@@ -216,13 +219,15 @@ def titled(c: Column | str) -> Column:
     return F.substring(F.array_join(words, " "), 1, 255)
 
 
-def normalize_merchants(rows: DataFrame, aliases: DataFrame, key: str, text: str = "description") -> DataFrame:
+def normalize_merchants(rows: DataFrame, aliases: DataFrame, key: str, text: str = "description", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Adds rail, merchant, slug, merchant_confidence and merchant_match to rows with a unique key.
 
     aliases: alias, slug, name. The longest alias that a narration holds as whole words names the merchant (0.99), else
     the longest that its payment address holds (0.97); rails without merchants say so (0.90); else the alias most like what is
     left of the narration (0.75 to 0.95); else what is left is shown as a name (0.50) or nothing is (0.30). Aliases join by
     their words: each narration meets only aliases whose first word it has, so neither side is compared with all of the other.
+
+    keep(rows, name) may store the rows with what their own words say, which are read again and again for the names that are left.
     """
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.upper("alias"), "[^A-Z0-9 ]+", " "), r"\s+", " "))
     aliases = aliases.select(flat.alias("alias"), "slug", "name").where("alias <> ''").withColumn("word", F.substring_index("alias", " ", 1))
@@ -238,9 +243,13 @@ def normalize_merchants(rows: DataFrame, aliases: DataFrame, key: str, text: str
     no_merchant = F.col("hit").isNull() & F.col("rail").isin(*NO_MERCHANT_RAILS)
     open_ = F.col("hit").isNull() & ~no_merchant & F.col("vpa").isNull()
     rows = rows.withColumn("hay", F.when(open_, F.nullif(residue(text), F.lit(""))))
+    rows = keep(rows, "narrations") if keep else rows
     named = aliases.groupBy("alias").agg(F.min(F.struct("slug", "name")).alias("of"))
     like = fuzzy_matches(rows.where("hay is not null").select("hay").distinct(), aliases.select("alias", "slug")).join(named, "alias")
-    rows = rows.join(like.select("hay", F.struct("of.slug", "of.name", "score").alias("like")), "hay", "left")
+    like = like.select("hay", F.struct("of.slug", "of.name", "score").alias("like"))
+    # Rows without a name that is left need not move; in the join they would all be one key's.
+    rest = rows.where("hay is null").withColumn("like", F.lit(None).cast(like.schema["like"].dataType))
+    rows = rows.where("hay is not null").join(like, "hay", "left").unionByName(rest)
     left = titled(F.coalesce("hay", upi_name(text), F.lit("")))
 
     def case(alias, rail, address, fuzzy, rest):
