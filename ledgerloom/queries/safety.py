@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import narration as T
 from ..functions import safety as D
 from ..streaming import jobs
+from ..streaming import tables as W
 from .registry import query
 
 
@@ -105,7 +106,7 @@ def merchants(spark, sf_dir):
     aliases = spark.range(1).select(ids.alias("i")).select(
         F.concat(F.lit("Customer "), number).alias("alias"), F.concat(F.lit("c"), number).alias("slug"), F.concat(F.lit("Customer No "), number).alias("name")
     )
-    rows = T.normalize_merchants(narrations(spark, sf_dir), aliases, "o_orderkey")
+    rows = T.normalize_merchants(narrations(spark, sf_dir), aliases, "o_orderkey", keep=W.kept)
     return rows.select("o_orderkey", "rail", "merchant", "slug", F.col("merchant_confidence").cast("double").alias("merchant_confidence"), T.narration_rule("description")["code"].alias("rule"))
 
 
